@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from assayer.functions.blocks import combined
 from assayer.functions.columns import missing, number, present, quoted, split_columns
 from assayer.functions.gram import gram_by, unpack
 from assayer.operators.neighbors import distinct_points, nearest
@@ -249,23 +250,15 @@ class _PassFits:
 
     def gram(self, column: int) -> np.ndarray:
         steps, width = list(self.steps), self.width
-        names = self.centred.columns
-
-        def partial(batches):
-            total = np.zeros((width + 1, width + 1))
-            for batch in batches:
-                block = batch[names].to_numpy(dtype=float)
-                full, _ = _replay(block, steps)
-                full = full[~np.isnan(block[:, column])]
-                full = np.hstack([np.ones((len(full), 1)), full])
-                total += full.T @ full
-            yield pd.DataFrame({"pos": np.arange(total.size), "v": total.ravel()})
-
-        sums = self.centred.mapInPandas(partial, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v"))
-        flat = np.zeros((width + 1) ** 2)
-        for row in sums.collect():  # (columns + 1) squared numbers
-            flat[row["pos"]] = row["v"]
-        return flat.reshape(width + 1, width + 1)
+        size = width + 1
+
+        def partial(block: np.ndarray) -> np.ndarray:
+            full, _ = _replay(block, steps)
+            full = full[~np.isnan(block[:, column])]
+            full = np.hstack([np.ones((len(full), 1)), full])
+            return full.T @ full
+
+        return combined(self.centred, self.centred.columns, partial, size * size).reshape(size, size)
 
     def record(self, column: int, beta: np.ndarray, intercept: float) -> None:
         self.steps.append((column, beta, intercept))
@@ -384,19 +377,11 @@ def _one_round(fits, order: Sequence[int], steps: list) -> None:
 
 def _round_changes(centred: DataFrame, steps, marks) -> list[float]:
     """Largest row change of every round, from one pass that keeps one number per round and task."""
-    names = centred.columns
-
-    def partial(batches):
-        worst = np.zeros(len(marks))
-        for batch in batches:
-            if len(batch):
-                _, changes = _replay(batch[names].to_numpy(dtype=float), steps, set(marks))
-                worst = np.maximum(worst, changes)
-        yield pd.DataFrame({"pos": np.arange(len(marks)), "v": worst})
-
-    rows = centred.mapInPandas(partial, "pos int, v double").groupBy("pos").agg(F.max("v").alias("v"))
-    found = {r["pos"]: r["v"] for r in rows.collect()}
-    return [found.get(i, 0.0) for i in range(len(marks))]
+    ends = set(marks)
+    changes = combined(
+        centred, centred.columns, lambda block: _replay(block, steps, ends)[1], len(marks), "max"
+    )
+    return list(changes)
 
 
 # ---- nearest rows

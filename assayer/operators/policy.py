@@ -89,7 +89,8 @@ def action_reward(scores: DataFrame, baselines: DataFrame, by: Sequence[str]) ->
     )
 
 
-Reward = Callable[[DataFrame, Sequence[str], str, str], float]  # (df, features, target, task) -> score
+# (df, features, target, task, id_column) -> score
+Reward = Callable[[DataFrame, Sequence[str], str, str, str], float]
 
 
 def measure_actions(
@@ -107,13 +108,13 @@ def measure_actions(
     from assayer.operators.impute import impute_mean_mode
 
     spark = df.sparkSession
-    plain = impute_mean_mode(df.select(*features, target, id_column))
-    base = float(reward(plain, features, target, task))
+    plain = impute_mean_mode(df.select(*features, target, id_column), features)
+    base = float(reward(plain, features, target, task, id_column))
     total = df.count()
     rows = []
     for action in chosen if chosen is not None else actions():
         kept = checkpointed(apply_action(df.select(id_column, *features, target), features, id_column, action, seed))
-        rows.append((*action, float(reward(kept, features, target, task)), base, kept.count(), total))
+        rows.append((*action, float(reward(kept, features, target, task, id_column)), base, kept.count(), total))
     scored = spark.createDataFrame(
         rows,
         "action int, imputer string, outlier_method string, threshold_bin int, contamination double, "
