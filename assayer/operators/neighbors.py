@@ -120,7 +120,7 @@ def _box_bounds(points: np.ndarray, low, high, always, width: int) -> np.ndarray
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Scaled squared distances; infinite where no coordinate is shared."""
+    """Scaled distances; infinite where no coordinate is shared."""
     width = a.shape[1]
     total = np.zeros((len(a), len(b)))
     shared = np.zeros((len(a), len(b)))
@@ -130,7 +130,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         total += np.where(ok, diff * diff, 0.0)
         shared += ok
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(shared > 0, total * (width / shared), np.inf)
+        return np.sqrt(np.where(shared > 0, total * (width / shared), np.inf))
 
 
 def distinct_points(df: DataFrame, id_column: str, coords: Sequence[str], keep: int) -> DataFrame:
@@ -323,14 +323,14 @@ def _block(left: pd.DataFrame, right: pd.DataFrame, width: int, k: int) -> pd.Da
     for start in range(0, len(left), 256):
         part = left.iloc[start : start + 256]
         points = _matrix(part["point"], width)
-        square = _distances(points, donors)
+        apart = _distances(points, donors)
         target = part["target"].to_numpy()
         for t in np.unique(target[target >= 0]):
-            square[np.ix_(target == t, np.isnan(donors[:, t]))] = np.inf
-        many = min(k, square.shape[1])
+            apart[np.ix_(target == t, np.isnan(donors[:, t]))] = np.inf
+        many = min(k, apart.shape[1])
         # donors are in id order, so a stable sort breaks ties by id
-        best = np.argsort(square, axis=1, kind="stable")[:, :many]
-        dist = np.take_along_axis(square, best, axis=1)
+        best = np.argsort(apart, axis=1, kind="stable")[:, :many]
+        dist = np.take_along_axis(apart, best, axis=1)
         r, c = np.nonzero(np.isfinite(dist))
         chosen = best[r, c]
         value = np.where(
@@ -345,7 +345,7 @@ def _block(left: pd.DataFrame, right: pd.DataFrame, width: int, k: int) -> pd.Da
                     "leaf": part["leaf"].to_numpy()[r],
                     "did": ids[chosen],
                     "rep": reps[chosen],
-                    "dist": np.sqrt(dist[r, c]),
+                    "dist": dist[r, c],
                     "value": value,
                 }
             )
