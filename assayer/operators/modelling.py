@@ -23,7 +23,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer.functions.columns import number, quoted
 from assayer.functions.gram import gram_by, unpack
@@ -174,7 +174,8 @@ def _parallel(jobs: Sequence[Callable[[], Any]], width: int) -> list:
     if width <= 1 or len(jobs) <= 1:
         return [job() for job in jobs]
     with ThreadPool(min(width, len(jobs))) as pool:
-        return pool.map(inheritable_thread_target(lambda job: job()), jobs)
+        run = inheritable_thread_target(SparkSession.active())(lambda job: job())
+        return pool.map(run, jobs)
 
 
 def cross_validated(task: Task, folded: DataFrame, folds: int, estimator, fold: str = "fold") -> list[Callable]:
