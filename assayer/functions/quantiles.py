@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from assayer.functions.columns import melt, number
+from assayer.functions.columns import number
 
 BINS = 1024
 
@@ -34,7 +34,7 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    row_limit: int = 2_000_000,
+    row_limit: int = 100_000,
 ) -> dict[str, list[float] | None]:
     """Linear-interpolation quantiles per column; None for a column without values."""
     if not columns:
@@ -77,12 +77,11 @@ def _narrowed(df, large, probabilities, row_limit):
             ranks |= {math.floor(at), math.ceil(at)}
         wanted[c] = {}
         open_ranges.append(_Range(c, low, high, n, 0, sorted(ranks)))
-    cells = melt(df, [c for c, *_ in large]).where("value IS NOT NULL")
 
     settled = []
     while open_ranges:
         counts = (
-            _in_ranges(cells, open_ranges)
+            _in_ranges(df, open_ranges)
             .groupBy("range", "bin")
             .agg(F.count("*").alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
             .collect()  # at most len(open_ranges) * BINS rows
@@ -103,7 +102,7 @@ def _narrowed(df, large, probabilities, row_limit):
     if settled:
         order = Window.partitionBy("range").orderBy("value")
         listed = (
-            _in_ranges(cells, settled)
+            _in_ranges(df, settled)
             .groupBy("range", "value")
             .agg(F.count("*").alias("n"))
             .withColumn("upto", F.sum("n").over(order))
@@ -132,14 +131,23 @@ def _narrowed(df, large, probabilities, row_limit):
     return out
 
 
-def _in_ranges(cells: DataFrame, ranges: list[_Range]) -> DataFrame:
-    """Rows inside one of the (disjoint) ranges, with the range number and equal-width bin."""
-    which, width = None, None
-    for i, r in enumerate(ranges):
-        inside = (F.col("column") == r.column) & F.col("value").between(r.low, r.high)
-        # halves keep the difference finite for values near the ends of the double range
-        share = (F.col("value") / 2 - r.low / 2) / (r.high / 2 - r.low / 2)
-        bin_ = F.least(F.lit(BINS - 1), F.floor(share * BINS).cast("int"))
-        which = F.when(inside, i) if which is None else which.when(inside, i)
-        width = F.when(inside, bin_) if width is None else width.when(inside, bin_)
-    return cells.select("value", which.alias("range"), width.alias("bin")).where("range IS NOT NULL")
+def _in_ranges(df: DataFrame, ranges: list[_Range]) -> DataFrame:
+    """Cells inside one of the (disjoint) ranges: range number, equal-width bin, value.
+
+    Each column is tested against its own ranges only.
+    """
+    cells = []
+    for c in dict.fromkeys(r.column for r in ranges):
+        v = number(df, c)
+        which, width = None, None
+        for i, r in enumerate(ranges):
+            if r.column != c:
+                continue
+            inside = v.between(r.low, r.high)
+            # halves keep the difference finite for values near the ends of the double range
+            share = (v / 2 - r.low / 2) / (r.high / 2 - r.low / 2)
+            bin_ = F.least(F.lit(BINS - 1), F.floor(share * BINS).cast("int"))
+            which = F.when(inside, i) if which is None else which.when(inside, i)
+            width = F.when(inside, bin_) if width is None else width.when(inside, bin_)
+        cells.append(F.struct(which.alias("range"), width.alias("bin"), v.alias("value")))
+    return df.select(F.inline(F.array(*cells))).where("range IS NOT NULL")

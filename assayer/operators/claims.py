@@ -55,41 +55,46 @@ def parse_drafts(drafts: DataFrame, response: str = "response") -> DataFrame:
     """
     text = F.trim(F.regexp_replace(F.col(response), r"^\s+|\s+$", ""))
     inner = F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text)
-    whole = F.col("_json")
-    value = F.try_parse_json(whole)
-    kind = F.schema_of_variant(value)
-    # elements as JSON text; NULL when the text is not an array
-    items = F.from_json(whole, "array<string>")
-    fields = F.from_json(whole, "array<map<string,string>>")
-
-    def bad_number(m: Column) -> Column:
-        return _as_number(m["stated_value"]).isNull()
+    # each stage is a column of its own, so that the text is parsed once per form
+    staged = (
+        drafts.withColumn("_json", inner)
+        .withColumn("_value", F.try_parse_json("_json"))
+        .withColumn("_kind", F.schema_of_variant("_value"))
+        .withColumn("_items", F.from_json("_json", "array<string>"))
+        .withColumn("_fields", F.from_json("_json", "array<map<string,string>>"))
+    )
+    names = ("metric_name", "stated_value", "statement")
 
     def lacks(m: Column) -> Column:
-        names = ("metric_name", "stated_value", "statement")
-        return ~(F.map_contains_key(m, names[0]) & F.map_contains_key(m, names[1]) & F.map_contains_key(m, names[2]))
+        has = [F.map_contains_key(m, n) for n in names]
+        return ~(has[0] & has[1] & has[2])
 
-    not_object = F.exists(items, lambda x: x.isNull() | ~F.ltrim(x).startswith("{"))
+    not_object = F.exists("_items", lambda x: x.isNull() | ~F.ltrim(x).startswith("{"))
     error = (
-        F.when(value.isNull(), "the response is not valid JSON")
-        .when(~kind.startswith("ARRAY"), "the response is not a JSON array")
+        F.when(F.col("_value").isNull(), "the response is not valid JSON")
+        .when(~F.col("_kind").startswith("ARRAY"), "the response is not a JSON array")
         .when(not_object, "an element is not a JSON object")
-        .when(F.exists(fields, lacks), "an element lacks a required field")
-        .when(F.exists(fields, bad_number), "a stated_value is not a number")
+        .when(F.exists("_fields", lacks), "an element lacks a required field")
+        .when(
+            F.exists("_fields", lambda m: _as_number(m["stated_value"]).isNull()),
+            "a stated_value is not a number",
+        )
     )
     claims = F.transform(
-        fields,
+        "_fields",
         lambda m: F.struct(
-            m["metric_name"].alias("metric_name"),
+            # a JSON null is spelled out, as text
+            F.coalesce(m["metric_name"], F.lit("None")).alias("metric_name"),
             _as_number(m["stated_value"]).alias("stated_value"),
-            m["statement"].alias("statement"),
+            F.coalesce(m["statement"], F.lit("None")).alias("statement"),
         ),
     )
-    named = drafts.withColumn("_json", inner).withColumn("draft_error", error)
     empty = F.array().cast("array<struct<metric_name:string,stated_value:double,statement:string>>")
-    return named.withColumn(
-        "claims", F.when(F.col("draft_error").isNull(), claims).otherwise(empty)
-    ).drop("_json")
+    return (
+        staged.withColumn("draft_error", error)
+        .withColumn("claims", F.when(F.col("draft_error").isNull(), claims).otherwise(empty))
+        .drop("_json", "_value", "_kind", "_items", "_fields")
+    )
 
 
 def _as_number(text: Column) -> Column:

@@ -75,10 +75,9 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .groupBy("column", "value")
         .agg(F.count("*").alias("n"))
     )
-    top = counts.groupBy("column").agg(F.max("n").alias("n"))
-    return (
-        counts.join(top, ["column", "n"]).groupBy("column").agg(F.min("value").alias("value"))
-    )
+    # least (-count, value): the largest count, then the smallest value
+    best = F.min(F.struct((-F.col("n")).alias("n"), "value"))
+    return counts.groupBy("column").agg(best.alias("b")).select("column", "b.value")
 
 
 def _filled(df: DataFrame, values: dict[str, Any]) -> DataFrame:
@@ -412,7 +411,7 @@ def impute_knn(
     lacking = reduce(lambda a, b: a | b, (F.isnan(F.get("point", F.lit(t))) for t in targets))
     receivers = donors.where(F.col("id") == F.col("rep")).where(lacking).select("id", "point")
     means = (
-        nearest(receivers, donors, len(columns), k, targets, **bounds)
+        nearest(receivers, donors, len(columns), k, targets, n_rows=at.rows, **bounds)
         .groupBy("rid")
         .agg(*(F.avg(F.when(F.col("target") == t, F.col("value"))).alias(f"_k{t}") for t in targets))
     )

@@ -413,10 +413,11 @@ def stack_report(families: DataFrame, stacks: DataFrame, baselines: DataFrame, b
 
     families (by, model_family, score), stacks (by, stack_score), baselines (by, baseline_score).
     """
-    # the first name wins among equal scores
-    best = families.groupBy(*by).agg(F.max("score").alias("best_score"))
-    named = families.join(best, list(by)).where(F.col("score") == F.col("best_score"))
-    named = named.groupBy(*by, "best_score").agg(F.min("model_family").alias("best_family"))
+    # least (-score, name): the best score, then the first name
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("model_family").alias("f")))
+    named = families.groupBy(*by).agg(best.alias("_b")).select(
+        *by, (-F.col("_b.s")).alias("best_score"), F.col("_b.f").alias("best_family")
+    )
     out = named.join(stacks, list(by)).join(baselines, list(by))
     return out.withColumn("beats_baseline", F.col("stack_score") > F.col("baseline_score")).withColumn(
         "matches_best", F.col("stack_score") >= F.col("best_score")

@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from assayer.functions.columns import number, quoted
 from assayer.functions.cutting import checkpointed
 
-SAMPLE_ROWS = 20_000  # shapes the tree, bounds driver memory
-LEAF_ROWS = 2_000
-MAX_LEAVES = 4_096
+LEAF_ROWS = 512
+MAX_LEAVES = 65_536  # bounds the box table every task holds
+SAMPLE_PER_LEAF = 8  # with MAX_LEAVES bounds the sample the driver holds
 BLOCK_DONORS = 4_096
-BLOCK_RECEIVERS = 4_096
+BLOCK_RECEIVERS = 2_048
+CELLS = 4_000_000  # receivers x leaves looked at in one piece
+NEAR_LEAVES = 32
 
 
 @dataclass
@@ -107,18 +109,6 @@ def _matrix(points: pd.Series, width: int) -> np.ndarray:
     return np.vstack(points.to_numpy())
 
 
-def _box_bounds(points: np.ndarray, low, high, always, width: int) -> np.ndarray:
-    """Squared lower bound of the distance from each point to each leaf."""
-    own = ~np.isnan(points)
-    out = np.zeros((len(points), len(low)))
-    for d in range(width):
-        x = points[:, d][:, None]
-        gap = np.maximum(np.maximum(low[None, :, d] - x, x - high[None, :, d]), 0.0)
-        out += np.where(own[:, d][:, None] & always[None, :, d], gap * gap, 0.0)
-    # scale is at least width / (coordinates the receiver has)
-    return out * (width / np.maximum(own.sum(axis=1), 1))[:, None]
-
-
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Scaled distances; infinite where no coordinate is shared."""
     width = a.shape[1]
@@ -151,12 +141,95 @@ def distinct_points(df: DataFrame, id_column: str, coords: Sequence[str], keep:
     )
 
 
+def leaf_count(n_donors: int, leaf_rows: int = LEAF_ROWS) -> int:
+    """Small tables get leaves of ``leaf_rows``. For large ones a receiver's work, leaves looked at
+    plus rows of a few leaves, is least when both grow with the square root of the rows."""
+    by_size = math.ceil(n_donors / leaf_rows)
+    return max(1, min(by_size, math.ceil(2 * math.sqrt(n_donors)), MAX_LEAVES))
+
+
+@dataclass(frozen=True)
+class _Boxes:
+    """Bounding box and counts of every leaf."""
+
+    label: np.ndarray
+    size: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    have: np.ndarray  # donors with each coordinate
+    always: np.ndarray  # coordinates no donor of the leaf lacks
+
+    @classmethod
+    def of(cls, placed: DataFrame, width: int) -> _Boxes:
+        at = [F.nanvl(F.get("point", F.lit(d)), F.lit(None).cast("double")) for d in range(width)]
+        rows = (
+            placed.groupBy("leaf")
+            .agg(
+                F.count("*").alias("n"),
+                F.array(*(F.coalesce(F.min(x), F.lit(0.0)) for x in at)).alias("low"),
+                F.array(*(F.coalesce(F.max(x), F.lit(0.0)) for x in at)).alias("high"),
+                F.array(*(F.count(x) for x in at)).alias("have"),
+            )
+            .collect()  # at most MAX_LEAVES rows
+        )
+        rows = sorted(rows, key=lambda r: r["leaf"])
+        size = np.array([r["n"] for r in rows], dtype=float)
+        have = np.array([r["have"] for r in rows], dtype=float).reshape(len(rows), width)
+        return cls(
+            np.array([r["leaf"] for r in rows], dtype=np.int32),
+            size,
+            np.array([r["low"] for r in rows], dtype=float).reshape(len(rows), width),
+            np.array([r["high"] for r in rows], dtype=float).reshape(len(rows), width),
+            have,
+            have == size[:, None],
+        )
+
+    def bounds(self, points: np.ndarray) -> np.ndarray:
+        """Squared lower bound of the distance from each point to the rows of each leaf."""
+        width = points.shape[1]
+        own = ~np.isnan(points)
+        out = np.zeros((len(points), len(self.size)))
+        for d in range(width):
+            x = np.nan_to_num(points[:, d])[:, None]
+            gap = np.maximum(np.maximum(self.low[None, :, d] - x, x - self.high[None, :, d]), 0.0)
+            gap *= gap
+            gap *= self.always[None, :, d]
+            gap *= own[:, d][:, None]
+            out += gap
+        # the scale of a distance is at least width / (coordinates the receiver has)
+        return out * (width / np.maximum(own.sum(axis=1), 1))[:, None]
+
+    def pieces(self, n: int):
+        step = max(1, CELLS // max(len(self.size), 1))
+        return (slice(i, min(i + step, n)) for i in range(0, n, step))
+
+
+def _first_leaves(near: np.ndarray, usable: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf position) of the nearest leaves up to the one that completes k usable donors."""
+    total = min(near.shape[1], NEAR_LEAVES)
+    while True:
+        if total < near.shape[1]:
+            part = np.argpartition(near, total - 1, axis=1)[:, :total]
+        else:
+            part = np.tile(np.arange(near.shape[1]), (len(near), 1))
+        inner = np.argsort(np.take_along_axis(near, part, axis=1), axis=1, kind="stable")
+        order = np.take_along_axis(part, inner, axis=1)
+        count = usable[order]
+        got = np.cumsum(count, axis=1)
+        if total == near.shape[1] or (got[:, -1] >= k).all():
+            take = (got - count < k) & (count > 0)
+            r, c = np.nonzero(take)
+            return r, order[r, c]
+        total = min(near.shape[1], total * 8)
+
+
 def nearest(
     receivers: DataFrame,
     donors: DataFrame,
     width: int,
     k: int,
     targets: Sequence[int] | None = None,
+    n_rows: int | None = None,
     leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """(rid, target, did, rep, dist, value, rank): the k nearest donors of every receiver.
@@ -164,105 +237,81 @@ def nearest(
     ``receivers`` has (id, point), ``donors`` (id, point, rep). Without ``targets`` every donor
     counts and target is -1. With ``targets`` (positions of incomplete coordinates) a receiver has
     one search per target it lacks, over donors that have it; ``value`` is the donor's value.
-    Equal distances are ordered by donor id.
+    Equal distances are ordered by donor id. ``n_rows`` (at least the number of donors) saves a count.
     """
     spark = donors.sparkSession
-    id_type = donors.schema["id"].dataType
-    donors = checkpointed(donors)
-    n = donors.count()
-    leaves = max(1, min(MAX_LEAVES, math.ceil(n / leaf_rows)))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    leaves = leaf_count(donors.count() if n_rows is None else n_rows, leaf_rows)
     if leaves == 1:
-        nodes = [_Node(leaf=0)]
+        placed = checkpointed(donors.withColumn("leaf", F.lit(0)))
     else:
-        sample = donors.select("point").orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).toPandas()
-        points = _matrix(sample["point"], width)
-        nodes = _grow(points, max(1, len(points) // leaves))
-
-    @F.pandas_udf(T.IntegerType())
-    def leaf_of(points: pd.Series) -> pd.Series:
-        return pd.Series(_assign(nodes, _matrix(points, width)))
-
-    placed = checkpointed(donors.withColumn("leaf", leaf_of("point")))
-    at = [F.nanvl(F.get("point", F.lit(d)), F.lit(None).cast("double")) for d in range(width)]
-    boxes = (
-        placed.groupBy("leaf")
-        .agg(
-            F.count("*").alias("n"),
-            F.array(*(F.min(x) for x in at)).alias("low"),
-            F.array(*(F.max(x) for x in at)).alias("high"),
-            F.array(*(F.count(x) for x in at)).alias("have"),
-        )
-        .orderBy("leaf")
-        .collect()  # at most as many rows as the tree has leaves
-    )
-    label = np.array([b["leaf"] for b in boxes], dtype=int)
-    size = np.array([b["n"] for b in boxes], dtype=float)
-    low = np.array([[np.nan if v is None else v for v in b["low"]] for b in boxes], dtype=float)
-    high = np.array([[np.nan if v is None else v for v in b["high"]] for b in boxes], dtype=float)
-    have = np.array([b["have"] for b in boxes], dtype=float)
-    always = have == size[:, None]
-    low, high = np.nan_to_num(low), np.nan_to_num(high)
-
-    def searches(points: np.ndarray):
-        """(row positions, target, usable donors per leaf) for every search the block asks for."""
-        if targets is None:
-            return [(np.arange(len(points)), -1, size)]
-        return [(np.flatnonzero(np.isnan(points[:, t])), t, have[:, t]) for t in targets]
-
-    id_sql = id_type.simpleString()
+        n = donors.count() if n_rows is None else n_rows
+        share = min(1.0, max(20_000, leaves * SAMPLE_PER_LEAF) / n)
+        picked = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)) + 1)
+        sample = _matrix(donors.where(picked).select("point").toPandas()["point"], width)
+        nodes = _grow(sample, max(1, len(sample) // leaves))
+
+        @F.pandas_udf(T.IntegerType())
+        def leaf_of(points: pd.Series) -> pd.Series:
+            return pd.Series(_assign(nodes, _matrix(points, width)))
+
+        placed = checkpointed(donors.withColumn("leaf", leaf_of("point")))
+    boxes = _Boxes.of(placed, width)
+
+    id_sql = donors.schema["id"].dataType.simpleString()
     visit_schema = f"rid {id_sql}, target int, point array<double>, leaf int, bound double"
 
+    def visits_frame(ids, target, points, at, bound):
+        return pd.DataFrame(
+            {"rid": ids, "target": np.asarray(target, dtype=np.int32), "point": points,
+             "leaf": boxes.label[at], "bound": bound}
+        )
+
     def first_visits(batches):
         for batch in batches:
-            points = _matrix(batch["point"], width)
-            near = _box_bounds(points, low, high, always, width)
-            for rows, target, usable in searches(points):
-                order = np.argsort(near[rows], axis=1, kind="stable")
-                got = np.cumsum(usable[order], axis=1)
-                # leaves up to the one that completes k usable donors
-                take = (got - usable[order] < k) & (usable[order] > 0)
-                r, c = np.nonzero(take)
-                yield pd.DataFrame(
-                    {
-                        "rid": batch["id"].to_numpy()[rows[r]],
-                        "target": np.full(len(r), target, dtype=np.int32),
-                        "point": batch["point"].to_numpy()[rows[r]],
-                        "leaf": label[order[r, c]].astype(np.int32),
-                        "bound": np.full(len(r), np.inf),
-                    }
-                )
+            points, ids = batch["point"].to_numpy(), batch["id"].to_numpy()
+            block = _matrix(batch["point"], width)
+            for piece in boxes.pieces(len(batch)):
+                near = boxes.bounds(block[piece])
+                for t in (-1,) if targets is None else targets:
+                    rows = np.arange(len(near)) if t < 0 else np.flatnonzero(np.isnan(block[piece, t]))
+                    if not len(rows):
+                        continue
+                    usable = boxes.size if t < 0 else boxes.have[:, t]
+                    r, at = _first_leaves(near[rows], usable, k)
+                    r = rows[r] + piece.start
+                    yield visits_frame(ids[r], np.full(len(r), t), points[r], at, np.full(len(r), np.inf))
 
     def second_visits(batches):
         for batch in batches:
-            points = _matrix(batch["point"], width)
-            near = _box_bounds(points, low, high, always, width)
+            points, ids = batch["point"].to_numpy(), batch["rid"].to_numpy()
+            block = _matrix(batch["point"], width)
             limit = batch["bound"].to_numpy(dtype=float) ** 2
             limit = limit * (1 + 1e-9) + 1e-300  # room for rounding, never excludes a tie
             target = batch["target"].to_numpy()
-            usable = np.where(target[:, None] >= 0, have.T[target], size[None, :])
-            open_ = (near <= limit[:, None]) & (usable > 0)
-            seen = [set(s) for s in batch["seen"]]
-            r, c = np.nonzero(open_)
-            fresh = np.array([label[j] not in seen[i] for i, j in zip(r, c)], dtype=bool)
-            r, c = r[fresh], c[fresh]
-            yield pd.DataFrame(
-                {
-                    "rid": batch["rid"].to_numpy()[r],
-                    "target": target[r].astype(np.int32),
-                    "point": batch["point"].to_numpy()[r],
-                    "leaf": label[c].astype(np.int32),
-                    "bound": batch["bound"].to_numpy(dtype=float)[r],
-                }
-            )
+            seen = batch["seen"].to_numpy()
+            for piece in boxes.pieces(len(batch)):
+                near = boxes.bounds(block[piece])
+                t = target[piece]
+                open_ = near <= limit[piece][:, None]
+                if targets is not None:
+                    open_ &= boxes.have.T[t] > 0
+                for i, leaves_seen in enumerate(seen[piece]):
+                    open_[i, np.searchsorted(boxes.label, leaves_seen)] = False
+                r, at = np.nonzero(open_)
+                yield visits_frame(
+                    ids[piece][r], t[r], points[piece][r], at, batch["bound"].to_numpy(dtype=float)[piece][r]
+                )
 
-    chunks = {int(l): max(1, math.ceil(s / BLOCK_DONORS)) for l, s in zip(label, size)}
+    chunks = np.maximum(1, np.ceil(boxes.size / BLOCK_DONORS)).astype(int)
 
     def meet(visits: DataFrame) -> DataFrame:
         """Top k of each visit; blocks are bounded on both sides before they are grouped."""
         visits = checkpointed(visits)
-        load = {r["leaf"]: r["n"] for r in visits.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+        load = dict(visits.groupBy("leaf").agg(F.count("*").alias("n")).collect())  # row per leaf
+        copies = [max(1, math.ceil(load.get(int(l), 0) / BLOCK_RECEIVERS)) for l in boxes.label]
         plan = spark.createDataFrame(
-            [(int(l), chunks[int(l)], max(1, math.ceil(load.get(int(l), 0) / BLOCK_RECEIVERS))) for l in label],
+            [(int(l), int(c), int(m)) for l, c, m in zip(boxes.label, chunks, copies)],
             "leaf int, chunks int, copies int",
         )
         plan = F.broadcast(plan)  # one row per leaf
@@ -279,35 +328,34 @@ def nearest(
             .drop("chunks", "copies")
         )
         keys = ["leaf", "chunk", "copy"]
+        # blocks are small in bytes but not in work, so their spread is not left to size-based merging
+        parts = min(max(1, int(np.dot(chunks, copies))), tasks * 4)
         out_schema = (
             f"rid {id_sql}, target int, point array<double>, leaf int, did {id_sql}, rep {id_sql}, "
             "dist double, value double"
         )
         return (
-            left.groupBy(*keys)
-            .cogroup(right.groupBy(*keys))
+            left.repartition(parts, *keys).groupBy(*keys)
+            .cogroup(right.repartition(parts, *keys).groupBy(*keys))
             .applyInPandas(lambda l, r: _block(l, r, width, k), out_schema)
         )
 
     order = Window.partitionBy("rid", "target").orderBy("dist", "did")
-    first = checkpointed(meet(receivers.mapInPandas(first_visits, visit_schema)))
+    if leaves > 1:
+        receivers = receivers.repartition(tasks, "id")
+    first = meet(receivers.mapInPandas(first_visits, visit_schema))
+    if len(boxes.label) > 1:
+        first = checkpointed(first)
     ranked = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    if len(label) > 1:
-        # every search has at least one first visit; leaves per search are few
-        bounds = (
-            ranked.groupBy("rid", "target")
-            .agg(
-                F.when(F.count_if(F.col("did").isNotNull()) >= k, F.max("dist"))
-                .otherwise(math.inf)
-                .alias("bound"),
-                F.first("point").alias("point"),
-            )
+    if len(boxes.label) > 1:
+        # a search has at least one first visit, and few of them
+        bounds = ranked.groupBy("rid", "target").agg(
+            F.when(F.count("did") >= k, F.max("dist")).otherwise(math.inf).alias("bound"),
+            F.first("point").alias("point"),
         )
         visited = first.groupBy("rid", "target").agg(F.collect_set("leaf").alias("seen"))
-        second = meet(
-            bounds.join(visited, ["rid", "target"]).mapInPandas(second_visits, visit_schema)
-        )
-        both = first.unionByName(second)
+        searches = bounds.join(visited, ["rid", "target"]).repartition(tasks, "rid")
+        both = first.unionByName(meet(searches.mapInPandas(second_visits, visit_schema)))
         ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.where("did IS NOT NULL").drop("point", "leaf")
 
@@ -327,12 +375,14 @@ def _block(left: pd.DataFrame, right: pd.DataFrame, width: int, k: int) -> pd.Da
         target = part["target"].to_numpy()
         for t in np.unique(target[target >= 0]):
             apart[np.ix_(target == t, np.isnan(donors[:, t]))] = np.inf
+        # everything up to the k-th distance, then ties by position (donors are in id order)
         many = min(k, apart.shape[1])
-        # donors are in id order, so a stable sort breaks ties by id
-        best = np.argsort(apart, axis=1, kind="stable")[:, :many]
-        dist = np.take_along_axis(apart, best, axis=1)
-        r, c = np.nonzero(np.isfinite(dist))
-        chosen = best[r, c]
+        kth = np.partition(apart, many - 1, axis=1)[:, many - 1]
+        r, c = np.nonzero((apart <= kth[:, None]) & np.isfinite(apart))
+        order = np.lexsort((c, apart[r, c], r))
+        r, chosen = r[order], c[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, chosen = r[place < many], chosen[place < many]
         value = np.where(
             target[r] >= 0, donors[chosen, np.maximum(target[r], 0)], np.nan
         )
@@ -345,13 +395,13 @@ def _block(left: pd.DataFrame, right: pd.DataFrame, width: int, k: int) -> pd.Da
                     "leaf": part["leaf"].to_numpy()[r],
                     "did": ids[chosen],
                     "rep": reps[chosen],
-                    "dist": dist[r, c],
+                    "dist": apart[r, chosen],
                     "value": value,
                 }
             )
         )
         # a visit without a usable donor still has to be known to the second round
-        empty = np.flatnonzero(~np.isfinite(dist).any(axis=1))
+        empty = np.setdiff1d(np.arange(len(part)), r)
         if len(empty):
             none = part.iloc[empty][["rid", "target", "point", "leaf"]].copy()
             none["did"], none["rep"] = None, None

@@ -128,24 +128,41 @@ def _plant(block: np.ndarray, tree: int, seed: int) -> list[tuple]:
     return nodes
 
 
+def _levels(low: np.ndarray, high: np.ndarray) -> int:
+    depth = np.zeros(len(low), dtype=int)
+    for i in range(len(low)):  # children come after their parent
+        for child in (low[i], high[i]):
+            if child >= 0:
+                depth[child] = depth[i] + 1
+    return int(depth.max())
+
+
 def isolation_forest(
     df: DataFrame,
     columns: Sequence[str],
     n_trees: int = 100,
     contamination: float = 0.05,
     seed: int = 0,
+    id_column: str | None = None,
 ) -> DataFrame:
     """Adds the score (0 at the cut, higher is worse) and the flag.
 
-    The method grows each tree on at most 256 rows: these are drawn by hash, trees are grown in
-    parallel, and the node table (trees x 511 rows at most) goes to every task for scoring.
+    The method grows each tree on at most 256 rows: about twice as many as all trees need pass a
+    random filter at the scan, trees are grown in parallel, and the node table (trees x 511 rows at most) goes to every task for scoring.
     """
-    point = F.array(*(number(df, c) for c in columns))
+    wanted = n_trees * ROWS_PER_TREE
+    n = df.count()
+    # a uniform draw per row: by id hash, the same in every layout, or by a seeded generator
+    draw = (
+        F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+        if id_column
+        else F.rand(seed)
+    )
     pool = (
-        df.select(point.alias("point"))
-        .withColumn("_h", F.xxhash64("point", F.lit(seed)))
+        df.select(F.array(*(number(df, c) for c in columns)).alias("point"), draw.alias("_h"))
+        .where(F.col("_h") < min(1.0, 2.0 * wanted / max(n, 1)))
         .orderBy("_h")
-        .limit(n_trees * ROWS_PER_TREE)
+        .limit(wanted)
     )
     pool = checkpointed(pool)
     n_pool = pool.count()
@@ -155,7 +172,7 @@ def isolation_forest(
     tries = (
         pool.withColumn("_n", F.monotonically_increasing_id())
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        .withColumn("_d", F.pmod(F.xxhash64("_h", "_n", "tree", F.lit(seed)), F.lit(1 << 30)))
+        .withColumn("_d", F.pmod(F.xxhash64("_h", "tree", F.lit(seed)), F.lit(1 << 30)))
         .where(F.col("_d") < F.lit(int(share * (1 << 30)) + 1))
     )
 
@@ -177,25 +194,33 @@ def isolation_forest(
     trees = []
     for _, part in nodes.groupby("tree"):
         part = part.sort_values("node")
-        trees.append(tuple(part[c].to_numpy() for c in ("dim", "cut", "low", "high", "path")))
+        dim, low, high = (part[c].to_numpy(dtype=np.int32) for c in ("dim", "low", "high"))
+        end = dim < 0
+        # a finished row stays at its leaf, so every row takes the same number of steps
+        here = np.arange(len(part), dtype=np.int32)
+        depth = _levels(low, high)
+        trees.append(
+            (np.where(end, 0, dim), part["cut"].to_numpy(), np.where(end, here, low),
+             np.where(end, here, high), part["path"].to_numpy(), depth)
+        )
     forest = df.sparkSession.sparkContext.broadcast(trees)
     norm = float(_usual_depth(np.array([per_tree]))[0]) or 1.0
 
     @F.pandas_udf(T.DoubleType())
     def score(*values: pd.Series) -> pd.Series:
-        block = np.column_stack([v.to_numpy(dtype=float) for v in values])
-        total = np.zeros(len(block))
-        every = np.arange(len(block))
-        for dim, cut, low, high, path in forest.value:
-            at = np.zeros(len(block), dtype=np.int64)
-            live = every
-            while len(live):
-                inner = dim[at[live]] >= 0
-                live = live[inner]
-                here = at[live]
-                go_low = block[live, dim[here]] <= cut[here]
-                at[live] = np.where(go_low, low[here], high[here])
-            total += path[at]
+        n = len(values[0])
+        total = np.zeros(n)
+        step = 4096  # rows whose state stays in cache
+        for start in range(0, n, step):
+            cells = np.concatenate([v.to_numpy(dtype=float)[start : start + step] for v in values])
+            rows = len(cells) // len(values)
+            row = np.arange(rows, dtype=np.int32)
+            for dim, cut, low, high, path, depth in forest.value:
+                at = np.zeros(rows, dtype=np.int32)
+                for _ in range(depth):
+                    value = cells.take(dim.take(at) * rows + row)
+                    at = np.where(value <= cut.take(at), low.take(at), high.take(at))
+                total[start : start + step] += path.take(at)
         return pd.Series(np.power(2.0, -total / (len(forest.value) * norm)))
 
     scored = df.withColumn(SCORE, score(*(number(df, c) for c in columns)))
@@ -221,7 +246,7 @@ def lof_scores(
     receivers = donors.where(F.col("id") == F.col("rep")).select("id", "point")
     # the point itself has the smallest id at distance zero: rank 1
     pairs = checkpointed(
-        nearest(receivers, donors, len(columns), k + 1, **bounds)
+        nearest(receivers, donors, len(columns), k + 1, n_rows=n, **bounds)
         .where(F.col("rank") > 1)
         .select("rid", "rep", "dist")
     )
@@ -287,7 +312,7 @@ def detect_outliers(
         about.update(n_flagged=0, reason=None if columns else "no numeric columns")
         return Scored(outliers_none(df), params, about)
     if s.method == "isolation_forest":
-        out = isolation_forest(df, columns, s.n_estimators, s.contamination, seed or 0)
+        out = isolation_forest(df, columns, s.n_estimators, s.contamination, seed or 0, id_column)
     else:
         if id_column is None:
             raise ValueError("the local outlier factor needs id_column to order equal distances")
