@@ -107,13 +107,12 @@ def _narrowed(df, large, probabilities, row_limit):
             .agg(F.count("*").alias("n"))
             .withColumn("upto", F.sum("n").over(order))
         )
-        hit = F.lit(False)
-        for i, r in enumerate(settled):
-            for k in r.ranks:
-                at = k - r.before
-                hit = hit | (
-                    (F.col("range") == i) & (F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)
-                )
+        tests = [
+            f"(range = {i} AND upto > {k - r.before} AND upto - n <= {k - r.before})"
+            for i, r in enumerate(settled)
+            for k in r.ranks
+        ]
+        hit = F.expr(" OR ".join(tests))
         for row in listed.where(hit).collect():  # at most one row per wanted rank
             r = settled[row["range"]]
             for k in r.ranks:
@@ -136,9 +135,12 @@ def _in_ranges(df: DataFrame, ranges: list[_Range]) -> DataFrame:
 
     Each column is tested against its own ranges only.
     """
-    cells = []
-    for c in dict.fromkeys(r.column for r in ranges):
-        v = number(df, c)
+    columns = list(dict.fromkeys(r.column for r in ranges))
+    # a projection of its own, so that each number is made once and not once per test
+    plain = df.select(*(number(df, c).alias(f"v{i}") for i, c in enumerate(columns)))
+    marked, cells = [F.col(f"v{i}") for i in range(len(columns))], []
+    for at, c in enumerate(columns):
+        v = F.col(f"v{at}")
         which, width = None, None
         for i, r in enumerate(ranges):
             if r.column != c:
@@ -149,5 +151,11 @@ def _in_ranges(df: DataFrame, ranges: list[_Range]) -> DataFrame:
             bin_ = F.least(F.lit(BINS - 1), F.floor(share * BINS).cast("int"))
             which = F.when(inside, i) if which is None else which.when(inside, i)
             width = F.when(inside, bin_) if width is None else width.when(inside, bin_)
-        cells.append(F.struct(which.alias("range"), width.alias("bin"), v.alias("value")))
-    return df.select(F.inline(F.array(*cells))).where("range IS NOT NULL")
+        marked += [which.alias(f"r{at}"), width.alias(f"b{at}")]
+        cells.append(
+            F.struct(F.col(f"r{at}").alias("range"), F.col(f"b{at}").alias("bin"), v.alias("value"))
+        )
+    # narrowed ranges hold few rows; the others go before they are split into cells
+    some = F.coalesce(*(F.col(f"r{i}") for i in range(len(columns)))).isNotNull()
+    rows = plain.select(*marked).where(some)
+    return rows.select(F.inline(F.array(*cells))).where("range IS NOT NULL")

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from assayer.functions.columns import missing, number, numeric_columns, quoted
 from assayer.functions.quantiles import exact_quantiles
@@ -178,37 +178,49 @@ def reference_edges(
     return {c: None if q is None else sorted(set(q)) for c, q in found.items()}
 
 
-def bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
-    """(column, bin, n) for present values.
+def bin_of(v: Column, edges: Sequence[float]) -> Column:
+    """Bin of a value: half-open bins from 0, the last one closed; -1 outside, NULL for NULL."""
 
-    ``bin`` runs from 0 over half-open bins, the last one closed; -1 holds what lies outside.
-    """
-    cells = []
-    for c, marks in edges.items():
-        v = number(df, c)
-        at = sum(((v >= F.lit(e)).cast("int") for e in marks[1:-1]), F.lit(0))
-        inside = (v >= marks[0]) & (v <= marks[-1])
-        cells.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.when(v.isNull(), None).when(inside, at).otherwise(-1).alias("bin"),
-            )
+    def search(low: int, high: int) -> Column:
+        """Bin between positions low and high, by bisection over the inner edges."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high + 1) // 2
+        return F.when(v >= F.lit(edges[mid]), search(mid, high)).otherwise(search(low, mid - 1))
+
+    outside = (v < F.lit(edges[0])) | (v > F.lit(edges[-1]))
+    return F.when(v.isNull(), None).when(outside, -1).otherwise(search(0, len(edges) - 2))
+
+
+def bin_counts(
+    df: DataFrame, edges: Mapping[str, Sequence[float]], by: Sequence[str] = ()
+) -> DataFrame:
+    """(*by, column position, bin, n) for present values; combines map-side to columns x bins rows."""
+    # a projection of its own, so that each number is made once and not once per edge
+    plain = df.select(*map(quoted, by), *(number(df, c).alias(f"_v{i}") for i, c in enumerate(edges)))
+    cells = F.array(
+        *(
+            F.struct(F.lit(i).alias("column"), bin_of(F.col(f"_v{i}"), marks).alias("bin"))
+            for i, marks in enumerate(edges.values())
         )
+    )
     return (
-        df.select(F.inline(F.array(*cells)))
+        plain.select(*map(quoted, by), F.inline(cells))
         .where("bin IS NOT NULL")
-        .groupBy("column", "bin")
+        .groupBy(*by, "column", "bin")
         .agg(F.count("*").alias("n"))
     )
 
 
 def stability_shares(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> dict[str, dict]:
     """Per column: total present values and the count of each bin (bounded by columns x bins)."""
+    names = list(edges)
     out = {c: {"total": 0, "bins": [0] * (len(e) - 1)} for c, e in edges.items()}
     for row in bin_counts(df, edges).collect():
-        out[row["column"]]["total"] += row["n"]
+        mine = out[names[row["column"]]]
+        mine["total"] += row["n"]
         if row["bin"] >= 0:
-            out[row["column"]]["bins"][row["bin"]] += row["n"]
+            mine["bins"][row["bin"]] += row["n"]
     return out
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from assayer.functions.blocks import combined
 from assayer.functions.columns import missing, number, present, quoted, split_columns
 from assayer.functions.gram import gram_by, unpack
+from assayer.functions.spreading import spread
 from assayer.operators.neighbors import distinct_points, nearest
 from assayer.settings import ImputeSettings
 
@@ -298,7 +299,7 @@ def impute_mice(
             for _ in range(max_iter):
                 _one_round(fits, order, steps)
                 marks.append(len(steps))
-            changes = _round_changes(centred, steps, marks)
+            changes = _round_changes(spread(centred, at.rows), steps, marks)
             settled = [i for i, c in enumerate(changes) if c < limit]
             rounds = settled[0] + 1 if settled else max_iter
             steps = steps[: marks[rounds - 1]]
@@ -341,7 +342,7 @@ def impute_mice(
             for i, c in enumerate(columns)
         )
     )
-    with_fill = df.withColumn("_fill", fill(shifted))
+    with_fill = spread(df, at.rows).withColumn("_fill", fill(shifted))
     filled = with_fill.select(
         *(
             # present cells keep their exact value

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from assayer.functions.columns import missing, number, numeric_columns
 from assayer.functions.cutting import checkpointed
 from assayer.functions.quantiles import exact_quantiles
+from assayer.functions.spreading import spread
 from assayer.operators.neighbors import distinct_points, nearest
 from assayer.settings import OutlierSettings
 
@@ -223,7 +224,7 @@ def isolation_forest(
                 total[start : start + step] += path.take(at)
         return pd.Series(np.power(2.0, -total / (len(forest.value) * norm)))
 
-    scored = df.withColumn(SCORE, score(*(number(df, c) for c in columns)))
+    scored = spread(df, n).withColumn(SCORE, score(*(number(df, c) for c in columns)))
     scored = checkpointed(scored)  # scores are read once for the cut and once for the result
     return contamination_cut(scored, SCORE, contamination, shift=True)
 
