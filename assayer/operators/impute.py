@@ -420,8 +420,10 @@ def impute_knn(
     points = receivers.join(means, receivers["id"] == means["rid"]).select(
         "point", *(f"_k{t}" for t in targets)
     )
-    own = F.array(*(F.coalesce(number(df, c), F.lit(float("nan"))) for c in columns))
-    joined = plain.withColumn("_own", own).join(
+    own = F.array(*(F.coalesce(quoted(c), F.lit(float("nan"))) for c in columns))
+    gaps = reduce(lambda a, b: a | b, (quoted(columns[t]).isNull() for t in targets))
+    # only rows with a gap are joined; the others are not shuffled
+    joined = plain.where(gaps).withColumn("_own", own).join(
         points, F.col("_own") == F.col("point"), "left"
     )
     filled = joined.select(
@@ -434,7 +436,7 @@ def impute_knn(
             for c in df.columns
         )
     )
-    return Imputed(filled, {"columns": columns}, info)
+    return Imputed(plain.where(~gaps).unionByName(filled), {"columns": columns}, info)
 
 
 # ---- router
@@ -446,13 +448,16 @@ def impute(
     *,
     seed: int | None = None,
     id_column: str | None = None,
+    columns: Sequence[str] | None = None,
 ) -> Imputed:
     """Numeric columns by the chosen method, the rest by mode; params allow a replay.
 
-    ``id_column`` (unique; needed for the nearest-row method) is left as it is.
+    ``id_column`` (unique; needed for the nearest-row method) is left as it is. With ``columns``
+    only these are filled, from each other; the rest passes through unseen.
     """
     s = settings or ImputeSettings()
-    numeric, other = split_columns(df.drop(id_column) if id_column else df)
+    inputs = df.select(*map(quoted, columns)) if columns else df
+    numeric, other = split_columns(inputs.drop(id_column) if id_column else inputs)
     if df.isEmpty():
         raise ValueError("cannot impute a table without rows")
     out = df

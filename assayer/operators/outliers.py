@@ -295,10 +295,14 @@ def detect_outliers(
     *,
     seed: int | None = None,
     id_column: str | None = None,
+    columns: Sequence[str] | None = None,
 ) -> Scored:
-    """Every row with its score and flag; ``id_column`` is never used as a feature."""
+    """Every row with its score and flag; ``id_column`` is never used as a feature.
+
+    Without ``columns`` all numeric ones are.
+    """
     s = settings or OutlierSettings()
-    columns = [c for c in numeric_columns(df) if c != id_column]
+    columns = [c for c in numeric_columns(df) if c != id_column and (columns is None or c in columns)]
     assert_imputed(df, columns)
     params = {
         "method": s.method,

@@ -6,7 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayer.operators.impute import impute
+from assayer.functions.cutting import checkpointed
+from assayer.operators.impute import impute, impute_mean_mode
 from assayer.operators.outliers import detect_outliers, drop_flagged
 from assayer.settings import ImputeSettings, OutlierSettings
 
@@ -66,14 +67,14 @@ def apply_action(
     Other columns (the target among them) pass through unseen.
     """
     _, imputer, detector, _, contamination = action
-    inputs = df.select(id_column, *features)
-    filled = impute(inputs, ImputeSettings(method=imputer), seed=seed, id_column=id_column).df
-    if detector != "none":
-        chosen = OutlierSettings(method=detector, contamination=contamination)
-        scored = detect_outliers(filled, chosen, seed=seed, id_column=id_column)
-        filled = drop_flagged(scored.df)
-    rest = [c for c in df.columns if c not in features]
-    return df.select(*rest).join(filled.select(id_column, *features), id_column).select(*df.columns)
+    chosen = ImputeSettings(method=imputer)
+    filled = impute(df, chosen, seed=seed, id_column=id_column, columns=features).df
+    if detector == "none":
+        return filled.select(*df.columns)
+    cut = OutlierSettings(method=detector, contamination=contamination)
+    filled = checkpointed(filled)  # read by the scoring and for its result
+    scored = detect_outliers(filled, cut, seed=seed, id_column=id_column, columns=features)
+    return drop_flagged(scored.df).select(*df.columns)
 
 
 def action_reward(scores: DataFrame, baselines: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -104,9 +105,6 @@ def measure_actions(
     seed: int = 0,
 ) -> DataFrame:
     """Score of each action and of the mean/mode fill on one dataset: a row per action."""
-    from assayer.functions.cutting import checkpointed
-    from assayer.operators.impute import impute_mean_mode
-
     spark = df.sparkSession
     plain = impute_mean_mode(df.select(*features, target, id_column), features)
     base = float(reward(plain, features, target, task, id_column))

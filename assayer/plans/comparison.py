@@ -208,11 +208,36 @@ def action_reward(spark, sf):
     return out.select("o_orderpriority", "action", r6("score").alias("score"), r6("baseline_score").alias("baseline_score"), "cost", r6("reward").alias("reward"))
 
 
-@query("apply_action")
+def _nearest_sql(column: str) -> str:
+    shared = " + ".join(f"(r.{c} IS NOT NULL AND d.{c} IS NOT NULL)::INT" for c in ("a", "n"))
+    total = " + ".join(f"coalesce((r.{c} - d.{c}) * (r.{c} - d.{c}), 0.0)" for c in ("a", "n"))
+    return f"""SELECT id, avg(v) AS v FROM (
+      SELECT r.id, d.{column} AS v, row_number() OVER (PARTITION BY r.id ORDER BY sqrt(({total}) * (2.0::DOUBLE / ({shared}))), d.id) AS k
+      FROM base r JOIN base d ON r.{column} IS NULL AND d.{column} IS NOT NULL WHERE ({shared}) > 0) WHERE k <= 5 GROUP BY id"""
+
+
+_HOLED = holed_sql("(SELECT c_custkey, c_acctbal, c_nationkey::DOUBLE AS c_nationkey FROM customer)", "c_custkey", _MASKS, _COLS)
+
+
+@query(
+    "apply_action",
+    f"""WITH base AS (SELECT c_custkey AS id, c_acctbal AS a, c_nationkey AS n FROM ({_HOLED})),
+    ka AS ({_nearest_sql('a')}), kn AS ({_nearest_sql('n')}),
+    f AS (SELECT b.id, coalesce(b.a, ka.v, (SELECT avg(a) FROM base)) AS a, coalesce(b.n, kn.v, (SELECT avg(n) FROM base)) AS n
+      FROM base b LEFT JOIN ka USING (id) LEFT JOIN kn USING (id)),
+    nb AS (SELECT * FROM (SELECT r.id AS i, d.id AS j, sqrt((r.a - d.a) * (r.a - d.a) + (r.n - d.n) * (r.n - d.n)) AS dist,
+        row_number() OVER (PARTITION BY r.id ORDER BY dist, d.id) AS k FROM f r JOIN f d ON r.id <> d.id) WHERE k <= 20),
+    kd AS (SELECT i, max(dist) AS kdist FROM nb GROUP BY i),
+    lrd AS (SELECT nb.i, 1.0 / (avg(greatest(nb.dist, kd.kdist)) + 1e-10) AS lrd FROM nb JOIN kd ON kd.i = nb.j GROUP BY nb.i),
+    s AS (SELECT nb.i, avg(b.lrd) / max(a.lrd) AS score FROM nb JOIN lrd b ON b.i = nb.j JOIN lrd a ON a.i = nb.i GROUP BY nb.i)
+    SELECT id AS c_custkey, round(a, 6) AS c_acctbal, round(n, 6) AS c_nationkey FROM f JOIN s ON s.i = f.id
+    WHERE score <= (SELECT quantile_cont(score, 0.95) FROM s)""",
+)
 def apply_action(spark, sf):
     df = evaluate.inject_mcar(numbers(spark, sf), F.col("c_custkey"), ["c_acctbal", "c_nationkey"], 0.2, 31)
     chosen = next(a for a in policy.actions() if a[1:4] == ("knn", "lof", 1))
-    return policy.apply_action(df, ["c_acctbal", "c_nationkey"], "c_custkey", chosen)
+    out = policy.apply_action(df, ["c_acctbal", "c_nationkey"], "c_custkey", chosen)
+    return out.withColumn("c_acctbal", r6("c_acctbal")).withColumn("c_nationkey", r6("c_nationkey"))
 
 
 _EPISODES = "(SELECT event_type, (user_id % 18)::INT AS action, event_id, (value - 50) / 100 AS reward FROM events)"

@@ -237,12 +237,28 @@ def adaptive_step(spark, sf):
     )
 
 
-@query("batch_drift_sequence")
+_IN = "d.v >= b.lo AND (d.v < b.hi OR (b.last AND d.v = b.hi))"
+_MARKS = ", ".join(str(i / 10) for i in range(11))
+
+
+@query(
+    "batch_drift_sequence",
+    f"""WITH RECURSIVE d AS (SELECT day, value * (1 + day // 10) AS v FROM (SELECT date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS day, value FROM events)),
+    n AS (SELECT day, count(*)::DOUBLE AS n FROM d GROUP BY day),
+    e AS (SELECT r, e, row_number() OVER (PARTITION BY r ORDER BY e) AS i FROM
+      (SELECT DISTINCT r, e FROM (SELECT day AS r, unnest(quantile_cont(v, [{_MARKS}])) AS e FROM d GROUP BY day))),
+    b AS (SELECT * FROM (SELECT r, i, e AS lo, lead(e) OVER (PARTITION BY r ORDER BY i) AS hi, i = max(i) OVER (PARTITION BY r) - 1 AS last FROM e) WHERE hi IS NOT NULL),
+    c AS (SELECT b.r, n.day, b.i, greatest(count(d.v) / max(n.n), 1e-6) AS s FROM b JOIN n ON n.day >= b.r LEFT JOIN d ON d.day = n.day AND {_IN} GROUP BY b.r, n.day, b.i),
+    p AS (SELECT c.r, c.day, sum((c.s - o.s) * ln(c.s / o.s)) AS psi FROM c JOIN c o ON o.r = c.r AND o.i = c.i AND o.day = o.r WHERE c.day > c.r GROUP BY c.r, c.day),
+    w AS (SELECT 0 AS day, NULL::INT AS ref, NULL::DOUBLE AS psi, true AS drifted, 0 AS cur
+      UNION ALL SELECT p.day, w.cur, p.psi, p.psi > 0.25, CASE WHEN p.psi > 0.25 THEN p.day ELSE w.cur END FROM w JOIN p ON p.r = w.cur AND p.day = w.day + 1)
+    SELECT day AS batch, ref AS reference_batch, round(psi, 6) AS max_psi, drifted FROM w""",
+)
 def batch_drift_sequence(spark, sf):
     events = table(spark, sf, "events")
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01"))
     moved = events.select(day.alias("day"), (F.col("value") * (1 + F.floor(day / 10))).alias("value"))
-    return adapt.batch_drift_sequence(moved, "day", ["value"])
+    return adapt.batch_drift_sequence(moved, "day", ["value"]).withColumn("max_psi", r6("max_psi"))
 
 
 # ---- streams

@@ -311,7 +311,11 @@ def metric_stats(spark, sf):
     return stats.select("name", *(r6(c).alias(c) for c in ("value", "ci_low", "ci_high", "ci_width", "relative_ci_width")))
 
 
-@query("grounding_facts")
+@query(
+    "grounding_facts",
+    f"""WITH {_METRICS} SELECT name AS metric_name, CASE WHEN ci_low IS NULL THEN name || ' = ' || printf('%.6g', value) || ' (no confidence interval available)'
+    ELSE name || ' = ' || printf('%.6g', value) || ' (95% CI [' || printf('%.6g', ci_low) || ', ' || printf('%.6g', ci_high) || '])' END AS text FROM metrics""",
+)
 def grounding_facts(spark, sf):
     return claims.grounding_facts(claims.metric_stats(line_metrics(spark, sf)))
 

@@ -200,10 +200,14 @@ def replay(runs: DataFrame, steps: DataFrame) -> DataFrame:
         F.col("run_id").alias("_run"), F.col("id").alias("step_id"), "step_seq", "step_type",
         "input_hash", "output_hash", "params_json", "seed",
     )
-    return runs.join(s, runs["id"] == s["_run"], "left").select(
-        runs["id"].alias("run_id"), "dataset_id", "git_sha", "config_hash", "run_key", "step_id",
-        "step_seq", "step_type", "input_hash", "output_hash", "params_json", "seed",
-    )
+    head = ["dataset_id", "git_sha", "config_hash", "run_key"]
+    tail = ["step_id", "step_seq", "step_type", "input_hash", "output_hash", "params_json", "seed"]
+    named = runs.withColumnRenamed("id", "run_id").select("run_id", *head)
+    # an inner join, which can be split when one run holds a large share of the steps; the runs
+    # without steps are few rows of their own
+    done = named.join(s, F.col("run_id") == F.col("_run")).select("run_id", *head, *tail)
+    idle = named.join(s.select("_run").distinct(), F.col("run_id") == F.col("_run"), "left_anti")
+    return done.unionByName(idle, allowMissingColumns=True)
 
 
 # ---- the store

@@ -105,7 +105,12 @@ def encode_label(df: DataFrame, target: str, name: str) -> DataFrame:
     Labels are the classes of a target; their number has the limit of ``levels_of``.
     """
     listed = levels_of(df, [target])[target]
-    return df.withColumn(name, _code(quoted(target), listed))
+    if len(listed) <= 64:
+        return df.withColumn(name, _code(quoted(target), listed))
+    kind = df.schema[target].dataType.simpleString()
+    codes = df.sparkSession.createDataFrame(list(zip(listed, range(len(listed)))), f"_l {kind}, _c int")
+    joined = df.join(F.broadcast(codes), quoted(target) == F.col("_l"), "left")  # MAX_LEVELS rows
+    return joined.withColumn(name, F.coalesce("_c", F.lit(-1))).drop("_l", "_c")
 
 
 def _code(col: Column, listed: Sequence) -> Column:
