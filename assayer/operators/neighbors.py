@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from assayer.functions.columns import number, quoted
 from assayer.functions.cutting import checkpointed
 
+ONE_LEAF = 8_192
 LEAF_ROWS = 512
 MAX_LEAVES = 65_536  # bounds the box table every task holds
 SAMPLE_PER_LEAF = 8  # with MAX_LEAVES bounds the sample the driver holds
@@ -141,10 +142,13 @@ def distinct_points(df: DataFrame, id_column: str, coords: Sequence[str], keep:
     )
 
 
-def leaf_count(n_donors: int, leaf_rows: int = LEAF_ROWS) -> int:
-    """Small tables get leaves of ``leaf_rows``. For large ones a receiver's work, leaves looked at
-    plus rows of a few leaves, is least when both grow with the square root of the rows."""
-    by_size = math.ceil(n_donors / leaf_rows)
+def leaf_count(n_donors: int, leaf_rows: int | None = None) -> int:
+    """Tiny tables are one leaf, small ones get leaves of LEAF_ROWS. For large ones a receiver's
+    work, leaves looked at plus rows of a few leaves, is least when both grow with the square root
+    of the rows."""
+    if leaf_rows is None and n_donors <= ONE_LEAF:
+        return 1
+    by_size = math.ceil(n_donors / (leaf_rows or LEAF_ROWS))
     return max(1, min(by_size, math.ceil(2 * math.sqrt(n_donors)), MAX_LEAVES))
 
 
@@ -230,7 +234,7 @@ def nearest(
     k: int,
     targets: Sequence[int] | None = None,
     n_rows: int | None = None,
-    leaf_rows: int = LEAF_ROWS,
+    leaf_rows: int | None = None,
 ) -> DataFrame:
     """(rid, target, did, rep, dist, value, rank): the k nearest donors of every receiver.
 
@@ -241,24 +245,63 @@ def nearest(
     """
     spark = donors.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    leaves = leaf_count(donors.count() if n_rows is None else n_rows, leaf_rows)
+    n = donors.count() if n_rows is None else n_rows
+    leaves = leaf_count(n, leaf_rows)
+    id_sql = donors.schema["id"].dataType.simpleString()
+    keys = ["leaf", "chunk", "copy"]
+
+    def meet(visits: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
+        """Top k of each visit. Both sides have leaf, chunks and copies: a leaf's donors are cut into
+        chunks and its visits spread over copies, so a block is bounded before it is grouped."""
+        # a name of its own: both sides of a cogroup must not carry the same source column
+        left = (
+            visits.withColumnRenamed("point", "spot").withColumn("copy", F.pmod(F.xxhash64("rid"), F.col("copies")).cast("int"))
+            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .drop("chunks", "copies")
+        )
+        right = (
+            rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+            .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+            .drop("chunks", "copies")
+        )
+        # blocks are small in bytes but not in work, so their spread is not left to size-based merging
+        parts = max(1, min(blocks, tasks * 4))
+        out_schema = (
+            f"rid {id_sql}, target int, point array<double>, leaf int, did {id_sql}, rep {id_sql}, "
+            "dist double, value double"
+        )
+        return (
+            left.repartition(parts, *keys).groupBy(*keys)
+            .cogroup(right.repartition(parts, *keys).groupBy(*keys))
+            .applyInPandas(lambda l, r: _block(l, r, width, k), out_schema)
+        )
+
+    order = Window.partitionBy("rid", "target").orderBy("dist", "did")
     if leaves == 1:
-        placed = checkpointed(donors.withColumn("leaf", F.lit(0)))
-    else:
-        n = donors.count() if n_rows is None else n_rows
-        share = min(1.0, max(20_000, leaves * SAMPLE_PER_LEAF) / n)
-        picked = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)) + 1)
-        sample = _matrix(donors.where(picked).select("point").toPandas()["point"], width)
-        nodes = _grow(sample, max(1, len(sample) // leaves))
-
-        @F.pandas_udf(T.IntegerType())
-        def leaf_of(points: pd.Series) -> pd.Series:
-            return pd.Series(_assign(nodes, _matrix(points, width)))
-
-        placed = checkpointed(donors.withColumn("leaf", leaf_of("point")))
+        chunks, copies = math.ceil(n / BLOCK_DONORS) or 1, math.ceil(n / BLOCK_RECEIVERS) or 1
+        # always 0, but not a literal: the optimizer folds a literal key out of the grouping
+        leaf = F.pmod(F.xxhash64("id"), F.lit(1)).cast("int")
+        shape = [leaf.alias("leaf"), F.lit(chunks).alias("chunks"), F.lit(copies).alias("copies")]
+        asked = F.array(*(F.lit(t) for t in ((-1,) if targets is None else targets)))
+        visits = receivers.select(F.col("id").alias("rid"), F.explode(asked).alias("target"), "point", *shape)
+        if targets is not None:
+            visits = visits.where(F.isnan(F.get("point", F.col("target"))))
+        met = meet(visits, donors.select("*", *shape), chunks * copies)
+        ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.where("did IS NOT NULL").drop("point", "leaf")
+
+    share = min(1.0, max(20_000, leaves * SAMPLE_PER_LEAF) / n)
+    picked = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)) + 1)
+    sample = _matrix(donors.where(picked).select("point").toPandas()["point"], width)
+    nodes = _grow(sample, max(1, len(sample) // leaves))
+
+    @F.pandas_udf(T.IntegerType())
+    def leaf_of(points: pd.Series) -> pd.Series:
+        return pd.Series(_assign(nodes, _matrix(points, width)))
+
+    placed = checkpointed(donors.withColumn("leaf", leaf_of("point")))
     boxes = _Boxes.of(placed, width)
 
-    id_sql = donors.schema["id"].dataType.simpleString()
     visit_schema = f"rid {id_sql}, target int, point array<double>, leaf int, bound double"
 
     def visits_frame(ids, target, points, at, bound):
@@ -305,8 +348,7 @@ def nearest(
 
     chunks = np.maximum(1, np.ceil(boxes.size / BLOCK_DONORS)).astype(int)
 
-    def meet(visits: DataFrame) -> DataFrame:
-        """Top k of each visit; blocks are bounded on both sides before they are grouped."""
+    def planned(visits: DataFrame) -> DataFrame:
         visits = checkpointed(visits)
         load = dict(visits.groupBy("leaf").agg(F.count("*").alias("n")).collect())  # row per leaf
         copies = [max(1, math.ceil(load.get(int(l), 0) / BLOCK_RECEIVERS)) for l in boxes.label]
@@ -315,54 +357,26 @@ def nearest(
             "leaf int, chunks int, copies int",
         )
         plan = F.broadcast(plan)  # one row per leaf
-        left = (
-            visits.join(plan, "leaf")
-            .withColumn("copy", F.pmod(F.xxhash64("rid"), F.col("copies")).cast("int"))
-            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .drop("chunks", "copies")
-        )
-        right = (
-            placed.join(plan, "leaf")
-            .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-            .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-            .drop("chunks", "copies")
-        )
-        keys = ["leaf", "chunk", "copy"]
-        # blocks are small in bytes but not in work, so their spread is not left to size-based merging
-        parts = min(max(1, int(np.dot(chunks, copies))), tasks * 4)
-        out_schema = (
-            f"rid {id_sql}, target int, point array<double>, leaf int, did {id_sql}, rep {id_sql}, "
-            "dist double, value double"
-        )
-        return (
-            left.repartition(parts, *keys).groupBy(*keys)
-            .cogroup(right.repartition(parts, *keys).groupBy(*keys))
-            .applyInPandas(lambda l, r: _block(l, r, width, k), out_schema)
-        )
+        return meet(visits.join(plan, "leaf"), placed.join(plan, "leaf"), int(np.dot(chunks, copies)))
 
-    order = Window.partitionBy("rid", "target").orderBy("dist", "did")
-    if leaves > 1:
-        receivers = receivers.repartition(tasks, "id")
-    first = meet(receivers.mapInPandas(first_visits, visit_schema))
-    if len(boxes.label) > 1:
-        first = checkpointed(first)
+    receivers = receivers.repartition(tasks, "id")
+    first = checkpointed(planned(receivers.mapInPandas(first_visits, visit_schema)))
     ranked = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    if len(boxes.label) > 1:
-        # a search has at least one first visit, and few of them
-        bounds = ranked.groupBy("rid", "target").agg(
-            F.when(F.count("did") >= k, F.max("dist")).otherwise(math.inf).alias("bound"),
-            F.first("point").alias("point"),
-        )
-        visited = first.groupBy("rid", "target").agg(F.collect_set("leaf").alias("seen"))
-        searches = bounds.join(visited, ["rid", "target"]).repartition(tasks, "rid")
-        both = first.unionByName(meet(searches.mapInPandas(second_visits, visit_schema)))
-        ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # a search has at least one first visit, and few of them
+    bounds = ranked.groupBy("rid", "target").agg(
+        F.when(F.count("did") >= k, F.max("dist")).otherwise(math.inf).alias("bound"),
+        F.first("point").alias("point"),
+    )
+    visited = first.groupBy("rid", "target").agg(F.collect_set("leaf").alias("seen"))
+    searches = bounds.join(visited, ["rid", "target"]).repartition(tasks, "rid")
+    both = first.unionByName(planned(searches.mapInPandas(second_visits, visit_schema)))
+    ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.where("did IS NOT NULL").drop("point", "leaf")
 
 
 def _block(left: pd.DataFrame, right: pd.DataFrame, width: int, k: int) -> pd.DataFrame:
     columns = ["rid", "target", "point", "leaf", "did", "rep", "dist", "value"]
-    if not len(left):
+    if not len(left) or not len(right):
         return pd.DataFrame(columns=columns)
     right = right.sort_values("id", kind="stable").reset_index(drop=True)
     donors = _matrix(right["point"], width)
@@ -370,7 +384,7 @@ def _block(left: pd.DataFrame, right: pd.DataFrame, width: int, k: int) -> pd.Da
     parts = []
     for start in range(0, len(left), 256):
         part = left.iloc[start : start + 256]
-        points = _matrix(part["point"], width)
+        points = _matrix(part["spot"], width)
         apart = _distances(points, donors)
         target = part["target"].to_numpy()
         for t in np.unique(target[target >= 0]):
@@ -391,7 +405,7 @@ def _block(left: pd.DataFrame, right: pd.DataFrame, width: int, k: int) -> pd.Da
                 {
                     "rid": part["rid"].to_numpy()[r],
                     "target": target[r],
-                    "point": part["point"].to_numpy()[r],
+                    "point": part["spot"].to_numpy()[r],
                     "leaf": part["leaf"].to_numpy()[r],
                     "did": ids[chosen],
                     "rep": reps[chosen],
@@ -403,7 +417,7 @@ def _block(left: pd.DataFrame, right: pd.DataFrame, width: int, k: int) -> pd.Da
         # a visit without a usable donor still has to be known to the second round
         empty = np.setdiff1d(np.arange(len(part)), r)
         if len(empty):
-            none = part.iloc[empty][["rid", "target", "point", "leaf"]].copy()
+            none = part.iloc[empty][["rid", "target", "spot", "leaf"]].rename(columns={"spot": "point"})
             none["did"], none["rep"] = None, None
             none["dist"], none["value"] = np.inf, np.nan
             parts.append(none)

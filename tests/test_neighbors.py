@@ -45,7 +45,7 @@ def check(spark, points, k, leaf_rows, targets=None):
         np.testing.assert_allclose([d for _, d in have], [d for _, d in want], rtol=1e-9, atol=1e-12)
 
 
-@pytest.mark.parametrize("leaf_rows", [10_000, 25])
+@pytest.mark.parametrize("leaf_rows", [None, 25])
 @pytest.mark.parametrize("seed", [0, 1])
 def test_complete_rows(spark, leaf_rows, seed):
     rng = np.random.default_rng(seed)
@@ -59,7 +59,7 @@ def test_one_point_holds_a_third_of_the_rows(spark):
     check(spark, points, 4, 20)
 
 
-@pytest.mark.parametrize("leaf_rows", [10_000, 20])
+@pytest.mark.parametrize("leaf_rows", [None, 20])
 def test_incomplete_rows(spark, leaf_rows):
     rng = np.random.default_rng(4)
     points = rng.normal(size=(250, 3)) * [1, 5, 2]
