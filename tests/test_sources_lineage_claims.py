@@ -244,3 +244,15 @@ def test_settings_files(tmp_path):
     assert Settings.of(None) == Settings() and s.as_dict()["imputation"]["method"] == "mice"
     with pytest.raises(FileNotFoundError):
         Settings.load(tmp_path / "absent.json")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from assayer.__main__ import main
+
+    rows = "\n".join(f"{i % 7},{'u' if i % 3 else 'v'},{(i % 7) * 2 + i % 2}.5" for i in range(60))
+    path = write_csv(tmp_path, f"a,b,y\n{rows}\n")
+    flags = ["--families", "linear", "--n-trials", "1", "--cv-folds", "2", "--stacking-cv-folds", "2"]
+    assert main(["fit", path, "--auto-preprocess", "--task", "regression", *flags]) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["features"] == ["a", "b_v"] and report["best_family"] == "linear"
+    assert main(["replay", str(tmp_path / "none"), "x"]) == 1
