@@ -113,7 +113,7 @@ def map_texts(
                 cells = [*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(made, kinds))]
                 yield pa.RecordBatch.from_arrays(cells, names=schema.names)
 
-    return df.select(*(quoted(c) for c in keep), quoted(text).alias("__text")).mapInArrow(task, schema)
+    return df.select(*(quoted(c) for c in keep), quoted(text).alias("__mapped_text")).mapInArrow(task, schema)
 
 
 _made: dict[str, object] = {}

@@ -1,4 +1,4 @@
 """All registered queries over the corpus."""
 
 from assayer.llm.common import ORACLES, QUERIES  # noqa: F401
-from assayer.llm import decontamination, langid, licenses, mixing, quality, sharding, tokencount, toxicity  # noqa: F401
+from assayer.llm import decontamination, langid, licenses, mixing, quality, sharding, similarity, tokencount, toxicity  # noqa: F401
