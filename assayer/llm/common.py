@@ -101,7 +101,12 @@ def map_texts(
     df: DataFrame, run: Callable[[list[str | None]], Sequence[Sequence]], fields: Sequence[T.StructField],
     keep: Sequence[str], text: str = "text", at_once: int = 256,
 ) -> DataFrame:
-    """Columns ``keep`` as they are and ``fields``, which ``run`` makes from ``at_once`` texts at a time."""
+    """Columns ``keep`` as they are and ``fields``, which ``run`` makes from ``at_once`` texts at a time.
+
+    A kept column with the name of a field gives way to it.
+    """
+    taken = {f.name.lower() for f in fields}
+    keep = [c for c in keep if c.lower() not in taken]
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
     kinds = [to_arrow_type(f.dataType) for f in fields]
 
@@ -131,3 +136,9 @@ def once(make: Callable[[], object]) -> Callable[[], object]:
         return _made[name]
 
     return get
+
+
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under column names no operator uses, and the new name of each lower-cased old one."""
+    names = [f"__c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), {old.lower(): new for old, new in zip(df.columns, names)}

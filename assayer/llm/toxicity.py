@@ -271,13 +271,13 @@ def _weigh(
 
 def _calibrate(model: Model, sample: DataFrame, chance: dict[int, float]) -> None:
     """Fits the location of the chance law and the logistic curve on at most 2 * MAX_LABELLED small rows."""
-    raw = _passages(sample, model, ["kind"]).select("kind", "best", "total").collect()
-    clean = [r["best"] for r in raw if r["kind"] == 0 and r["best"] > 0]
+    raw = _passages(sample, model, ["kind"]).select("kind", "__best", "__total").collect()
+    clean = [r["__best"] for r in raw if r["kind"] == 0 and r["__best"] > 0]
     if len(clean) >= 50:
         # Mean of the extreme-value law is its location plus Euler's constant.
         model.offset = max(0.0, sum(clean) / len(clean) - 0.5772)
-        raw = _passages(sample, model, ["kind"]).select("kind", "best", "total").collect()
-    x = np.array([[1.0, math.log1p(r["best"]), math.log1p(r["total"])] for r in raw])
+        raw = _passages(sample, model, ["kind"]).select("kind", "__best", "__total").collect()
+    x = np.array([[1.0, math.log1p(r["__best"]), math.log1p(r["__total"])] for r in raw])
     y = np.array([float(r["kind"]) for r in raw])
     if not len(y) or y.min() == y.max():
         return
@@ -306,25 +306,25 @@ def _passages(df: DataFrame, model: Model, keep: Sequence[str], text: str = "tex
 
     def run(texts: list[str | None]):
         scorer = ready()
-        out = [[], [], [], [], []]
+        out = [[], [], [], []]
         for t in texts:
             best, total, where = scorer.passages(t)
             p = scorer.model.probability(math.log1p(best), math.log1p(total))
-            row = (best, total, len(t or ""), p, [{"start": a, "end": b, "excess": e} for a, b, e in where])
+            row = (best, total, p, [{"start": a, "end": b, "excess": e} for a, b, e in where])
             for column, value in zip(out, row):
                 column.append(value)
         return out
 
     fields = [
-        T.StructField("best", T.DoubleType()), T.StructField("total", T.DoubleType()),
-        T.StructField("n_chars", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("passages", found),
+        T.StructField("__best", T.DoubleType()), T.StructField("__total", T.DoubleType()),
+        T.StructField("score", T.DoubleType()), T.StructField("passages", found),
     ]
     return map_texts(df, run, fields, keep, text)
 
 
 def score(df: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns ``keep`` with score (0 to 1) and passages: word ranges and their excess over chance."""
-    return _passages(df, model, keep, text).select(*(quoted(c) for c in keep), "score", "passages")
+    return _passages(df, model, keep, text).drop("__best", "__total")
 
 
 @query("op1_toxicity")
