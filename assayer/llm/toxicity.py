@@ -1,9 +1,9 @@
 """Toxic passages as maximal scoring segments over token log-odds.
 
-1. *Token scores.* In labelled texts, counts of words and of word beginnings give the log-odds of toxic against
-   clean, with a Dirichlet prior in proportion to the counts of the same features over the whole corpus, and its
-   standard error. A word scores its own log-odds if they are significant, else those of its longest significant
-   beginning; all other words lower the score by ``DRIFT``.
+1. *Token scores.* In labelled texts, counts of words and of word beginnings, each once a text, give the log-odds of
+   toxic against clean, with a Dirichlet prior in proportion to the counts of the same features over the whole
+   corpus; a likelihood ratio tells if the shares differ. A word scores its own log-odds if they are significant,
+   else those of its longest significant beginning; all other words lower the score by ``DRIFT``.
 2. *Segments.* One linear scan finds every maximal scoring segment: all disjoint runs of words that no longer or
    shorter run beats.
 3. *Calibration.* The scale of the extreme-value law of the best score by chance comes from the token frequencies of
@@ -36,10 +36,10 @@ from assayer.llm.common import held_out, map_texts, once, query, table, words_of
 
 MAX_LABELLED = 20_000
 MAX_FEATURES = 50_000
-MIN_COUNT = 5
+MIN_COUNT = 3
 BEGINNINGS = (6, 5, 4)
 Z_SCORE = 4.0
-PRIOR_WEIGHT = 1_000.0
+PRIOR_WEIGHT = 20_000.0
 DRIFT = 0.25
 E_VALUE = 0.05
 CUT = 0.3
@@ -133,7 +133,8 @@ class Scorer(dict):
 
 
 def count_features(df: DataFrame, wanted: Sequence[str] | None = None, kinds: int = 1) -> DataFrame:
-    """(feature, kind, n) over ``df`` (kind, text), summed within tasks first; ``wanted`` limits the features."""
+    """(feature, kind, texts that hold it) over ``df`` (kind, text), summed within tasks first; ``wanted`` limits the
+    features. A beginning counts once for every different word that has it."""
     sent = None if wanted is None else df.sparkSession.sparkContext.broadcast(frozenset(wanted))
     schema = "feature string, kind int, n long"
 
@@ -163,7 +164,7 @@ def count_features(df: DataFrame, wanted: Sequence[str] | None = None, kinds: in
             for start in range(0, whole.num_rows, 512):
                 part = whole.slice(start, 512)
                 for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words[k].update(words_of(t))
+                    words[k].update(set(words_of(t)))
                 if sum(map(len, words)) > 200_000:
                     spread()
                     if sum(map(len, counts)) > 400_000:
@@ -248,10 +249,10 @@ def _weigh(
         odds = math.log((toxic + prior) / (n_toxic + PRIOR_WEIGHT - toxic - prior)) - math.log(
             (clean + prior) / (n_clean + PRIOR_WEIGHT - clean - prior)
         )
-        z = odds / math.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
-        if z >= Z_SCORE and odds > 1.0:
+        sure = _root(toxic, clean, n_toxic, n_clean) >= Z_SCORE
+        if sure and odds > 1.0:
             scores[f] = min(odds, 10.0)
-        elif z <= -Z_SCORE and "*" not in f:
+        elif sure and odds < 0 and "*" not in f:
             scores[f] = max(odds, -2.0) - DRIFT
     model = Model(scores)
     # Scale: the root of sum(p * exp(scale * score)) = 1 over the words of clean text.
@@ -269,6 +270,13 @@ def _weigh(
     return model
 
 
+def _root(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """Root of the likelihood ratio of unequal against equal shares; holds where one count is 0."""
+    both = (toxic + clean) / (n_toxic + n_clean)
+    g = sum(k * math.log(k / (n * both)) for k, n in ((toxic, n_toxic), (clean, n_clean)) if k)
+    return math.sqrt(max(0.0, 2 * g))
+
+
 def _calibrate(model: Model, sample: DataFrame, chance: dict[int, float]) -> None:
     """Fits the location of the chance law and the logistic curve on at most 2 * MAX_LABELLED small rows."""
     raw = _passages(sample, model, ["kind"]).select("kind", "__best", "__total").collect()
