@@ -39,7 +39,8 @@ MAX_FEATURES = 50_000
 MIN_COUNT = 3
 BEGINNINGS = (6, 5, 4)
 Z_SCORE = 4.0
-PRIOR_WEIGHT = 20_000.0
+#: Weight of the prior, as a share of the labelled counts.
+PRIOR_SHARE = 0.05
 DRIFT = 0.25
 E_VALUE = 0.05
 CUT = 0.3
@@ -243,11 +244,11 @@ def _weigh(
     counts: dict[str, tuple[int, int]], everywhere: dict[str, int], n_toxic: int, n_clean: int
 ) -> Model:
     corpus = max(1, sum(n for f, n in everywhere.items() if "*" not in f))
-    scores = {}
+    scores, weight = {}, PRIOR_SHARE * (n_toxic + n_clean)
     for f, (toxic, clean) in counts.items():
-        prior = PRIOR_WEIGHT * (everywhere.get(f, 0) + 0.5) / corpus
-        odds = math.log((toxic + prior) / (n_toxic + PRIOR_WEIGHT - toxic - prior)) - math.log(
-            (clean + prior) / (n_clean + PRIOR_WEIGHT - clean - prior)
+        prior = weight * (everywhere.get(f, 0) + 0.5) / corpus
+        odds = math.log((toxic + prior) / (n_toxic + weight - toxic - prior)) - math.log(
+            (clean + prior) / (n_clean + weight - clean - prior)
         )
         sure = _root(toxic, clean, n_toxic, n_clean) >= Z_SCORE
         if sure and odds > 1.0:
