@@ -51,10 +51,10 @@ def tokens_of(text: Column) -> Column:
 
 def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
     """(value, target share) from the corpus' own shares."""
-    sums = cells.groupBy(margin).agg(F.sum("__mix_tokens").alias("n"))
-    lifted = sums.select(margin, F.pow(F.col("n").cast("double"), F.lit(temper)).alias("p"))
-    whole = lifted.agg(F.sum("p").alias("s"))
-    return lifted.join(F.broadcast(whole)).select(margin, (F.col("p") / F.col("s")).alias("__mix_target"))
+    sums = cells.groupBy(margin).agg(F.sum("__mix_tokens").alias("__mix_n"))
+    lifted = sums.select(margin, F.pow(F.col("__mix_n").cast("double"), F.lit(temper)).alias("__mix_p"))
+    whole = lifted.agg(F.sum("__mix_p").alias("__mix_s"))
+    return lifted.join(F.broadcast(whole)).select(margin, (F.col("__mix_p") / F.col("__mix_s")).alias("__mix_target"))
 
 
 def rake(
@@ -69,8 +69,8 @@ def rake(
         given = (targets or {}).get(m)
         share = tempered(cells, m, temper) if given is None else given.toDF(m, "__mix_target")
         goals[m] = f"__mix_goal{i}"
-        goal = share.join(F.broadcast(whole)).select(
-            F.col(m).alias("__mix_value"), (F.col("__mix_target") * F.col("__mix_all")).alias(goals[m])
+        goal = share.toDF("__mix_value", "__mix_target").join(F.broadcast(whole)).select(
+            "__mix_value", (F.col("__mix_target") * F.col("__mix_all")).alias(goals[m])
         )
         fitted = fitted.join(goal, F.col(m).eqNullSafe(F.col("__mix_value")), "left").drop("__mix_value")
     for _ in range(rounds):
