@@ -1,4 +1,4 @@
-"""Column classes, missing-value tests and the integer mix shared with SQL."""
+"""Column classes, missing-value tests and the keyed hash shared with SQL."""
 
 from __future__ import annotations
 
@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 FLOATING = (T.DoubleType, T.FloatType)
 
-# Fixed values of the integer mix; any SQL engine evaluates it identically.
-MIX_MODULUS = 1_000_003
-MIX_MULTIPLIER = 2_654_435_761
-MIX_SEED_STEP = 40_503
+# Range of the keyed hash: ten hexadecimal digits of md5, which any SQL engine has.
+MIX_DIGITS = 10
+MIX_MODULUS = 16**MIX_DIGITS
 
 
 def is_numeric(field: T.StructField, booleans: bool = True) -> bool:
@@ -68,9 +67,9 @@ def nan_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def mix(key: Column, seed: int = 0) -> Column:
-    """Pseudo-random BIGINT in [0, MIX_MODULUS) from a non-negative integer key."""
-    step = (key.cast("bigint") % F.lit(MIX_MODULUS)) * F.lit(MIX_MULTIPLIER)
-    return (step + F.lit(seed * MIX_SEED_STEP)) % F.lit(MIX_MODULUS)
+    """Pseudo-random BIGINT in [0, MIX_MODULUS) from a key and a seed; different seeds give unrelated values."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, MIX_DIGITS), 16, 10).cast("bigint")
 
 
 def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[Column] = ()) -> DataFrame:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the session names; a temporary one only where none is named."""
+    """The checkpoint folder the session names; a temporary one only where none is named and all runs on this machine."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="assayer-"))
     return context.getCheckpointDir()
 

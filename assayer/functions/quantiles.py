@@ -1,10 +1,9 @@
 """Exact quantiles with bounded state.
 
-``percentile`` keeps every distinct value of a column in one aggregation buffer. That is the right
-tool for a bounded column and is used for one. Beyond ``row_limit`` rows the ranks are found by
-narrowing instead: each pass counts the rows of the still-open value ranges in equal-width bins
-(map-side combined, one row per bin), keeps only the bins that hold a wanted rank, and repeats
-until a range is a single value or small enough to be ordered by its distinct values.
+``percentile`` would keep every distinct value of a column in one aggregation buffer. Ranks are found by narrowing
+instead, at every size: each pass counts the rows of the still-open value ranges in equal-width bins (map-side
+combined, one row per bin), keeps only the bins that hold a wanted rank, and repeats until a range is a single value
+or holds at most ``list_rows`` rows, which are ordered by their distinct values.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    row_limit: int = 100_000,
+    list_rows: int = 100_000,
 ) -> dict[str, list[float] | None]:
     """Linear-interpolation quantiles per column; None for a column without values."""
     if not columns:
@@ -45,32 +44,24 @@ def exact_quantiles(
         pieces += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}")]
     row = df.agg(*pieces).first()
     found: dict[str, list[float] | None] = {}
-    small, large = [], []
+    wide = []
     for i, c in enumerate(columns):
         n = row[f"n{i}"]
         if n == 0:
             found[c] = None
         elif row[f"a{i}"] == row[f"b{i}"]:
             found[c] = [row[f"a{i}"]] * len(probabilities)
-        elif n <= row_limit:
-            small.append(c)
         else:
-            large.append((c, n, row[f"a{i}"], row[f"b{i}"]))
-    if small:
-        marks = [float(p) for p in probabilities]
-        got = df.agg(
-            *(F.percentile(number(df, c), marks).alias(f"q{i}") for i, c in enumerate(small))
-        ).first()
-        found.update({c: list(got[f"q{i}"]) for i, c in enumerate(small)})
-    if large:
-        found.update(_narrowed(df, large, probabilities, row_limit))
+            wide.append((c, n, row[f"a{i}"], row[f"b{i}"]))
+    if wide:
+        found.update(_narrowed(df, wide, probabilities, list_rows))
     return {c: found[c] for c in columns}
 
 
-def _narrowed(df, large, probabilities, row_limit):
+def _narrowed(df, wide, probabilities, list_rows):
     wanted = {}
     open_ranges = []
-    for c, n, low, high in large:
+    for c, n, low, high in wide:
         ranks = set()
         for p in probabilities:
             at = p * (n - 1)
@@ -95,7 +86,7 @@ def _narrowed(df, large, probabilities, row_limit):
                     wanted[r.column].update(dict.fromkeys(ranks, row["a"]))
                 elif ranks:
                     part = _Range(r.column, row["a"], row["b"], row["n"], below, ranks)
-                    (settled if row["n"] <= row_limit else nxt).append(part)
+                    (settled if row["n"] <= list_rows else nxt).append(part)
                 below += row["n"]
         open_ranges = nxt
 
@@ -120,7 +111,7 @@ def _narrowed(df, large, probabilities, row_limit):
                     wanted[r.column][k] = row["value"]
 
     out = {}
-    for c, n, *_ in large:
+    for c, n, *_ in wide:
         values = []
         for p in probabilities:
             at = p * (n - 1)

@@ -114,21 +114,25 @@ def drafted_claims(parsed: DataFrame, keep: list[str]) -> DataFrame:
 def last_by_name(stats: DataFrame, order: str) -> DataFrame:
     """One row per metric name: of repeated names the last one counts."""
     rest = [c for c in stats.columns if c != "name"]
-    return (
-        stats.groupBy("name").agg(F.max_by(F.struct(*rest), F.col(order)).alias("_s")).select("name", "_s.*")
-    )
+    # a null order counts as least, but its metric still counts
+    rank = F.struct(F.col(order).isNotNull(), F.col(order))
+    return stats.groupBy("name").agg(F.max_by(F.struct(*rest), rank).alias("_s")).select("name", "_s.*")
 
 
 def verify_claims(
-    claims: DataFrame, stats: DataFrame, settings: ClaimSettings | None = None, reasons: bool = True
+    claims: DataFrame, stats: DataFrame, settings: ClaimSettings | None = None, reasons: bool = True,
+    order: str | None = None,
 ) -> DataFrame:
     """``claims`` with actual_value, relative_ci_width, verified and rejection_reason.
 
+    One row per claim: of metrics with the same name the last by ``order`` counts, without it the largest value.
+
     A left join by metric name; the runtime plan broadcasts the metrics when they are measured to be
     small and otherwise splits a name that holds a large share of the claims.
     """
     s = settings or ClaimSettings()
-    known = stats.select(
+    known = last_by_name(stats.select("name", "value", "relative_ci_width", *([order] if order else [])), order or "value")
+    known = known.select(
         F.col("name").alias("_name"), F.col("value").alias("actual_value"), "relative_ci_width"
     )
     joined = claims.join(known, F.col("metric_name") == F.col("_name"), "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from assayer.functions.columns import MIX_MODULUS, mix, number, quoted
@@ -12,6 +13,10 @@ from assayer.functions.ranking import mixed_row_number
 from assayer.functions.special import student_t_p
 
 
+#: Distance between the seeds of a column's order and of its draws.
+DRAW_SEED = 1_000
+
+
 def mcar_mask(key: Column, rate: float, seed: int) -> Column:
     """True for a share ``rate`` of keys, the same ones in every engine."""
     return mix(key, seed) < F.lit(int(rate * MIX_MODULUS) + 1)
@@ -52,17 +57,20 @@ def masked_rmse(
 
 
 def marginal_resample(
-    df: DataFrame, key: str, columns: Sequence[str], seed: int
+    df: DataFrame, key: str, columns: Sequence[str], seed: int, n_rows: int | None = None
 ) -> DataFrame:
-    """Synthetic rows (position, columns): every column in its own random order.
+    """``n_rows`` synthetic rows (position, columns), as many as ``df`` has by default.
 
-    Marginals stay, the joint distribution is broken. Each column is a permutation of the real one.
+    Every value is drawn on its own from its real column, with replacement: marginals stay, the joint distribution is
+    broken. Position p takes the row whose rank in a hash order is a hash of p, so a draw is a join on ranks.
     """
-    parts = []
+    n = df.count()
+    drawn = df.sparkSession.range(1, (n if n_rows is None else n_rows) + 1).select(F.col("id").alias("position"))
     for i, c in enumerate(columns):
-        ranked = mixed_row_number(df.select(key, c), F.col(key), seed + i, name="position")
-        parts.append(ranked.select("position", c))
-    return reduce(lambda a, b: a.join(b, "position"), parts)
+        ranked = mixed_row_number(df.select(key, c), F.col(key), seed + i, name="_rank").select("_rank", c)
+        place = F.floor(mix(F.col("position"), seed + DRAW_SEED + i) / F.lit(float(MIX_MODULUS)) * n) + 1
+        drawn = drawn.withColumn("_place", place).join(ranked, F.col("_place") == F.col("_rank")).drop("_place", "_rank")
+    return drawn
 
 
 def labelled_union(real: DataFrame, synthetic: DataFrame) -> DataFrame:
@@ -98,10 +106,11 @@ def paired_t(df: DataFrame, first: str, second: str, by: Sequence[str] = ()) ->
     )
 
 
-@F.udf(T.DoubleType())
-def t_p_value(t, n):
-    """Two-sided p-value for the few rows of a comparison table."""
-    return None if t is None or n is None or n < 2 else student_t_p(float(t), int(n) - 1)
+@F.pandas_udf(T.DoubleType())
+def t_p_value(t: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p-value for the rows of a comparison table."""
+    ok = t.notna() & n.notna() & (n >= 2)
+    return pd.Series([student_t_p(float(a), int(b) - 1) if k else None for a, b, k in zip(t, n, ok)], dtype="float64")
 
 
 def summary_by_group(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -233,6 +233,11 @@ def stability_index(reference: Sequence[int], n_ref: int, current: Sequence[int]
     return total
 
 
+def constant_index(value: float, mean: float) -> float:
+    """Index against a reference that holds one value: none if the mean is that value, else infinite."""
+    return 0.0 if abs(value - mean) <= 1e-8 + 1e-5 * abs(mean) else math.inf
+
+
 def psi(
     current: DataFrame, reference: DataFrame, columns: Sequence[str], bins: int = 10
 ) -> dict[str, float]:
@@ -262,8 +267,7 @@ def psi_against(current: DataFrame, edges: Mapping, reference_shares: Mapping) -
         if now[c]["total"] == 0 or before["total"] == 0:
             continue
         if c in means:
-            near = abs(e[0] - means[c]) <= 1e-8 + 1e-5 * abs(means[c])
-            out[c] = 0.0 if near else math.inf
+            out[c] = constant_index(e[0], means[c])
         else:
             out[c] = stability_index(
                 before["bins"], before["total"], now[c]["bins"], now[c]["total"]

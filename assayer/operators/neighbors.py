@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from assayer.functions.columns import number, quoted
 from assayer.functions.cutting import checkpointed
 
-ONE_LEAF = 8_192
 LEAF_ROWS = 512
 MAX_LEAVES = 65_536  # bounds the box table every task holds
 SAMPLE_PER_LEAF = 8  # with MAX_LEAVES bounds the sample the driver holds
@@ -143,11 +142,8 @@ def distinct_points(df: DataFrame, id_column: str, coords: Sequence[str], keep:
 
 
 def leaf_count(n_donors: int, leaf_rows: int | None = None) -> int:
-    """Tiny tables are one leaf, small ones get leaves of LEAF_ROWS. For large ones a receiver's
-    work, leaves looked at plus rows of a few leaves, is least when both grow with the square root
-    of the rows."""
-    if leaf_rows is None and n_donors <= ONE_LEAF:
-        return 1
+    """Leaves of LEAF_ROWS, fewer where they would be more than about the square root of the rows: a receiver's work,
+    leaves looked at plus rows of a few leaves, is least when both grow alike."""
     by_size = math.ceil(n_donors / (leaf_rows or LEAF_ROWS))
     return max(1, min(by_size, math.ceil(2 * math.sqrt(n_donors)), MAX_LEAVES))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from assayer.functions.columns import MIX_MODULUS
 from assayer.operators import evaluate, impute, outliers, policy
 from assayer.plans.registry import holed_sql, mix_sql, query, r6, table
 
@@ -22,7 +23,7 @@ def inject_mcar(spark, sf):
 
 
 def _gone(c: str, seed: int) -> str:
-    return f"{mix_sql('c_custkey', seed)} < 200001"
+    return f"{mix_sql('c_custkey', seed)} < {int(0.2 * MIX_MODULUS) + 1}"
 
 
 @query(
@@ -45,15 +46,25 @@ def masked_rmse(spark, sf):
     return out.withColumn("rmse", r6("rmse"))
 
 
-_SHUFFLED = f"""(SELECT a."position", c_acctbal, c_nationkey FROM
-  (SELECT row_number() OVER (ORDER BY {mix_sql('c_custkey', 51)}, c_custkey) AS "position", c_acctbal FROM customer) a JOIN
-  (SELECT row_number() OVER (ORDER BY {mix_sql('c_custkey', 52)}, c_custkey) AS "position", c_nationkey::DOUBLE AS c_nationkey FROM customer) b
-  USING ("position"))"""
+# As many synthetic rows as make up 5% of the real ones, each column drawn on its own with replacement.
+_N = "(SELECT count(*) FROM customer)"
+
+
+def _drawn(expression: str, name: str, seed: int) -> str:
+    place = f"floor({mix_sql('p', seed + evaluate.DRAW_SEED)} / {float(MIX_MODULUS)} * {_N})::BIGINT + 1"
+    return f"""(SELECT p AS "position", {name} FROM (SELECT p, {place} AS place FROM (SELECT unnest(range(1, {_N} // 20 + 1)) AS p)) d
+      JOIN (SELECT row_number() OVER (ORDER BY {mix_sql('c_custkey', seed)}, c_custkey) AS r, {expression} AS {name} FROM customer) c
+      ON d.place = c.r)"""
+
+
+_SHUFFLED = f"""(SELECT "position", c_acctbal, c_nationkey FROM {_drawn('c_acctbal', 'c_acctbal', 51)} a
+  JOIN {_drawn('c_nationkey::DOUBLE', 'c_nationkey', 52)} b USING ("position"))"""
 
 
 @query("marginal_resample", f"SELECT * FROM {_SHUFFLED}")
 def marginal_resample(spark, sf):
-    return evaluate.marginal_resample(numbers(spark, sf), "c_custkey", ["c_acctbal", "c_nationkey"], 51)
+    real = numbers(spark, sf)
+    return evaluate.marginal_resample(real, "c_custkey", ["c_acctbal", "c_nationkey"], 51, real.count() // 20)
 
 
 _UNION = f"""(SELECT c_custkey AS id, c_acctbal, c_nationkey::DOUBLE AS c_nationkey, false AS is_outlier FROM customer

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.functions.columns import mix
+from assayer.functions.columns import MIX_MODULUS, mix
 from assayer.operators import evaluate, gates, impute, outliers, profile
 from assayer.plans.registry import holed_sql, mix_sql, psi_sql, query, r6, table
 from assayer.settings import Settings
@@ -375,12 +375,12 @@ def load_dataset(spark, sf):
 
 @query(
     "na_values_scan",
-    f"""SELECT o_orderkey, CASE WHEN {mix_sql('o_orderkey', 3)} < 100000 THEN NULL ELSE o_totalprice END AS o_totalprice,
+    f"""SELECT o_orderkey, CASE WHEN {mix_sql('o_orderkey', 3)} < {MIX_MODULUS // 10} THEN NULL ELSE o_totalprice END AS o_totalprice,
     CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders""",
 )
 def na_values_scan(spark, sf):
     orders = table(spark, sf, "orders")
-    text = F.when(mix(F.col("o_orderkey"), 3) < 100000, "?").otherwise(F.col("o_totalprice").cast("string"))
+    text = F.when(mix(F.col("o_orderkey"), 3) < MIX_MODULUS // 10, "?").otherwise(F.col("o_totalprice").cast("string"))
     raw = orders.select("o_orderkey", text.alias("o_totalprice"), "o_orderpriority")
     return tables.with_null_tokens(raw, ["?", "4-NOT SPECIFIED"])
 

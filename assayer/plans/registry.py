@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayer.functions.columns import MIX_MODULUS, MIX_MULTIPLIER, MIX_SEED_STEP
+from assayer.functions.columns import MIX_DIGITS, MIX_MODULUS
 from assayer.functions.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +38,7 @@ def r6(col: Column | str, digits: int = 6) -> Column:
 
 
 def mix_sql(key: str, seed: int = 0) -> str:
-    return f"(((({key}) % {MIX_MODULUS}) * {MIX_MULTIPLIER} + {seed * MIX_SEED_STEP}) % {MIX_MODULUS})"
+    return f"('0x' || substr(md5(({key})::VARCHAR || ':{seed}'), 1, {MIX_DIGITS}))::BIGINT"
 
 
 def holed_sql(source: str, key: str, rates: Sequence[tuple[str, float, int]], columns: Sequence[str]) -> str:

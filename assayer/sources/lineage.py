@@ -7,6 +7,7 @@ without a transaction log this expects one writer per table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -36,8 +37,10 @@ TABLES = {
 STATUSES = ("queued", "running", "gate-check", "optimizing", "done", "failed")
 
 
-def keyed_id(*parts: Column) -> Column:
-    """An id that the same content always gets, so a retried task writes the same row."""
+def keyed_id(*parts: Column, event: str = "") -> Column:
+    """An id that the same content of the same ``event`` always gets, so a retried task writes the same row."""
+    if event:
+        parts = (*parts, F.lit(event))
     filled = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
     return F.substring(F.sha2(F.concat_ws("\u001f", *filled), 256), 1, 32)
 
@@ -100,12 +103,12 @@ def get_or_create_run(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame
     return fresh, answer
 
 
-def gate_chain_rows(results: DataFrame) -> dict[str, DataFrame]:
+def gate_chain_rows(results: DataFrame, event: str = "") -> dict[str, DataFrame]:
     """Rows for three tables from gate results (run_id, gate_name, passed, reason, details)."""
     per_run = results.groupBy("run_id").agg(F.bool_and("passed").alias("ok"))
     return {
         "gate_evaluations": results.select(
-            keyed_id(F.lit("gate"), F.col("run_id"), F.col("gate_name")).alias("id"),
+            keyed_id(F.lit("gate"), F.col("run_id"), F.col("gate_name"), event=event).alias("id"),
             "run_id",
             "gate_name",
             "passed",
@@ -114,7 +117,7 @@ def gate_chain_rows(results: DataFrame) -> dict[str, DataFrame]:
             F.current_timestamp().alias("evaluated_at"),
         ),
         "audit_log": per_run.select(
-            keyed_id(F.lit("audit"), F.col("run_id"), F.lit("validation_gates")).alias("id"),
+            keyed_id(F.lit("audit"), F.col("run_id"), F.lit("validation_gates"), event=event).alias("id"),
             "run_id",
             F.lit("validation_gates").alias("actor"),
             F.when(F.col("ok"), "gate_chain_passed").otherwise("gate_chain_rejected").alias("action"),
@@ -135,13 +138,13 @@ def current_status(events: DataFrame, by: str = "run_id") -> DataFrame:
     return events.groupBy(by).agg(last.alias("_l")).select(by, "_l.status", "_l.updated_at")
 
 
-def step_rows(steps: DataFrame) -> dict[str, DataFrame]:
+def step_rows(steps: DataFrame, event: str = "") -> dict[str, DataFrame]:
     """Step and transformation rows sharing the step id.
 
     From (run_id, step_seq, step_type, input_hash, output_hash, params_json, seed,
     transform_code_hash, description).
     """
-    step_id = keyed_id(F.lit("step"), F.col("run_id"), F.col("step_seq"), F.col("step_type"))
+    step_id = keyed_id(F.lit("step"), F.col("run_id"), F.col("step_seq"), F.col("step_type"), event=event)
     named = steps.withColumn("id", step_id)
     return {
         "pipeline_steps": named.select(
@@ -155,18 +158,18 @@ def step_rows(steps: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def trial_rows(trials: DataFrame) -> DataFrame:
+def trial_rows(trials: DataFrame, event: str = "") -> DataFrame:
     """hyperparameters rows from (run_id, model_family, trial_number, params_json, score)."""
-    key = keyed_id(F.lit("trial"), F.col("run_id"), F.col("model_family"), F.col("trial_number"))
+    key = keyed_id(F.lit("trial"), F.col("run_id"), F.col("model_family"), F.col("trial_number"), event=event)
     return trials.select(
         key.alias("id"), "run_id", "model_family", "trial_number", "params_json", "score"
     )
 
 
-def metric_rows(metrics: DataFrame) -> DataFrame:
+def metric_rows(metrics: DataFrame, event: str = "") -> DataFrame:
     """metrics rows from (run_id, name, value, ci_low, ci_high)."""
     return metrics.select(
-        keyed_id(F.lit("metric"), F.col("run_id"), F.col("name")).alias("id"),
+        keyed_id(F.lit("metric"), F.col("run_id"), F.col("name"), event=event).alias("id"),
         "run_id", "name", "value", "ci_low", "ci_high",
     )
 
@@ -180,11 +183,11 @@ def artifact_rows(artifacts: DataFrame) -> DataFrame:
 
 
 def episode_rows(
-    episodes: DataFrame, state: Sequence[str], action: Sequence[str]
+    episodes: DataFrame, state: Sequence[str], action: Sequence[str], event: str = ""
 ) -> DataFrame:
     """rl_episodes rows; state and action columns become JSON objects."""
     return episodes.select(
-        keyed_id(F.lit("episode"), F.col("episode_number"), F.col("run_id")).alias("id"),
+        keyed_id(F.lit("episode"), F.col("episode_number"), F.col("run_id"), event=event).alias("id"),
         F.col("episode_number").cast("int").alias("episode_number"),
         F.to_json(F.struct(*state)).alias("state_json"),
         F.to_json(F.struct(*action)).alias("action_json"),
@@ -270,25 +273,28 @@ class LineageStore:
             ),
         )
 
-    def record_gate_chain(self, results: DataFrame) -> None:
-        for table, rows in gate_chain_rows(results).items():
+    # Every record call is an event of its own; a caller that repeats a write after a failure passes the event's name
+    # again, and rows already stored under it are left out.
+
+    def record_gate_chain(self, results: DataFrame, event: str | None = None) -> None:
+        for table, rows in gate_chain_rows(results, event or uuid.uuid4().hex).items():
             self.append(table, rows)
 
-    def record_step(self, steps: DataFrame) -> None:
-        for table, rows in step_rows(steps).items():
+    def record_step(self, steps: DataFrame, event: str | None = None) -> None:
+        for table, rows in step_rows(steps, event or uuid.uuid4().hex).items():
             self.append(table, rows)
 
-    def record_trials(self, trials: DataFrame) -> None:
-        self.append("hyperparameters", trial_rows(trials))
+    def record_trials(self, trials: DataFrame, event: str | None = None) -> None:
+        self.append("hyperparameters", trial_rows(trials, event or uuid.uuid4().hex))
 
-    def record_metric(self, metrics: DataFrame) -> None:
-        self.append("metrics", metric_rows(metrics))
+    def record_metric(self, metrics: DataFrame, event: str | None = None) -> None:
+        self.append("metrics", metric_rows(metrics, event or uuid.uuid4().hex))
 
     def record_artifact(self, artifacts: DataFrame) -> None:
         self.append("artifacts", artifact_rows(artifacts))
 
-    def record_episode(self, episodes: DataFrame, state, action) -> None:
-        self.append("rl_episodes", episode_rows(episodes, state, action))
+    def record_episode(self, episodes: DataFrame, state, action, event: str | None = None) -> None:
+        self.append("rl_episodes", episode_rows(episodes, state, action, event or uuid.uuid4().hex))
 
     def status(self) -> DataFrame:
         return current_status(self.read("run_status"))

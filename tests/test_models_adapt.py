@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.functions.ranking import mixed_row_number
 from assayer.operators import adapt, evaluate, modelling
 from assayer.settings import AdaptSettings, MaskSearchSettings, SearchSettings
 
@@ -269,14 +270,24 @@ def test_paired_verdict(spark):
     assert out["verdict"] and out["p_value"] < 0.001 and out["wins"] == 10
 
 
-def test_resample_keeps_marginals(spark):
+def test_resample_draws_columns_on_their_own(spark):
     df = spark.range(500).select("id", (F.col("id") * 2).alias("a"), (F.col("id") * 3).alias("b"))
-    out = evaluate.marginal_resample(df, "id", ["a", "b"], 1)
-    assert out.count() == 500 and out.agg(F.sum("a"), F.sum("b")).first()[:] == (249500, 374250)
-    assert out.where("a * 3 = b * 2").count() < 20
+    out = evaluate.marginal_resample(df, "id", ["a", "b"], 1, 2000).toPandas()
+    assert len(out) == 2000 and set(out["a"]) <= set(range(0, 1000, 2)) and set(out["b"]) <= set(range(0, 1500, 3))
+    assert abs(out["a"].mean() - 499) < 40 and abs(np.corrcoef(out["a"], out["b"])[0, 1]) < 0.08
+    assert out["a"].duplicated().any()
+    assert evaluate.marginal_resample(df, "id", ["a", "b"], 1).count() == 500
     assert evaluate.clamped_contamination(1, 1000) == 0.01 and evaluate.clamped_contamination(9, 10) == 0.45
 
 
+def test_masks_and_orders_of_two_seeds_are_unrelated(spark):
+    df = spark.range(20_000).select("id", F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    both = evaluate.inject_mcar(df, F.col("id"), ["x", "y"], 0.2, 31).where("x IS NULL AND y IS NULL").count()
+    assert abs(both / 20_000 - 0.04) < 0.006
+    orders = mixed_row_number(mixed_row_number(df.select("id"), F.col("id"), 1, name="p"), F.col("id"), 2, name="q")
+    assert abs(orders.agg(F.corr("p", "q")).first()[0]) < 0.03
+
+
 def test_mask_rate(spark):
     df = spark.range(100_000).select("id", F.lit(1.0).alias("x"))
     out = evaluate.inject_mcar(df, F.col("id"), ["x"], 0.2, 5, marks=True)

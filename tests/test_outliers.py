@@ -8,12 +8,13 @@ from assayer.settings import OutlierSettings
 
 
 def mixture(seed=0):
-    """280 correlated rows and 20 with the correlation reversed."""
+    """280 rows near a ring in the plane z = x + y, and 20 rows far off that plane above or below its middle."""
     rng = np.random.default_rng(seed)
-    a = rng.normal(size=280)
-    good = np.column_stack([a, a + rng.normal(scale=0.1, size=280), a + rng.normal(scale=0.1, size=280)])
-    b = rng.choice([-1, 1], 20) * rng.uniform(1.5, 2.5, 20)
-    bad = np.column_stack([b, -b, b])
+    angle = rng.uniform(0, 2 * np.pi, 280)
+    x, y = 2 * np.cos(angle), 2 * np.sin(angle)
+    good = np.column_stack([x, y, x + y]) + rng.normal(scale=0.08, size=(280, 3))
+    near = rng.uniform(-0.7, 0.7, (20, 2))
+    bad = np.column_stack([near, near.sum(axis=1) + rng.choice([-1, 1], 20) * rng.uniform(3.0, 4.0, 20)])
     block = np.vstack([good, bad])
     return block, np.arange(300) >= 280
 

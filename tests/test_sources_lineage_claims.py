@@ -132,6 +132,22 @@ def test_other_records(spark, store):
     assert json.loads(episode["state_json"]) == {"a": 2} and episode["run_id"] is None
 
 
+def test_every_record_call_is_kept_and_a_repeated_event_is_not(spark, store):
+    metric = "run_id string, name string, value double, ci_low double, ci_high double"
+    for value, event in ((1.0, None), (2.0, None), (3.0, "e"), (3.0, "e")):
+        store.record_metric(one(spark, metric, "r", "m", value, None, None), event)
+    assert sorted(r["value"] for r in store.read("metrics").collect()) == [1.0, 2.0, 3.0]
+    gate = "run_id string, gate_name string, passed boolean, reason string, details string"
+    for passed in (True, False):
+        store.record_gate_chain(one(spark, gate, "r", "g", passed, None, "{}"))
+    assert {r["passed"] for r in store.read("gate_evaluations").collect()} == {True, False}
+    assert {r["action"] for r in store.read("audit_log").collect()} == {"gate_chain_passed", "gate_chain_rejected"}
+    episode = "episode_number int, a int, b string, reward double, run_id string"
+    for reward in (0.5, 0.7):
+        store.record_episode(one(spark, episode, 1, 2, "x", reward, None), ["a"], ["b"])
+    assert store.read("rl_episodes").count() == 2
+
+
 def test_prepared_run_replays(spark, store):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"id": range(50), "a": rng.normal(size=50), "b": rng.normal(size=50)})
