@@ -76,6 +76,45 @@ class WordCodes(dict):
 
 CODES = WordCodes()
 
+# Word codes from arrays of characters: a polynomial in an odd base over the characters of each word, modulo 2**64.
+_BASE = 0x9FB21C651E98DF25
+_tables: dict[str, np.ndarray] = {}
+
+
+def _is_word_character() -> np.ndarray:
+    if "word" not in _tables:
+        _tables["word"] = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+    return _tables["word"]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least ``n`` of each; the tables of one long text are not kept."""
+    if "up" not in _tables or len(_tables["up"]) < n:
+        size = max(n, 1 << 20)
+        inverse = pow(_BASE, -1, 2**64)
+        up, down = (
+            np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]))
+            for b in (_BASE, inverse)
+        )
+        if n > 1 << 22:
+            return up, down
+        _tables["up"], _tables["down"] = up, down
+    return _tables["up"], _tables["down"]
+
+
+def coded_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, starts, characters): 64-bit codes and first places of the words of a text as it is, and its characters."""
+    characters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(characters) + 2, bool)
+    inside[1:-1] = _is_word_character()[characters]
+    starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
+    ends = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+    up, down = _powers(len(characters) + 1)
+    sums = np.zeros(len(characters) + 1, np.uint64)
+    np.cumsum((characters.astype(np.uint64) + np.uint64(1)) * up[: len(characters)], out=sums[1:])
+    return stirred((sums[ends] - sums[starts]) * down[starts]), starts, characters
+
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 

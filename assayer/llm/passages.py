@@ -26,17 +26,17 @@ counts combine before the shuffle, and joins on it can be split.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from assayer.functions.columns import quoted
 from assayer.functions.cutting import checkpointed
-from assayer.llm.common import CODES, WORD, query, shingles, stirred, table
+from assayer.llm.common import coded_words, query, shingles, stirred, table
 from assayer.llm.components import components
 from assayer.llm.similarity import SIMILARITY, WIDTH, verified
 
@@ -48,6 +48,10 @@ ROWS = 2
 BITS = 2**26
 _BUCKET_BITS = 32_768
 
+#: Characters worked on at once; a longer text is worked on alone.
+AT_ONCE = 1_000_000
+_NONE = np.uint64(2**64 - 1)
+
 _random = np.random.default_rng(1_997_0611)
 _POWERS = _random.integers(0, 2**64, RUN, np.uint64) | np.uint64(1)
 _OTHERS = _random.integers(0, 2**64, RUN, np.uint64) | np.uint64(1)
@@ -59,77 +63,78 @@ def bands_for(recall: float = RECALL, similarity: float = SIMILARITY, rows: int
 
 
 BANDS = bands_for()
-_FLIP = _random.integers(0, 2**64, BANDS * ROWS, np.uint64)
-_TURN = _random.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
-
-
-def anchors(codes: np.ndarray) -> np.ndarray:
-    """Places whose word pair has the least hash within REACH places; of equal ones the first."""
-    pairs = shingles(codes, 2)
-    n = len(pairs)
-    ok = np.ones(n, bool)
-    for d in range(1, min(REACH, n - 1) + 1):
-        ok[d:] &= pairs[d:] < pairs[:-d]
-        ok[:-d] &= pairs[:-d] <= pairs[d:]
-    return np.flatnonzero(ok)
+_FLIP = _random.integers(0, 2**32, BANDS * ROWS, np.uint32)
+_TURN = _random.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1)
 
 
 class Units:
-    """A text's words, its runs at anchors and its paragraphs, with their keys."""
-
-    def __init__(self, text: str | None):
-        lines = text.lower().split("\n") if text else []
-        found = [WORD.findall(x) for x in lines]
-        words = [w for x in found for w in x]
-        self.codes = CODES.of(words)
-        n = len(words)
-        at = anchors(self.codes) if n >= RUN else np.zeros(0, np.int64)
-        self.runs = at[at + RUN <= n]
+    """Words of some texts, one after the other, and their runs at anchors and paragraphs."""
+
+    def __init__(self, texts: Sequence[str | None]):
+        whole = "\0".join((t or "").replace("\0", " ") for t in texts).lower()
+        self.codes, at, characters = coded_words(whole)
+        apart = characters == 0
+        text = np.cumsum(apart)[at]  # of each word
+        line = np.cumsum(apart | (characters == 10))[at]
+        n = len(self.codes)
+        self.first = np.searchsorted(text, np.arange(len(texts)))  # word of each text
+
+        pairs = np.full(n, _NONE, np.uint64)
+        if n > 1:
+            pairs[:-1] = np.where(text[1:] == text[:-1], shingles(self.codes, 2), _NONE)
+        ok = pairs != _NONE
+        for d in range(1, min(REACH, n - 1) + 1):  # the least within REACH places; of equal ones the first
+            other = text[d:] != text[:-d]
+            ok[d:] &= (pairs[d:] < pairs[:-d]) | other
+            ok[:-d] &= (pairs[:-d] <= pairs[d:]) | other
+        at = np.flatnonzero(ok)
+        at = at[at + RUN <= n]
+        self.runs = at[text[at + RUN - 1] == text[at]]
+        self.run_text = text[self.runs]
         cells = self.codes[self.runs[:, None] + np.arange(RUN)]
         self.run_keys = stirred((cells * _POWERS).sum(axis=1, dtype=np.uint64))
         self.run_checks = stirred((cells * _OTHERS).sum(axis=1, dtype=np.uint64))
-        ends = np.cumsum([0, *map(len, found)])
-        long = np.flatnonzero(np.diff(ends) >= MIN_WORDS)
-        self.starts, self.ends = ends[long], ends[long + 1]
-        self.shingles = shingles(self.codes, WIDTH) if len(long) else np.zeros(0, np.uint64)
-        self.band_keys = np.zeros((len(long), BANDS), np.uint64)
-        if len(long):
-            # A paragraph's shingles are a stretch of the text's, up to WIDTH - 1 before its end.
-            edges = np.stack([self.starts, self.ends - WIDTH + 1], axis=1).ravel()
-            padded = np.append(self.shingles, np.uint64(0))
-            low = np.stack(
-                [np.minimum.reduceat((padded ^ f) * t, edges)[::2] for f, t in zip(_FLIP, _TURN)], axis=1
-            ).reshape(len(long), BANDS, ROWS)
-            keys = np.full((len(long), BANDS), 0x51ED27, np.uint64) + np.arange(BANDS, dtype=np.uint64)
+
+        edges = np.concatenate([[0], np.flatnonzero(line[1:] != line[:-1]) + 1, [n]]) if n else np.zeros(1, np.int64)
+        long = np.diff(edges) >= MIN_WORDS
+        self.starts, self.stops = edges[:-1][long], edges[1:][long]
+        self.line_text = text[self.starts]
+        self.band_keys = np.zeros((len(self.starts), BANDS), np.uint64)
+        if len(self.starts):
+            # A paragraph's shingles are a stretch of all shingles, up to WIDTH - 1 before its end.
+            self.shingles = shingles(self.codes, WIDTH)
+            high = np.append((self.shingles >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+            stretch = np.stack([self.starts, self.stops - WIDTH + 1], axis=1).ravel()
+            values = [np.minimum.reduceat((high ^ f) * t, stretch)[::2] for f, t in zip(_FLIP, _TURN)]
+            values = np.stack(values, axis=1).reshape(len(self.starts), BANDS, ROWS).astype(np.uint64)
+            keys = np.full((len(self.starts), BANDS), 0x51ED27, np.uint64) + np.arange(BANDS, dtype=np.uint64)
             for r in range(ROWS):
-                keys = stirred(keys * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
+                keys = stirred(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r])
             self.band_keys = keys
 
     def keys(self) -> np.ndarray:
-        return np.unique(np.concatenate([self.run_keys, self.band_keys.ravel()]))
-
-
-def _read(df: DataFrame, schema: T.StructType, emit: Callable[[Units], list[tuple]], keep: int) -> DataFrame:
-    """Rows that ``emit`` makes of each text (the last column of ``df``), after the first ``keep`` columns."""
-    kinds = [to_arrow_type(f.dataType) for f in schema[keep:]]
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                rows, owner = [], []
-                for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                    made = emit(Units(text))
-                    rows += made
-                    owner += [i] * len(made)
-                cells = list(zip(*rows)) if rows else [()] * len(kinds)
-                own = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(own) for k in range(keep)), *(pa.array(c, k) for c, k in zip(cells, kinds))],
-                    names=schema.names,
-                )
-
-    return df.mapInArrow(task, schema)
+        """All keys, each once for every text that has it."""
+        keys = np.concatenate([self.run_keys, self.band_keys.ravel()])
+        text = np.concatenate([self.run_text, np.repeat(self.line_text, BANDS)])
+        order = np.lexsort((text, keys))
+        keys, text = keys[order], text[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+        return keys[fresh]
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts (the last column) have at most AT_ONCE characters, or one text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, size in enumerate(sizes.tolist()):
+            if held and held + size > AT_ONCE:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
 
 
 def colliding_keys(docs: DataFrame) -> DataFrame:
@@ -137,10 +142,9 @@ def colliding_keys(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("key", T.LongType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                keys = [Units(t).keys() for t in whole.slice(start, 512).column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], names=["key"])
+        for batch in _portions(batches):
+            keys = Units(batch.column(0).to_pylist()).keys()
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
 
     counted = docs.select("__body").mapInArrow(task, schema).groupBy("key").agg(F.count("*").alias("n"))
     return checkpointed(counted.where("n > 1").select("key"))
@@ -167,25 +171,37 @@ def colliding_units(docs: DataFrame, keys: DataFrame) -> DataFrame:
         p = k & np.uint64(BITS - 1)
         return (sent.value[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-    def emit(u: Units) -> list[tuple]:
-        out = []
-        hit = np.flatnonzero(marked(u.run_keys))
-        runs, keys, checks = u.runs[hit], u.run_keys.view(np.int64)[hit], u.run_checks.view(np.int64)[hit]
-        for a, k, c in zip(runs.tolist(), keys.tolist(), checks.tolist()):
-            out.append((a, a + RUN, k, c, None, None, None))
-        for i in np.flatnonzero(marked(u.band_keys.ravel()).reshape(u.band_keys.shape).any(axis=1)).tolist():
-            a, b = int(u.starts[i]), int(u.ends[i])
-            codes = np.unique(u.shingles[a : b - WIDTH + 1]).tobytes()
-            out.append((a, b, None, None, xxhash.xxh3_128_digest(codes), u.band_keys[i].view(np.int64).tolist(), codes))
-        return out
-
     schema = T.StructType([
         docs.schema["__key"], docs.schema["__text"], T.StructField("start", T.LongType()),
         T.StructField("end", T.LongType()), T.StructField("key", T.LongType()), T.StructField("check", T.LongType()),
         T.StructField("set", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
         T.StructField("codes", T.BinaryType()),
     ])
-    return checkpointed(_read(docs.select("__key", "__text", "__body"), schema, emit, 2))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _portions(batches):
+            u = Units(batch.column(2).to_pylist())
+            hit = np.flatnonzero(marked(u.run_keys))
+            lines = np.flatnonzero(marked(u.band_keys.ravel()).reshape(u.band_keys.shape).any(axis=1))
+            codes = [np.unique(u.shingles[u.starts[i] : u.stops[i] - WIDTH + 1]).tobytes() for i in lines.tolist()]
+            text = np.concatenate([u.run_text[hit], u.line_text[lines]])
+            start = np.concatenate([u.runs[hit], u.starts[lines]]) - u.first[text]
+            end = np.concatenate([u.runs[hit] + RUN, u.stops[lines]]) - u.first[text]
+            no_run, no_line = [None] * len(lines), [None] * len(hit)
+            own = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(own), batch.column(1).take(own), pa.array(start), pa.array(end),
+                    pa.array(u.run_keys.view(np.int64)[hit].tolist() + no_run, pa.int64()),
+                    pa.array(u.run_checks.view(np.int64)[hit].tolist() + no_run, pa.int64()),
+                    pa.array(no_line + [xxhash.xxh3_128_digest(c) for c in codes], pa.binary()),
+                    pa.array(no_line + u.band_keys.view(np.int64)[lines].tolist(), pa.list_(pa.int64())),
+                    pa.array(no_line + codes, pa.binary()),
+                ],
+                names=schema.names,
+            )
+
+    return checkpointed(docs.select("__key", "__text", "__body").mapInArrow(task, schema))
 
 
 def _removals(units: DataFrame, by: list[str]) -> DataFrame:

@@ -5,7 +5,8 @@
 2. *Paths.* In each run a class follows random paths: at a node, a hash of the node chooses one or two coordinates
    (1 / similarity on average), and the class goes on to the child named by each coordinate's value. Classes meet in
    a child only if they share the chosen token. Nodes with one class end; nodes with up to ``BUCKET`` classes are
-   compared by brute force on the embedding; larger nodes are split again, down to ``DEEPEST``. A pair at the
+   compared by brute force on the embedding; larger nodes are compared with their first class and split again, down
+   to ``DEEPEST``, unless all their classes already lie in one candidate group. A pair at the
    threshold survives to the deepest level in a run with a probability that follows from the branching, and the
    runs are as many as the target recall needs.
 3. *Groups.* Pairs that agree well enough on the embedding, and classes that still share a node at the deepest level,
@@ -28,14 +29,13 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayer.functions.columns import quoted
 from assayer.functions.cutting import checkpointed
-from assayer.llm.common import CODES, map_texts, query, shingles, stirred, table, words_of
+from assayer.llm.common import coded_words, map_texts, query, shingles, stirred, table
 from assayer.llm.components import components
 
 SIMILARITY = 0.8
@@ -51,8 +51,8 @@ BLOCK_SHINGLES = 1_000_000
 SECOND_CHANCE = 0.25  # one coordinate is always chosen, another with this probability: 1.25 = 1 / 0.8
 
 _random = np.random.default_rng(20_170_613)
-_FLIP = _random.integers(0, 2**64, COORDINATES, np.uint64)
-_TURN = _random.integers(0, 2**64, COORDINATES, np.uint64) | np.uint64(1)
+_FLIP = _random.integers(0, 2**32, COORDINATES, np.uint32)
+_TURN = _random.integers(0, 2**32, COORDINATES, np.uint32) | np.uint32(1)
 
 
 def survival(depth: int, similarity: float = SIMILARITY) -> float:
@@ -69,15 +69,16 @@ def runs_for(recall: float = RECALL, depth: int = DEEPEST) -> int:
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    return np.unique(shingles(CODES.of(words_of(text)), width))
+    return np.unique(shingles(coded_words(text.lower())[0], width)) if text else np.zeros(0, np.uint64)
 
 
 def embed(codes: np.ndarray) -> np.ndarray:
     """Min-hash values of a set, 32 bits each."""
-    low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, len(codes), 1024):
-        low = np.minimum(low, ((codes[s : s + 1024, None] ^ _FLIP) * _TURN).min(axis=0))
-    return (low >> np.uint64(32)).astype(np.uint32)
+    high = (codes >> np.uint64(32)).astype(np.uint32)
+    low = np.full(COORDINATES, np.iinfo(np.uint32).max, np.uint32)
+    for s in range(0, len(high), 1024):
+        low = np.minimum(low, ((high[s : s + 1024, None] ^ _FLIP) * _TURN).min(axis=0))
+    return low
 
 
 def sketch(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -216,10 +217,10 @@ def candidate_edges(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     return edges
 
 
-def _tile(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of each class of a tile (set, side, texts, codes); side 0 against 1, or 0 within itself."""
-    rows = rows.sort_values(["side", "set"], kind="stable").reset_index(drop=True)
-    sets = [np.frombuffer(c, np.uint64) for c in rows["codes"]]
+def _tile(rows: list[dict]) -> tuple[list[bytes], list[bytes], list[int]]:
+    """(class, root in the tile's forest, links) of a tile's ``rows``, side 0 first: 0 against 1, or 0 within itself."""
+    sets = [np.frombuffer(r["codes"], np.uint64) for r in rows]
+    side = np.array([r["side"] for r in rows])
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     codes = np.concatenate(sets)
@@ -231,11 +232,11 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     renumber = np.cumsum(shared) - 1
     keep = shared[number]
     owner, number = owner[keep], renumber[number[keep]]
-    one_sided = not (rows["side"] == 1).any()
-    left = int((rows["side"] == 0).sum())
+    one_sided = not side.any()
+    left = int((side == 0).sum())
     right = np.arange(len(sets)) if one_sided else np.arange(left, len(sets))
     common = np.zeros((left, len(right)), np.float32)
-    step = 4096
+    step = min(4096, int(shared.sum()) or 1)
     for s in range(0, int(shared.sum()), step):
         lo, hi = np.searchsorted(number, [s, s + step])
         x = np.zeros((len(sets), step), np.float32)
@@ -246,7 +247,7 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     linked = whole * common >= top * (sizes[:left, None] + sizes[right][None, :] - common)
     if one_sided:
         np.fill_diagonal(linked, False)
-    texts = rows["texts"].to_numpy(np.int64)
+    texts = np.array([r["texts"] for r in rows], np.int64)
     links = np.zeros(len(sets), np.int64)
     links[:left] += linked @ texts[right]
     if not one_sided:
@@ -255,8 +256,7 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     for i in range(left):
         for j in np.flatnonzero(linked[i]).tolist():
             forest.join(i, int(right[j]))
-    roots = [forest.root(i) for i in range(len(sets))]
-    return pd.DataFrame({"a": rows["set"], "b": [rows["set"][r] for r in roots], "links": links})
+    return [r["set"] for r in rows], [rows[forest.root(i)]["set"] for i in range(len(rows))], links.tolist()
 
 
 def verified(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,8 +275,42 @@ def verified(groups: DataFrame, sets: DataFrame) -> DataFrame:
         "set", "texts", "codes", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
     )
-    return tiles.groupBy("group", "i", "j").applyInPandas(
-        lambda rows: _tile(rows[["set", "side", "texts", "codes"]]), "a binary, b binary, links long"
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by tile, so only one tile is held at a time.
+        held: list[dict] = []
+        out: tuple[list, list, list] = ([], [], [])
+
+        def close() -> None:
+            if held:
+                for column, more in zip(out, _tile(held)):
+                    column.extend(more)
+                held.clear()
+
+        def made() -> pa.RecordBatch:
+            kinds = (pa.binary(), pa.binary(), pa.int64())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["a", "b", "links"])
+            for column in out:
+                column.clear()
+            return batch
+
+        last = None
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                for row in whole.slice(start, 512).to_pylist():
+                    tile = (row["group"], row["i"], row["j"])
+                    if tile != last:
+                        close()
+                        last = tile
+                    held.append(row)
+            if out[0]:
+                yield made()
+        close()
+        yield made()
+
+    order = ["group", "i", "j"]
+    return tiles.repartition(*order).sortWithinPartitions(*order, "side", "set").mapInArrow(
+        task, "a binary, b binary, links long"
     )
 
 
