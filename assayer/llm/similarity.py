@@ -190,31 +190,60 @@ def _compare_buckets(buckets: DataFrame) -> DataFrame:
     return buckets.mapInArrow(task, _EDGES)
 
 
-def candidate_edges(classes: DataFrame, recall: float = RECALL) -> DataFrame:
-    """Edges of candidate groups among ``classes`` (set, values)."""
+def _match_first(members: DataFrame) -> DataFrame:
+    """Edges from each of ``members`` (set, values, first, first_values) to its node's first class, if they agree."""
+    need = math.ceil((SIMILARITY - SLACK) * COORDINATES)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = (_matrix(batch.column("values")) == _matrix(batch.column("first_values"))).sum(axis=1) >= need
+            found = batch.filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([found.column("set"), found.column("first")], names=["a", "b"])
+
+    return members.mapInArrow(task, _EDGES)
+
+
+def candidate_groups(classes: DataFrame, recall: float = RECALL) -> DataFrame:
+    """(node, component): candidate groups among ``classes`` (set, values)."""
+    embedded = classes.select(F.col("set").alias("own"), "values")
     frontier = checkpointed(_paths(classes.select("set", "values"), FIRST_DEPTH, runs_for(recall)))
-    parts: list[DataFrame] = []
+    grouped = None
     for depth in range(FIRST_DEPTH, DEEPEST + 1):
-        sizes = frontier.groupBy("node").agg(F.count("*").alias("n"), F.min("set").alias("least")).where("n > 1")
+        sizes = frontier.groupBy("node").agg(F.count("*").alias("n"), F.min("set").alias("first")).where("n > 1")
         met = checkpointed(
-            frontier.join(sizes.select(F.col("node").alias("at"), "n", "least"), F.col("node") == F.col("at"))
-            .select("set", "node", "n", "least")
+            frontier.join(sizes.select(F.col("node").alias("at"), "n", "first"), F.col("node") == F.col("at"))
+            .select("set", "node", "n", "first").join(embedded, F.col("set") == F.col("own")).drop("own")
+        )
+        buckets = met.where(F.col("n") <= BUCKET).groupBy("node").agg(
+            F.collect_list(F.struct("set", "values")).alias("members")
         )
-        embedded = classes.select(F.col("set").alias("own"), "values")
-        small = met.where(F.col("n") <= BUCKET).join(embedded, F.col("set") == F.col("own"))
-        buckets = small.groupBy("node").agg(F.collect_list(F.struct("set", "values")).alias("members"))
-        parts.append(checkpointed(_compare_buckets(buckets.select("members")).distinct()))
+        edges = _compare_buckets(buckets.select("members")).distinct()
         large = met.where(F.col("n") > BUCKET)
         if depth == DEEPEST:
-            parts.append(large.where(F.col("set") != F.col("least")).select(F.col("set").alias("a"), F.col("least").alias("b")).distinct())
+            edges = edges.union(large.where(F.col("set") != F.col("first")).select(F.col("set").alias("a"), F.col("first").alias("b")))
+        else:
+            heads = large.where(F.col("set") == F.col("first")).select(
+                F.col("node").alias("at"), F.col("values").alias("first_values")
+            )
+            members = large.where(F.col("set") != F.col("first")).join(heads, F.col("node") == F.col("at"))
+            edges = edges.union(_match_first(members.select("set", "values", "first", "first_values")))
+        if grouped is not None:
+            edges = edges.union(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        grouped = components(edges)
+        if depth == DEEPEST:
             break
-        if large.isEmpty():
+        # A large node whose classes all lie in one group needs no splitting: its pairs will be compared exactly.
+        label = large.select("set", "node").join(
+            grouped.select(F.col("node").alias("is"), "component"), F.col("set") == F.col("is"), "left"
+        )
+        mixed = label.groupBy("node").agg(
+            F.min(F.coalesce("component", "set")).alias("low"), F.max(F.coalesce("component", "set")).alias("high")
+        ).where("low != high").select(F.col("node").alias("at"))
+        rest = large.join(mixed, F.col("node") == F.col("at"), "left_semi").select("set", "values", "node")
+        frontier = checkpointed(_paths(rest, 1, None))
+        if frontier.isEmpty():
             break
-        frontier = checkpointed(_paths(large.join(embedded, F.col("set") == F.col("own")).select("set", "values", "node"), 1, None))
-    edges = parts[0]
-    for p in parts[1:]:
-        edges = edges.union(p)
-    return edges
+    return grouped
 
 
 def _tile(rows: list[dict]) -> tuple[list[bytes], list[bytes], list[int]]:
@@ -329,7 +358,7 @@ def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", recall:
             F.min("size").alias("size"), F.min("values").alias("values"),
         ).select("set", "texts", "size", "values", F.col("first.key").alias("key"), F.col("first.__text").alias("text"))
     )
-    grouped = components(candidate_edges(classes, recall))
+    grouped = candidate_groups(classes, recall)
     groups = checkpointed(
         grouped.join(classes.drop("values"), F.col("node") == F.col("set"))
         .select("set", F.col("component").alias("group"), "size", "texts", "key", "text")
