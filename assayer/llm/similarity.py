@@ -48,6 +48,8 @@ BUCKET = 64
 SLACK = 0.2
 BLOCK = 256
 BLOCK_SHINGLES = 1_000_000
+#: Bound of the broadcast table of hash buckets.
+NEAR_BUCKETS = 2**20
 SECOND_CHANCE = 0.25  # one coordinate is always chosen, another with this probability: 1.25 = 1 / 0.8
 
 _random = np.random.default_rng(20_170_613)
@@ -365,7 +367,11 @@ def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", recall:
     )
     # Texts of classes in groups alone: one row each, found again by id and text hash.
     wanted = groups.select(F.col("key").alias("k"), F.col("text").alias("t"))
-    bodies = hashed.join(wanted, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__text") == F.col("t")), "left_semi")
+    # Most texts are not wanted. Their hashes fall outside a table of at most NEAR_BUCKETS numbers, broadcast, so they are
+    # not shuffled; once every bucket is taken the filter passes all, and the join decides as before.
+    near = wanted.select(F.pmod(F.col("t"), F.lit(NEAR_BUCKETS)).alias("bucket")).distinct()
+    close = hashed.join(F.broadcast(near), F.pmod(F.col("__text"), F.lit(NEAR_BUCKETS)) == F.col("bucket"), "left_semi")
+    bodies = close.join(wanted, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__text") == F.col("t")), "left_semi")
 
     def run(found: list[str | None]):
         sets = [shingle_set(t) for t in found]
