@@ -3,7 +3,9 @@
 The items are the index: for every term a posting list in item order with the term's BM25 impact, divided by the
 item's score against itself, so that 1 means all of an item's terms; lists are cut into blocks with their largest
 impact. Every document is cut into overlapping passages, twice as long as the longest item and half overlapping,
-and each passage is a query; all items that reach ``THRESHOLD`` are retrieved.
+and each passage is a query; all items that reach ``THRESHOLD`` are retrieved. Items of more than ``LONGEST`` words
+have indexes of their own, one for each doubling of the length, and passages as long as those items need, so no item
+is too long to lie in one passage, and long items do not lengthen the passages of short ones.
 
 Two steps do that without loss. In bulk, for a batch of documents: the commonest terms are set aside as long as
 together they add less than half the threshold to any item; a passage can only reach an item if its other terms and
@@ -44,6 +46,7 @@ THRESHOLD = 0.6
 OVERLAP = 0.8
 WIDTH = 5
 BLOCK = 64
+#: Words of the longest items in the first length class; each further class holds items of up to twice as many.
 LONGEST = 512
 
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -55,8 +58,14 @@ def question_and_answer(text: str | None) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (parts[0], "")
 
 
+def length_class(words: int) -> int:
+    """0 up to LONGEST words, then one more for each doubling."""
+    return max(0, (max(words, 1) - 1) // LONGEST).bit_length()
+
+
 @dataclass
 class Item:
+    place: int
     key: int | None
     codes: list[int]
     question: list[int]
@@ -64,34 +73,31 @@ class Item:
     width: int
 
 
-class Index:
-    """Impact-normalised postings in blocks, and what verification needs of each item."""
+class Part:
+    """Impact-normalised postings in blocks of the items of one length class, and what verification needs of each."""
 
-    def __init__(self, rows: Sequence[tuple], threshold: float = THRESHOLD):
-        """``rows``: (key, question, answer)."""
+    def __init__(
+        self, rows: Sequence[tuple[int, int | None, list[str], list[str]]], idf: dict[str, float], mean: float, threshold: float
+    ):
+        """``rows``: (place among all items, key, words of the question, words of the answer)."""
         self.threshold = threshold
         self.items: list[Item] = []
         bags = []
-        for key, question, answer in rows:
-            q, a = words_of(question), words_of(answer)
-            if not q + a:
-                continue
+        for place, key, q, a in rows:
             both = CODES.of(q + a)
             width = min(WIDTH, len(both))
             self.items.append(
                 Item(
-                    key, np.unique(shingles(both, width)).tolist(),
+                    place, key, np.unique(shingles(both, width)).tolist(),
                     np.unique(shingles(CODES.of(q), width)).tolist() if len(q) >= width else [],
                     np.unique(shingles(CODES.of(a), width)).tolist() if len(a) >= width else [], width,
                 )
             )
             bags.append(Counter(q + a))
         n = len(bags)
-        self.stride = min(LONGEST, max([32, *(sum(b.values()) for b in bags)]))
-        mean = sum(sum(b.values()) for b in bags) / max(n, 1)
+        self.stride = max([32, *(sum(b.values()) for b in bags)])
         found = Counter(t for b in bags for t in b)
         self.term = {t: i for i, t in enumerate(sorted(found, key=lambda t: (-found[t], t)))}
-        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in found.items()}
         lists: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for i, bag in enumerate(bags):
             size = sum(bag.values())
@@ -180,12 +186,10 @@ class Index:
             cursors = [c for c in cursors if c[0] >= 0]
         return found
 
-    def scan(self, texts: Sequence[str | None], overlap: float = OVERLAP) -> list[list[dict]]:
-        """For each text, its verified items with their best passage."""
-        hits: list[dict[int, dict]] = [{} for _ in texts]
+    def collect(self, words: list[list[str]], hits: list[dict[int, dict]], overlap: float) -> None:
+        """Adds to the ``hits`` of each text, by place, this part's verified items with their best passage."""
         if not self.items:
-            return [[] for _ in texts]
-        words = [words_of(t) for t in texts]
+            return
         lengths = np.array([len(w) for w in words], np.int64)
         counts = np.maximum(1, -(-lengths // self.stride) - 1)
         ends = np.cumsum(counts)
@@ -207,7 +211,6 @@ class Index:
             inside = np.unique(terms[d][start : start + 2 * self.stride])
             for item, score in self.retrieve(inside[inside >= 0].tolist()):
                 self._verify(hits[d], item, score, words[d][start : start + 2 * self.stride], start, overlap)
-        return [[h[i] for i in sorted(h)] for h in hits]
 
     def _verify(self, hits: dict, item: int, score: float, words: list[str], start: int, overlap: float) -> None:
         it = self.items[item]
@@ -219,13 +222,42 @@ class Index:
             return sum(c in there for c in codes) / len(codes) if codes else None
 
         whole = share(it.codes)
-        if whole >= overlap and (item not in hits or hits[item]["overlap"] < whole):
-            hits[item] = {
+        if whole >= overlap and (it.place not in hits or hits[it.place]["overlap"] < whole):
+            hits[it.place] = {
                 "item_id": it.key, "score": score, "overlap": whole, "question_overlap": share(it.question),
                 "answer_overlap": share(it.answer), "first_word": start,
             }
 
 
+class Index(Part):
+    """The part of the items of up to LONGEST words, with the parts of ``longer`` ones; terms are weighed over all."""
+
+    def __init__(self, rows: Sequence[tuple], threshold: float = THRESHOLD):
+        """``rows``: (key, question, answer)."""
+        classes: dict[int, list[tuple]] = {0: []}
+        found: Counter = Counter()
+        n = total = 0
+        for key, question, answer in rows:
+            q, a = words_of(question), words_of(answer)
+            if not q + a:
+                continue
+            classes.setdefault(length_class(len(q) + len(a)), []).append((n, key, q, a))
+            found.update(set(q + a))
+            n, total = n + 1, total + len(q) + len(a)
+        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in found.items()}
+        mean = total / max(n, 1)
+        super().__init__(classes.pop(0), idf, mean, threshold)
+        self.longer = [Part(classes[c], idf, mean, threshold) for c in sorted(classes)]
+
+    def scan(self, texts: Sequence[str | None], overlap: float = OVERLAP) -> list[list[dict]]:
+        """For each text, its verified items with their best passage."""
+        hits: list[dict[int, dict]] = [{} for _ in texts]
+        words = [words_of(t) for t in texts]
+        for part in (self, *self.longer):
+            part.collect(words, hits, overlap)
+        return [[h[i] for i in sorted(h)] for h in hits]
+
+
 def build_index(
     items: DataFrame, key: str = "item_id", text: str = "text", question: str | None = None, answer: str | None = None,
     threshold: float = THRESHOLD,

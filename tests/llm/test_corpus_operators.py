@@ -212,6 +212,22 @@ def test_benchmark_overlap_of_odd_rows(spark, odd, docs_of):
     assert [h.item_id for h in decontamination.find_items(long, decontamination.build_index(items)).first()["items"]] == [1]
 
 
+def test_long_items_are_found_wherever_they_stand():
+    rng = random.Random(12)
+    names = [f"w{k}" for k in range(5000)]
+    item = rng.choices(names, k=1500)
+    short = rng.choices(names, k=30)
+    index = decontamination.Index([(1, " ".join(short), ""), (2, " ".join(item), ""), (3, " ".join(item[:600]), "")])
+    filler = rng.choices(names, k=6000)
+    cut = item[:1250]  # 83% of the item
+    for offset in (0, 1, 333, 511, 512, 700, 1499, 1500, 2300, 6000):
+        text = " ".join(filler[:offset] + item + filler[offset:])
+        assert [(h["item_id"], h["overlap"]) for h in index.scan([text])[0]] == [(2, 1.0), (3, 1.0)]
+        assert [h["item_id"] for h in index.scan([" ".join(filler[:offset] + cut + filler[offset:])])[0]] == [2, 3]
+    assert [[h["item_id"] for h in hits] for hits in index.scan([" ".join(filler), " ".join(item[:1000]), " ".join(short), None])] == [[], [3], [1], []]
+    assert [decontamination.length_class(n) for n in (0, 1, 512, 513, 1024, 1025, 2048, 2049)] == [0, 0, 0, 1, 1, 2, 2, 3]
+
+
 # Mixture
 
 
