@@ -8,7 +8,7 @@ The score is the winner's share when a byte more costs a factor e**-0.3; ``rejec
 less than ``margin`` of the runner-up's bytes.
 
 Learning reads text and language alone, from rows that are not held out. Dictionaries come from a bounded sample:
-per language at most ``SAMPLE_ROWS`` distinct texts with the smallest hashes, one excerpt of ``EXCERPT`` characters
+per language the ``SAMPLE_ROWS`` distinct texts with the smallest hashes, or all if there are fewer, one excerpt of ``EXCERPT`` characters
 from a hashed place in each, cut at ``DICTIONARY_BYTES``. What the driver holds and broadcasts is that many bytes a
 language, for at most ``MAX_LANGUAGES``, checked. Scoring is row by row without a shuffle.
 
@@ -55,21 +55,27 @@ def learn(
     rows = df.select(quoted(lang).alias("lang"), quoted(text).alias("text"), learnable.alias("ok")).where(
         "ok and lang is not null and text is not null"
     )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).take(MAX_LANGUAGES + 1)}
+    place = F.xxhash64("text")
+    low = place.bitwiseAND(F.lit(2**40 - 1))
+    lettered = F.col("text").rlike(r"\p{L}")
+    # Copies are folded before texts are counted, so the sample does not depend on how many there are.
+    folded = rows.groupBy("lang", place.alias("place")).agg(F.count("*").alias("n"), F.max(lettered).alias("lettered"))
+    found = folded.groupBy("lang").agg(F.sum("n").alias("n"), F.count_if("lettered").alias("texts")).take(MAX_LANGUAGES + 1)
+    counts = {r["lang"]: r["n"] for r in found}
+    texts = {r["lang"]: r["texts"] for r in found}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: each needs a dictionary on every executor")
     if not counts:
         return []
     order = sorted(counts, key=lambda k: (-counts[k], k))
-    # Twice as many rows as wanted are let through by a hash threshold, so the ranking below sees few rows.
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(2.0 * sample_rows / counts[k])) for k in order))
-    place = F.xxhash64("text")
-    drawn = rows.where((place.bitwiseAND(F.lit(2**40 - 1)) / F.lit(float(2**40)) < share) & F.col("text").rlike(r"\p{L}"))
+    # Twice as many texts as wanted are let through by a hash threshold, so the ranking below sees few rows.
+    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(2.0 * sample_rows / max(texts[k], 1))) for k in order))
+    drawn = rows.where((low / F.lit(float(2**40)) < share) & lettered)
     start = F.pmod(F.shiftright(place, 20), F.greatest(F.length("text") - EXCERPT, F.lit(1))) + 1
     excerpts = (
         drawn.select("lang", place.alias("place"), F.col("text").substr(start.cast("int"), F.lit(EXCERPT)).alias("part"))
         .groupBy("lang", "place").agg(F.min("part").alias("part"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("place").bitwiseAND(F.lit(2**40 - 1)), "place")))
         .where(F.col("rank") <= sample_rows)
     )
     parts: dict[str, list[tuple[int, bytes]]] = {k: [] for k in order}

@@ -126,6 +126,21 @@ def test_language_of_odd_rows(odd, docs_of):
     assert {r.lang_pred for r in langid.classify(odd, []).collect()} == {"und"}
 
 
+def test_copies_do_not_change_what_is_learned(spark, docs_of):
+    rng = random.Random(13)
+    syllables = {"en": ["the", "ing", "ough", "wh", "ed"], "de": ["der", "sch", "ung", "ein", "icht"]}
+    rows = [
+        (100 * k + i, " ".join("".join(rng.choices(parts, k=3)) for _ in range(60)), lang)
+        for k, (lang, parts) in enumerate(syllables.items()) for i in range(100)
+    ] + [(1000 + i, f"{i} ?!", "de") for i in range(900)]  # texts without letters take no one's place
+    docs = docs_of(rows)
+    copied = docs.crossJoin(spark.range(1000).select(F.lit(1).alias("copy"))).where("doc_id < 1000 or doc_id = 1500").drop("copy")
+    once, often = dict(langid.learn(docs, F.lit(True))), dict(langid.learn(copied, F.lit(True)))
+    assert once == often and set(once) == {"en", "de"}
+    few = dict(langid.learn(copied, F.lit(True), sample_rows=150))
+    assert few == once and all(len(d) > 30_000 for d in once.values())
+
+
 def test_long_text_counts_to_its_end():
     english, german = "the house by the river is old ".encode() * 90, "das haus am fluss ist sehr alt ".encode() * 90
     sizes = langid.Compressors([("en", english), ("de", german)])
