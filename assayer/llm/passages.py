@@ -2,8 +2,10 @@
 
 Units of a document are its paragraphs (lines of at least ``MIN_WORDS`` words) and, so that a passage set into other
 text is found too, runs of ``RUN`` words that start at anchors. An anchor is a word pair whose hash is the least within
-``REACH`` places; it depends on the words around it alone, so a passage has the same anchors wherever it stands. A
-passage of fifty words holds a whole run but for about one in a thousand.
+``REACH`` places, equal ones included; it depends on the words around it alone, so a passage has the same anchors
+wherever it stands. Where ``PASSAGE`` words hold no such run, the least pair that begins a run inside them is an
+anchor too, so every passage of ``PASSAGE`` words or more holds a whole run. Of equal runs that follow each other in
+periodic text, one in about ``RUN`` words is taken. Verified runs are grown to where the words differ.
 
 1. *Bands.* A paragraph's shingle set gives ``bands`` keys of ``rows`` min-hash values each, tuned for the target
    recall at similarity 0.8; a run gives one key. Keys are counted over documents; those in one document alone end.
@@ -11,7 +13,8 @@ passage of fifty words holds a whole run but for about one in a thousand.
    bit map of fixed size (``BITS``); the join with the counted keys is what decides, so a full map costs time only.
 3. *Verification.* Paragraphs that share a band form candidate groups, in which every pair of different shingle sets
    is compared exactly (Jaccard of 0.8 or more, in tiles, see ``similarity``). Runs must agree in 128 bits of hashes
-   of all their words.
+   of all their words. Each is grown on both sides while its words agree with those around the run that is kept, by
+   at most ``FAR`` words: within PASSAGE equal words there is a run of their own, so no match reaches further.
 4. *Removals.* Components of the verified links are clusters; of each the unit of the smallest (id, text hash, place)
    stays, and those in other documents go. Overlapping units of a document are merged into spans.
 
@@ -43,6 +46,9 @@ from assayer.llm.similarity import SIMILARITY, WIDTH, verified
 MIN_WORDS = 20
 RUN = 20
 REACH = 6
+#: Equal words that hold a whole run wherever they stand, and how many of them can lie on one side of it.
+PASSAGE = 50
+FAR = PASSAGE - RUN
 RECALL = 0.99
 ROWS = 2
 BITS = 2**26
@@ -83,17 +89,30 @@ class Units:
         if n > 1:
             pairs[:-1] = np.where(text[1:] == text[:-1], shingles(self.codes, 2), _NONE)
         ok = pairs != _NONE
-        for d in range(1, min(REACH, n - 1) + 1):  # the least within REACH places; of equal ones the first
+        for d in range(1, min(REACH, n - 1) + 1):  # the least within REACH places, with its equals
             other = text[d:] != text[:-d]
-            ok[d:] &= (pairs[d:] < pairs[:-d]) | other
+            ok[d:] &= (pairs[d:] <= pairs[:-d]) | other
             ok[:-d] &= (pairs[:-d] <= pairs[d:]) | other
+        # The anchors from REACH to FAR places behind a word follow from the words of a window that begins there.
+        window = FAR + REACH + 1
+        if n > window:
+            before = np.concatenate([[0], np.cumsum(ok)])
+            none = before[FAR + 1 : n - window + FAR + 1] == before[REACH : n - window + REACH]
+            bare = np.flatnonzero(none & (text[window:] == text[:-window]))
+            if len(bare):  # the least pair that begins a run inside the window; of equal ones the last
+                ok[bare + FAR - pairs[bare[:, None] + np.arange(FAR, -1, -1)].argmin(axis=1)] = True
         at = np.flatnonzero(ok)
         at = at[at + RUN <= n]
+        self.text = text
         self.runs = at[text[at + RUN - 1] == text[at]]
-        self.run_text = text[self.runs]
-        cells = self.codes[self.runs[:, None] + np.arange(RUN)]
-        self.run_keys = stirred((cells * _POWERS).sum(axis=1, dtype=np.uint64))
-        self.run_checks = stirred((cells * _OTHERS).sum(axis=1, dtype=np.uint64))
+        self._name_runs()
+        if len(self.runs):  # of equal runs that follow each other within REACH places, one in RUN words
+            fresh = np.ones(len(self.runs), bool)
+            fresh[1:] = (self.run_keys[1:] != self.run_keys[:-1]) | (np.diff(self.runs) > REACH)
+            slot = (self.runs - self.runs[fresh][np.cumsum(fresh) - 1]) // RUN
+            fresh[1:] |= slot[1:] != slot[:-1]
+            self.runs = self.runs[fresh]
+            self._name_runs()
 
         edges = np.concatenate([[0], np.flatnonzero(line[1:] != line[:-1]) + 1, [n]]) if n else np.zeros(1, np.int64)
         long = np.diff(edges) >= MIN_WORDS
@@ -112,6 +131,20 @@ class Units:
                 keys = stirred(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r])
             self.band_keys = keys
 
+    def _name_runs(self) -> None:
+        self.run_text = self.text[self.runs]
+        cells = self.codes[self.runs[:, None] + np.arange(RUN)]
+        self.run_keys = stirred((cells * _POWERS).sum(axis=1, dtype=np.uint64))
+        self.run_checks = stirred((cells * _OTHERS).sum(axis=1, dtype=np.uint64))
+
+    def around(self, runs: np.ndarray) -> np.ndarray:
+        """32-bit codes of the FAR words before each run, the nearest first, and of those after it; 0 outside the text."""
+        at = runs[:, None] + np.concatenate([-1 - np.arange(FAR), RUN + np.arange(FAR)])
+        inside = (at >= 0) & (at < len(self.codes))
+        at = np.where(inside, at, runs[:, None])
+        inside &= self.text[at] == self.text[runs][:, None]
+        return np.where(inside, (self.codes[at] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
+
     def keys(self) -> np.ndarray:
         """All keys, each once for every text that has it."""
         keys = np.concatenate([self.run_keys, self.band_keys.ravel()])
@@ -164,7 +197,7 @@ def bit_map(keys: DataFrame) -> np.ndarray:
 
 
 def colliding_units(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key columns, start, end, key, check, set, bands, codes) of units that may hold one of ``keys``."""
+    """(key columns, start, end, key, check, around, set, bands, codes) of units that may hold one of ``keys``."""
     sent = docs.sparkSession.sparkContext.broadcast(bit_map(keys))
 
     def marked(k: np.ndarray) -> np.ndarray:
@@ -174,7 +207,7 @@ def colliding_units(docs: DataFrame, keys: DataFrame) -> DataFrame:
     schema = T.StructType([
         docs.schema["__key"], docs.schema["__text"], T.StructField("start", T.LongType()),
         T.StructField("end", T.LongType()), T.StructField("key", T.LongType()), T.StructField("check", T.LongType()),
-        T.StructField("set", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("around", T.BinaryType()), T.StructField("set", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
         T.StructField("codes", T.BinaryType()),
     ])
 
@@ -194,6 +227,7 @@ def colliding_units(docs: DataFrame, keys: DataFrame) -> DataFrame:
                     batch.column(0).take(own), batch.column(1).take(own), pa.array(start), pa.array(end),
                     pa.array(u.run_keys.view(np.int64)[hit].tolist() + no_run, pa.int64()),
                     pa.array(u.run_checks.view(np.int64)[hit].tolist() + no_run, pa.int64()),
+                    pa.array([c.tobytes() for c in u.around(u.runs[hit])] + no_run, pa.binary()),
                     pa.array(no_line + [xxhash.xxh3_128_digest(c) for c in codes], pa.binary()),
                     pa.array(no_line + u.band_keys.view(np.int64)[lines].tolist(), pa.list_(pa.int64())),
                     pa.array(no_line + codes, pa.binary()),
@@ -204,9 +238,10 @@ def colliding_units(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return checkpointed(docs.select("__key", "__text", "__body").mapInArrow(task, schema))
 
 
-def _removals(units: DataFrame, by: list[str]) -> DataFrame:
-    """(__key, __text, start, end, cluster, removed) of the ``units`` whose cluster spans documents."""
-    place = F.struct(F.col("__key").isNull().alias("no"), "__key", "__text", "start")
+def _removals(units: DataFrame, by: list[str], more: Sequence[str] = ()) -> DataFrame:
+    """(__key, __text, start, end, cluster, removed) of the ``units`` whose cluster spans documents; and, with ``more``
+    columns, ``by``, those columns and the kept unit's as head_.."""
+    place = F.struct(F.col("__key").isNull().alias("no"), "__key", "__text", "start", *more)
     doc = F.struct(F.col("__key").isNull().alias("no"), "__key", "__text")
     heads = units.groupBy(*by).agg(F.min(place).alias("head"), F.max(doc).alias("last")).where(
         (F.col("head.no") != F.col("last.no")) | ~F.col("head.__key").eqNullSafe(F.col("last.__key"))
@@ -217,6 +252,38 @@ def _removals(units: DataFrame, by: list[str]) -> DataFrame:
     return units.join(named, on).select(
         "__key", "__text", "start", "end", F.col("head.__key").alias("cluster"),
         (~F.col("__key").eqNullSafe(F.col("head.__key")) | (F.col("__text") != F.col("head.__text"))).alias("removed"),
+        *(by if more else []), *more, *(F.col(f"head.{c}").alias(f"head_{c}") for c in more),
+    )
+
+
+def _grown(runs: DataFrame) -> DataFrame:
+    """(__key, __text, start, end, cluster, removed) of removals of ``runs`` with their words around, grown to where those
+    differ from the kept run's; a run that stays grows as far as one of the removed ones."""
+    schema = T.StructType([
+        *(runs.schema[c] for c in runs.columns if c not in ("around", "head_around")),
+        T.StructField("left", T.LongType()), T.StructField("right", T.LongType()),
+    ])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, head = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, 2, FAR)
+                for c in ("around", "head_around")
+            )
+            far = np.logical_and.accumulate((own == head) & (own != 0), axis=2).sum(axis=2, dtype=np.int64)
+            cells = [batch.column(c) for c in schema.names[:-2]]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(far[:, 0]), pa.array(far[:, 1])], names=schema.names)
+
+    measured = checkpointed(runs.mapInArrow(task, schema))
+    gone = measured.where("removed")
+    most = gone.groupBy(F.col("key").alias("k"), F.col("check").alias("c")).agg(
+        F.max("left").alias("most_left"), F.max("right").alias("most_right")
+    )
+    stay = measured.where("not removed").join(most, (F.col("key") == F.col("k")) & (F.col("check") == F.col("c")))
+    stay = stay.withColumn("left", F.least("left", "most_left")).withColumn("right", F.least("right", "most_right"))
+    return gone.unionByName(stay.select(*gone.columns)).select(
+        "__key", "__text", (F.col("start") - F.col("left")).alias("start"), (F.col("end") + F.col("right")).alias("end"),
+        "cluster", "removed",
     )
 
 
@@ -228,8 +295,8 @@ def repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id") ->
     own = keys.select(F.col("key").alias("known"))
     where = ["__key", "__text", "start", "end"]
 
-    runs = units.where("key is not null").select(*where, "key", "check").join(own, F.col("key") == F.col("known"), "left_semi")
-    removed_runs = _removals(runs, ["key", "check"])
+    runs = units.where("key is not null").select(*where, "key", "check", "around").join(own, F.col("key") == F.col("known"), "left_semi")
+    removed_runs = _grown(_removals(runs, ["key", "check"], ["around"]))
 
     paragraphs = units.where("set is not null")
     sets = checkpointed(

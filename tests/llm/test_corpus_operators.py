@@ -149,6 +149,39 @@ def test_units_depend_on_the_words_around_them():
     assert len(passages.Units([]).keys()) == len(passages.Units([None, "", "\0 \n"]).keys()) == 0
 
 
+def test_passages_are_found_from_end_to_end(docs_of):
+    rng = random.Random(14)
+    fresh = (f"n{i}" for i in range(10**6))  # words that stand nowhere else
+
+    def unique(n):
+        return " ".join(next(fresh) for _ in range(n))
+
+    middles = [unique(rng.choice((50, 51, 64, 80, 120, 300))) for _ in range(60)]
+    middles += [unique(9) + " " + f"{unique(k)} " * 40 + unique(9) for k in range(1, 8)]
+    rows, want = [], set()
+    for m, middle in enumerate(middles):
+        n = len(middle.split())
+        for copy in range(3):  # paragraphs as wholes are not similar
+            before, after = ((n, n), (rng.choice((0, 1, 7, 40)), n), (n, rng.choice((0, 3, 40))))[copy]
+            rows.append((10 * m + copy, f"{unique(before)} {middle} {unique(after)}"))
+            want.add((10 * m + copy, before, n, 10 * m, copy > 0))
+    got = passages.repeated_passages(docs_of(rows)).collect()
+    assert {(r.doc_id, r.first_word, r.n_words, r.cluster, r.removed) for r in got} == want and len(got) == len(want)
+
+
+def test_every_passage_holds_a_run_of_its_own():
+    rng = random.Random(15)
+    text = [f"w{rng.randrange(10**9)}" for _ in range(200_000)]
+    runs = passages.Units([" ".join(text)]).runs
+    assert max(b - a for a, b in zip(runs.tolist(), runs.tolist()[1:])) <= passages.FAR + 1
+    for s in range(0, 150_000, 50):
+        inner = " ".join(text[s : s + 50])
+        alone = set(passages.Units([inner]).run_keys.tolist())
+        assert alone & set(passages.Units(["x1 y2 z3 " + inner + " u4 v5 w6"]).run_keys.tolist())
+    again = passages.Units(["again " * 80_000]).runs
+    assert len(again) <= 80_000 / passages.RUN + 20
+
+
 def test_word_codes_follow_the_words():
     text = "naïve Café_42, x² — \u4e2d\u6587! \U0001d538 a a\ud800b".lower()
     codes, starts, _ = coded_words(text)
