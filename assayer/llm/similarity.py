@@ -248,8 +248,11 @@ def candidate_groups(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     return grouped
 
 
-def _tile(rows: list[dict]) -> tuple[list[bytes], list[bytes], list[int]]:
-    """(class, root in the tile's forest, links) of a tile's ``rows``, side 0 first: 0 against 1, or 0 within itself."""
+def _tile(rows: list[dict], within: bool) -> tuple[list[bytes], list[bytes], list[int]]:
+    """(class, root in the tile's forest, links) of a tile's ``rows``, side 0 first: side 0 ``within`` itself, or against
+    side 1, where either may be empty."""
+    if not within and len({r["side"] for r in rows}) < 2:
+        return [], [], []
     sets = [np.frombuffer(r["codes"], np.uint64) for r in rows]
     side = np.array([r["side"] for r in rows])
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -263,9 +266,8 @@ def _tile(rows: list[dict]) -> tuple[list[bytes], list[bytes], list[int]]:
     renumber = np.cumsum(shared) - 1
     keep = shared[number]
     owner, number = owner[keep], renumber[number[keep]]
-    one_sided = not side.any()
     left = int((side == 0).sum())
-    right = np.arange(len(sets)) if one_sided else np.arange(left, len(sets))
+    right = np.arange(len(sets)) if within else np.arange(left, len(sets))
     common = np.zeros((left, len(right)), np.float32)
     step = min(4096, int(shared.sum()) or 1)
     for s in range(0, int(shared.sum()), step):
@@ -276,12 +278,12 @@ def _tile(rows: list[dict]) -> tuple[list[bytes], list[bytes], list[int]]:
     common = np.rint(common).astype(np.int64)
     top, whole = round(SIMILARITY * 10), 10
     linked = whole * common >= top * (sizes[:left, None] + sizes[right][None, :] - common)
-    if one_sided:
+    if within:
         np.fill_diagonal(linked, False)
     texts = np.array([r["texts"] for r in rows], np.int64)
     links = np.zeros(len(sets), np.int64)
     links[:left] += linked @ texts[right]
-    if not one_sided:
+    if not within:
         links[left:] += texts[:left] @ linked
     forest = Forest(len(sets))
     for i in range(left):
@@ -314,7 +316,7 @@ def verified(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
         def close() -> None:
             if held:
-                for column, more in zip(out, _tile(held)):
+                for column, more in zip(out, _tile(held, last[1] == last[2])):
                     column.extend(more)
                 held.clear()
 

@@ -101,6 +101,18 @@ def test_join_equals_brute_force_with_a_large_group(docs_of, odd, monkeypatch):
     assert similarity.join_similar(odd.limit(0)).count() == 0
 
 
+def test_links_are_counted_once_when_blocks_are_empty(docs_of, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_SHINGLES", 100)
+    rng = random.Random(16)
+    rows = []
+    for k in range(12):
+        base = prose(rng, 150)
+        rows += [(10 * k + j, edited(rng, base, 1)) for j in range(2 + k % 3)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in similarity.join_similar(docs_of(rows)).collect()}
+    want = linked_by_hand(rows)
+    assert got == {i: want[i, t] for i, t in rows} and max(n for _, n in got.values()) == 3
+
+
 def test_runs_reach_the_recall():
     for recall in (0.5, 0.9, 0.99):
         assert 1 - (1 - similarity.survival(similarity.DEEPEST)) ** similarity.runs_for(recall) >= recall
