@@ -1,4 +1,6 @@
 """All registered queries over the corpus."""
 
 from assayer.llm.common import ORACLES, QUERIES  # noqa: F401
-from assayer.llm import decontamination, langid, licenses, mixing, passages, quality, sharding, similarity, tokencount, toxicity  # noqa: F401
+from assayer.llm import (  # noqa: F401
+    decontamination, langid, licenses, mixing, passages, quality, sharding, similarity, tokencount, tokenfiles, toxicity,
+)
