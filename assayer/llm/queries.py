@@ -2,6 +2,6 @@
 
 from assayer.llm.common import ORACLES, QUERIES  # noqa: F401
 from assayer.llm import (  # noqa: F401
-    decontamination, langid, licenses, mixing, passages, quality, sharding, similarity, tokencount, tokenfiles, toxicity,
+    decontamination, hardnegatives, langid, licenses, mixing, passages, quality, sharding, similarity, tokencount, tokenfiles, toxicity,
     whitening,
 )

@@ -22,8 +22,10 @@ def usable(vector: str) -> F.Column:
     return c.isNotNull() & F.coalesce(good, F.lit(False))
 
 
-def packed(df: DataFrame, vector: str, keep: Sequence[tuple[F.Column, str]], scale: int, d: int) -> DataFrame:
-    """``keep`` and x: floor(scale * component) of ``d`` components as 64-bit integers; missing last ones count as zero."""
+def packed(
+    df: DataFrame, vector: str, keep: Sequence[tuple[F.Column, str]], scale: int, d: int, kind: str = "<i8", largest: int = LARGEST
+) -> DataFrame:
+    """``keep`` and x: floor(scale * component) of ``d`` components as integers of ``kind``; missing last ones count as zero."""
     taken = df.select(*(c.alias(n) for c, n in keep), quoted(vector).cast("array<double>").alias("__v"))
     schema = T.StructType([*taken.schema.fields[:-1], T.StructField("x", T.BinaryType())])
     kinds = [to_arrow_type(f.dataType) for f in schema.fields]
@@ -36,18 +38,18 @@ def packed(df: DataFrame, vector: str, keep: Sequence[tuple[F.Column, str]], sca
             x = np.zeros((b.num_rows, d))
             x[np.repeat(np.arange(b.num_rows), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
             x = np.floor(scale * x)
-            if x.size and np.abs(x).max() >= LARGEST:
+            if x.size and np.abs(x).max() >= largest:
                 raise ValueError(f"components of {vector} leave the range of exact sums")
-            made = [*b.columns[:-1], pa.array([r.tobytes() for r in x.astype("<i8")], pa.binary())]
+            made = [*b.columns[:-1], pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())]
             yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(made, kinds)], names=schema.names)
 
     return taken.mapInArrow(task, schema)
 
 
-def rows_of(column: pa.Array, d: int) -> np.ndarray:
+def rows_of(column: pa.Array, d: int, kind: str = "<i8") -> np.ndarray:
     """The packed vectors of a column as a matrix of integers."""
     cells = column.to_pylist()
-    return np.frombuffer(b"".join(cells), "<i8").reshape(len(cells), d)
+    return np.frombuffer(b"".join(cells), kind).reshape(len(cells), d)
 
 
 def dimension(df: DataFrame, vector: str) -> int:
