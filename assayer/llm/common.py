@@ -109,10 +109,15 @@ def coded_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside[1:-1] = _is_word_character()[characters]
     starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
     ends = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+    return range_codes(characters, starts, ends), starts, characters
+
+
+def range_codes(characters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit codes of the stretches from ``starts`` to ``ends``."""
     up, down = _powers(len(characters) + 1)
     sums = np.zeros(len(characters) + 1, np.uint64)
     np.cumsum((characters.astype(np.uint64) + np.uint64(1)) * up[: len(characters)], out=sums[1:])
-    return stirred((sums[ends] - sums[starts]) * down[starts]), starts, characters
+    return stirred((sums[ends] - sums[starts]) * down[starts])
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)

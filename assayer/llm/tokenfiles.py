@@ -1,7 +1,7 @@
 """Token-id files: the ids of many documents in one array, document boundaries in Elias-Fano code.
 
-1. *Ids.* A text is cut where the tokenizer's own pre-tokenizer cuts it, each different piece is encoded once by the
-   ``tokenizers`` library, and the ids of pieces seen before come from a bounded cache of the worker. Texts with
+1. *Ids.* Texts are cut by array operations where the tokenizer's own pre-tokenizer cuts them. Each different piece of a
+   batch is encoded once by the ``tokenizers`` library, or comes from a bounded cache of the worker. Texts with
    characters whose class differs between versions of Unicode, or with a special token's string, go to the library whole.
    Every document ends with ``END``.
 2. *Order.* Documents go by (key, hash of the text), null keys first. Key ranges of about ``ROWS_A_RANGE`` rows are read
@@ -25,6 +25,7 @@ The manifest is the only thing the driver holds: a row of about 100 bytes a file
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import unicodedata
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayer.functions.columns import quoted
 from assayer.functions.cutting import checkpointed, shared_folder
-from assayer.llm.common import once, query, table
+from assayer.llm.common import once, query, range_codes, table
 from assayer.llm.eliasfano import EliasFano
 
 END = 2
@@ -49,61 +50,145 @@ IDS_A_FILE = 1 << 25
 #: Bounds of what the driver holds of the keys: ranges, and sampled rows for each.
 MAX_RANGES, SAMPLE_A_RANGE = 65_536, 20
 #: Bounds of the cache of pieces: entries, and characters of a piece.
-CACHED, CACHED_LENGTH = 400_000, 64
+CACHED, CACHED_LENGTH = 600_000, 64
 
 MAGIC = b"IDFILE01"
 _HEAD = struct.Struct("<8sQQQQqQQ")
-#: The pieces of a byte-level pre-tokenizer, for characters that ``_is_plain`` admits.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Characters that are cut into pieces at once; longer texts are cut before white space.
+AT_ONCE = 1 << 20
+_CUT = re.compile(r"(?<=\S)\s")
+_ODD, _LETTER, _NUMBER, _BLANK, _MARK = range(5)
 
 
-def _is_plain() -> np.ndarray:
-    """By code point: True where Python's classes are those of the pre-tokenizer whatever their version of Unicode."""
-    old = unicodedata.ucd_3_2_0.category
+def _classes() -> np.ndarray:
+    """The class of each code point; odd where it depends on the version of Unicode.
 
-    def plain(c: str) -> bool:
+    All characters that came later than the oldest version at hand count as odd.
+    """
+    old = unicodedata.ucd_3_2_0.category
+    out = np.full(0x110000, _ODD, np.uint8)
+    for i in range(0x30000):
+        c = chr(i)
         kind = unicodedata.category(c)
-        blank = kind[0] == "Z" or c in "\t\n\v\f\r\x85"
-        return kind == old(c) and kind not in ("Cn", "Cs", "No", "Nl") and blank == c.isspace()
-
-    # All characters invented later count as odd, and so does whatever lies above the planes of the old version.
-    return np.fromiter((i < 0x30000 and plain(chr(i)) for i in range(0x110000)), bool, 0x110000)
+        if kind == old(c) and kind not in ("Cn", "Cs"):
+            blank = kind[0] == "Z" or c in "\t\n\v\f\r\x85"
+            out[i] = _BLANK if blank else {"L": _LETTER, "N": _NUMBER}.get(kind[0], _MARK)
+    return out
+
+
+def piece_starts(chars: np.ndarray, kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places where a byte-level pre-tokenizer starts a piece; ``first``: where texts start.
+
+    A piece is a run of letters, numbers or marks with the blank before it, the common endings after an apostrophe,
+    or white space up to what the next piece takes.
+    """
+    n = len(chars)
+    starting = np.zeros(n + 1, bool)
+    starting[first] = starting[n] = True
+    run = starting[:n].copy()
+    run[1:] |= kinds[1:] != kinds[:-1]
+    blank = kinds == _BLANK
+    taken = np.zeros(n, bool)
+    taken[1:] = (chars[:-1] == 32) & ~starting[1:n]
+    out = run & (blank | ~taken)
+    # The last white space before anything else is a piece, or starts one.
+    out[:-1] |= blank[:-1] & ~blank[1:] & ~starting[1:n]
+    at = np.flatnonzero((chars == 39) & out)
+    if len(at):
+        end = np.append(chars, [0, 0])
+        a, b = np.where(starting[np.minimum(at + 1, n)], 0, end[at + 1]), end[at + 2]
+        b = np.where(starting[np.minimum(at + 2, n)], 0, b)
+        two = ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+        one = np.isin(a, [ord(c) for c in "stmd"])
+        out[at[one | two] + 1] = False
+        for places, size in ((at[one], 2), (at[two], 3)):
+            after = places + size
+            out[after[after < n]] = True
+    return np.flatnonzero(out)
 
 
 class Encoder:
     """Ids of texts as bytes of ``dtype``, one worker's own."""
 
     def __init__(self, path: str, piecewise: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.plain = _is_plain() if piecewise else None
+        self.kinds = _classes() if piecewise else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        encode, dtype = self.tokenizer.encode, self.dtype
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                ids = np.array(encode(piece, add_special_tokens=False).ids, dtype).tobytes()
-                if len(piece) <= CACHED_LENGTH:
-                    if len(self) >= CACHED:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.pieces = Pieces()
+        # Pieces seen lately, and those seen before them; together at most CACHED.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        young, old = self.young, self.old
+        out = [young.get(p) or old.get(p) for p in pieces]
+        missed = [i for i, ids in enumerate(out) if ids is None]
+        found = self.tokenizer.encode_batch_fast([pieces[i] for i in missed], add_special_tokens=False)
+        for i, encoding in zip(missed, found):
+            out[i] = np.array(encoding.ids, self.dtype).tobytes()
+        for piece, ids in zip(pieces, out):
+            if len(piece) <= CACHED_LENGTH:
+                young[piece] = ids
+        if len(young) > CACHED // 2:
+            self.young, self.old = {}, young
+        return out
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.plain is None or any(s in text for s in self.special):
-            return self.whole(text)
-        if not self.plain[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].all():
-            return self.whole(text)
-        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        held: list[tuple[int, str]] = []
+        size = 0
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if self.kinds is None or any(s in t for s in self.special):
+                out[i] = self.whole(t)
+                continue
+            while len(t) > AT_ONCE and (cut := _CUT.search(t, AT_ONCE)):
+                self._into(out, [(i, t[: cut.start()])])
+                t = t[cut.start() :]
+            if held and size + len(t) > AT_ONCE:
+                self._into(out, held)
+                held, size = [], 0
+            held.append((i, t))
+            size += len(t)
+        self._into(out, held)
+        return out
+
+    def _into(self, out: list[bytes], held: list[tuple[int, str]]) -> None:
+        """Add the ids of each (place, text) to the place."""
+        if not held:
+            return
+        joined = "".join(t for _, t in held)
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.kinds[chars]
+        first = np.cumsum([0, *(len(t) for _, t in held[:-1])])
+        if (kinds == _ODD).any():
+            odd = np.bitwise_or.reduceat(kinds == _ODD, first)
+            for (i, t), is_odd in zip(held, odd.tolist()):
+                if is_odd:
+                    out[i] += self.whole(t)
+            self._into(out, [h for h, is_odd in zip(held, odd.tolist()) if not is_odd])
+            return
+        start = piece_starts(chars, kinds, first)
+        end = np.append(start[1:], len(chars))
+        codes = range_codes(chars, start, end)
+        _, place, number = np.unique(codes, return_index=True, return_inverse=True)
+        known = self.encoded([joined[a:b] for a, b in zip(start[place].tolist(), end[place].tolist())])
+        ids = np.frombuffer(b"".join(known), self.dtype)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        count = sizes[number]
+        upto = np.cumsum(count)
+        made = ids[np.repeat((np.cumsum(sizes) - sizes)[number] - (upto - count), count) + np.arange(upto[-1])]
+        at = np.append(0, upto)[np.append(np.searchsorted(start, first), len(start))].tolist()
+        for (i, _), a, b in zip(held, at[:-1], at[1:]):
+            out[i] += made[a:b].tobytes()
 
 
 def cuts_into_known_pieces(path: str) -> bool:
@@ -213,7 +298,7 @@ def write_files(df: DataFrame, tokenizer: str, folder: str | None = None, text:
         for whole in batches:
             for s in range(0, whole.num_rows, 256):
                 b = whole.slice(s, 256)
-                ids = [run(t) + last for t in b.column(2).to_pylist()]
+                ids = [i + last for i in run(b.column(2).to_pylist())]
                 known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
                 keys = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
                 at = np.where(known, _range_of(keys, b.column(1).to_numpy(), starts), 0).astype(np.int32)
