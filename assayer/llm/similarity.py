@@ -5,12 +5,13 @@
 2. *Paths.* In each run a class follows random paths: at a node, a hash of the node chooses one or two coordinates
    (1 / similarity on average), and the class goes on to the child named by each coordinate's value. Classes meet in
    a child only if they share the chosen token. Nodes with one class end; nodes with up to ``BUCKET`` classes are
-   compared by brute force on the embedding; larger nodes are compared with their first class and split again, down
-   to ``DEEPEST``, unless all their classes already lie in one candidate group. A pair at the
-   threshold survives to the deepest level in a run with a probability that follows from the branching, and the
-   runs are as many as the target recall needs.
-3. *Groups.* Pairs that agree well enough on the embedding, and classes that still share a node at the deepest level,
-   are joined into candidate groups by connected components.
+   compared by brute force on the embedding; larger nodes are compared with up to ``HEADS`` of their classes and split
+   again. The runs go in portions, and each level counts on what came before: a class carries its candidate group, and a node whose
+   classes all lie in one group ends by an aggregate, before any join. A pair at the threshold survives to depth
+   ``DEEPEST`` in a run with a probability that follows from the branching and from how many of the coordinates the pair
+   happens to share; the runs are as many as the target recall needs. Nodes that are still large then are split on
+   to ``LAST``, and joined whole if even that does not part them.
+3. *Groups.* Pairs that agree well enough on the embedding are joined into candidate groups by connected components.
 4. *Exact check.* In each candidate group every pair of classes is compared on the true sets, once, in tiles of at
    most about two blocks. A tile returns a count of links for each class and a spanning forest, never the pairs.
    Components of the verified links are the result.
@@ -30,6 +31,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -42,11 +44,14 @@ SIMILARITY = 0.8
 WIDTH = 5
 COORDINATES = 64
 RECALL = 0.99
-FIRST_DEPTH, DEEPEST = 3, 8
+FIRST_DEPTH, DEEPEST, LAST = 3, 8, 12
 BUCKET = 64
+HEADS = 4
+#: Runs taken at once; the last portion goes on to the number that the recall needs.
+PORTIONS = (1, 1, 2, 4)
 #: How far below the threshold an estimate from the embedding may lie: four standard errors.
 SLACK = 0.2
-BLOCK = 256
+BLOCK = 1024
 BLOCK_SHINGLES = 1_000_000
 #: Bound of the broadcast table of hash buckets.
 NEAR_BUCKETS = 2**20
@@ -66,8 +71,19 @@ def survival(depth: int, similarity: float = SIMILARITY) -> float:
     return 1 - lost
 
 
+def recall_of(runs: int, depth: int = DEEPEST, similarity: float = SIMILARITY) -> float:
+    """Probability that some run brings a pair together at ``depth``. All runs use the same coordinates, of which a pair shares
+    a binomial number."""
+    n = COORDINATES
+    shared = (math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k) for k in range(n + 1))
+    return sum(p * (1 - (1 - survival(depth, k / n)) ** runs) for k, p in enumerate(shared))
+
+
 def runs_for(recall: float = RECALL, depth: int = DEEPEST) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(depth))))
+    runs = 1
+    while recall_of(runs, depth) < recall:
+        runs += 1
+    return runs
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -121,11 +137,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(cells), np.uint32).reshape(len(cells), COORDINATES)
 
 
-_PATHS = T.StructType([T.StructField("set", T.BinaryType()), T.StructField("node", T.LongType())])
+_PATHS = T.StructType([
+    T.StructField("set", T.BinaryType()), T.StructField("group", T.BinaryType()), T.StructField("node", T.LongType()),
+])
 
 
-def _paths(frame: DataFrame, depth: int, runs: int | None) -> DataFrame:
-    """(set, node) ``depth`` levels below the roots of ``runs`` runs, or below the rows' own ``node``."""
+def _paths(frame: DataFrame, depth: int, runs: Sequence[int] | None) -> DataFrame:
+    """(set, group, node) ``depth`` levels below the roots of ``runs``, or below the rows' own ``node``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,13 +154,14 @@ def _paths(frame: DataFrame, depth: int, runs: int | None) -> DataFrame:
                 if runs is None:
                     rows, nodes = np.arange(n), batch.column("node").to_numpy().astype(np.int64).view(np.uint64)
                 else:
-                    rows = np.tile(np.arange(n), runs)
-                    nodes = np.repeat(stirred(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)), n)
+                    rows = np.tile(np.arange(n), len(runs))
+                    roots = np.array([r + 1 for r in runs], np.uint64)
+                    nodes = np.repeat(stirred(roots * np.uint64(0xD1B54A32D192ED03)), n)
                 for _ in range(depth):
                     rows, nodes = _branch(rows, nodes, values)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("set").take(pa.array(rows)), pa.array(nodes.view(np.int64))], names=["set", "node"]
-                )
+                at = pa.array(rows)
+                cells = [batch.column("set").take(at), batch.column("group").take(at), pa.array(nodes.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cells, names=_PATHS.names)
 
     return frame.mapInArrow(task, _PATHS)
 
@@ -192,59 +211,92 @@ def _compare_buckets(buckets: DataFrame) -> DataFrame:
     return buckets.mapInArrow(task, _EDGES)
 
 
-def _match_first(members: DataFrame) -> DataFrame:
-    """Edges from each of ``members`` (set, values, first, first_values) to its node's first class, if they agree."""
+def _match_heads(members: DataFrame) -> DataFrame:
+    """Edges from each of ``members`` (set, values, heads) to the heads (set, values) of its node that it agrees with."""
     need = math.ceil((SIMILARITY - SLACK) * COORDINATES)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = (_matrix(batch.column("values")) == _matrix(batch.column("first_values"))).sum(axis=1) >= need
-            found = batch.filter(pa.array(same))
-            yield pa.RecordBatch.from_arrays([found.column("set"), found.column("first")], names=["a", "b"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                heads = batch.column("heads")
+                of = np.repeat(np.arange(batch.num_rows), np.diff(heads.offsets.to_numpy()))
+                flat = heads.flatten()
+                same = (_matrix(batch.column("values"))[of] == _matrix(flat.field("values"))).sum(axis=1) >= need
+                found = pa.array(np.flatnonzero(same))
+                a, b = batch.column("set").take(pa.array(of)).take(found), flat.field("set").take(found)
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pc.not_equal(a, b))
 
     return members.mapInArrow(task, _EDGES)
 
 
-def candidate_groups(classes: DataFrame, recall: float = RECALL) -> DataFrame:
-    """(node, component): candidate groups among ``classes`` (set, values)."""
+def _grouped_with(edges: DataFrame, grouped: DataFrame | None) -> DataFrame | None:
+    """``grouped`` (node, component) after ``edges`` have joined groups; as it is if there are none."""
+    edges = checkpointed(edges.distinct())
+    if edges.isEmpty():
+        return grouped
+    if grouped is not None:
+        edges = edges.union(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(edges)
+
+
+def _labelled(rows: DataFrame, grouped: DataFrame | None) -> DataFrame:
+    """``rows`` with the candidate group of their ``set``; a class of no group is one of its own."""
+    if grouped is None:
+        return rows.withColumn("group", F.col("set"))
+    known = grouped.select(F.col("node").alias("is"), "component")
+    return rows.join(known, F.col("set") == F.col("is"), "left").withColumn("group", F.coalesce("component", "set")).drop("is", "component")
+
+
+def _follow(classes: DataFrame, runs: Sequence[int], grouped: DataFrame | None) -> DataFrame | None:
+    """The candidate groups after ``runs`` more runs."""
     embedded = classes.select(F.col("set").alias("own"), "values")
-    frontier = checkpointed(_paths(classes.select("set", "values"), FIRST_DEPTH, runs_for(recall)))
-    grouped = None
-    for depth in range(FIRST_DEPTH, DEEPEST + 1):
-        sizes = frontier.groupBy("node").agg(F.count("*").alias("n"), F.min("set").alias("first")).where("n > 1")
+    frontier = checkpointed(_paths(_labelled(classes.select("set", "values"), grouped), FIRST_DEPTH, runs))
+    for depth in range(FIRST_DEPTH, LAST + 1):
+        sizes = frontier.groupBy("node").agg(
+            F.count("*").alias("n"), F.min("set").alias("first"), F.min("group").alias("low"), F.max("group").alias("high")
+        ).where("n > 1 and low != high").select(F.col("node").alias("at"), "n", "first")
         met = checkpointed(
-            frontier.join(sizes.select(F.col("node").alias("at"), "n", "first"), F.col("node") == F.col("at"))
-            .select("set", "node", "n", "first").join(embedded, F.col("set") == F.col("own")).drop("own")
+            frontier.join(sizes, F.col("node") == F.col("at")).select("set", "node", "n", "first")
+            .join(embedded, F.col("set") == F.col("own")).drop("own")
         )
         buckets = met.where(F.col("n") <= BUCKET).groupBy("node").agg(
             F.collect_list(F.struct("set", "values")).alias("members")
         )
-        edges = _compare_buckets(buckets.select("members")).distinct()
         large = met.where(F.col("n") > BUCKET)
-        if depth == DEEPEST:
-            edges = edges.union(large.where(F.col("set") != F.col("first")).select(F.col("set").alias("a"), F.col("first").alias("b")))
-        else:
-            heads = large.where(F.col("set") == F.col("first")).select(
-                F.col("node").alias("at"), F.col("values").alias("first_values")
-            )
-            members = large.where(F.col("set") != F.col("first")).join(heads, F.col("node") == F.col("at"))
-            edges = edges.union(_match_first(members.select("set", "values", "first", "first_values")))
-        if grouped is not None:
-            edges = edges.union(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        grouped = components(edges)
-        if depth == DEEPEST:
-            break
+        heads = (
+            large.groupBy("node", F.pmod(F.xxhash64("set"), F.lit(HEADS)).alias("turn")).agg(F.min(F.struct("set", "values")).alias("head"))
+            .groupBy(F.col("node").alias("at")).agg(F.collect_list("head").alias("heads"))
+        )
+        members = large.join(heads, F.col("node") == F.col("at")).select("set", "values", "heads")
+        edges = _compare_buckets(buckets.select("members")).union(_match_heads(members))
+        grouped = _grouped_with(edges, grouped)
         # A large node whose classes all lie in one group needs no splitting: its pairs will be compared exactly.
-        label = large.select("set", "node").join(
-            grouped.select(F.col("node").alias("is"), "component"), F.col("set") == F.col("is"), "left"
+        label = checkpointed(_labelled(large.select("set", "node", "first"), grouped))
+        mixed = label.groupBy("node").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select(
+            F.col("node").alias("at")
         )
-        mixed = label.groupBy("node").agg(
-            F.min(F.coalesce("component", "set")).alias("low"), F.max(F.coalesce("component", "set")).alias("high")
-        ).where("low != high").select(F.col("node").alias("at"))
-        rest = large.join(mixed, F.col("node") == F.col("at"), "left_semi").select("set", "values", "node")
-        frontier = checkpointed(_paths(rest, 1, None))
-        if frontier.isEmpty():
+        rest = checkpointed(label.join(mixed, F.col("node") == F.col("at"), "left_semi"))
+        if rest.isEmpty():
             break
+        if depth == LAST:
+            whole = rest.where(F.col("set") != F.col("first")).select(F.col("set").alias("a"), F.col("first").alias("b"))
+            grouped = _grouped_with(whole, grouped)
+            break
+        again = rest.join(embedded, F.col("set") == F.col("own")).select("set", "group", "values", "node")
+        frontier = checkpointed(_paths(again, 1, None))
+    return grouped
+
+
+def candidate_groups(classes: DataFrame, recall: float = RECALL) -> DataFrame:
+    """(node, component): candidate groups among ``classes`` (set, values)."""
+    left, grouped = list(range(runs_for(recall))), None
+    for size in (*PORTIONS, len(left)):
+        now, left = left[:size], left[size:]
+        if now:
+            grouped = _follow(classes, now, grouped)
+    if grouped is None:
+        return classes.select(F.col("set").alias("node"), F.col("set").alias("component")).where("false")
     return grouped
 
 

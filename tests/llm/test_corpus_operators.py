@@ -79,13 +79,15 @@ def linked_by_hand(rows):
     return {(i, t): (least[forest.root(x)], links[x]) for x, t in enumerate(names) for i in texts[t]}
 
 
-def test_join_equals_brute_force_with_a_large_group(docs_of, odd, monkeypatch):
-    monkeypatch.setattr(similarity, "BUCKET", 8)
-    monkeypatch.setattr(similarity, "BLOCK", 16)
+@pytest.mark.parametrize("bucket, block, last", [(8, 16, similarity.LAST), (similarity.BUCKET, similarity.BLOCK, similarity.LAST), (4, 16, 4)])
+def test_join_equals_brute_force_with_a_large_group(docs_of, odd, monkeypatch, bucket, block, last):
+    monkeypatch.setattr(similarity, "BUCKET", bucket)
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "LAST", last)
     rng = random.Random(4)
     rows = [(k, prose(rng, rng.randint(1, 90))) for k in range(60)]
     base = prose(rng, 80)
-    rows += [(100 + k, edited(rng, base, rng.randint(0, 2))) for k in range(70)]
+    rows += [(1000 + k, edited(rng, base, rng.randint(0, 2))) for k in range(90)]
     rows += [(200 + k, edited(rng, rows[k][1], 1)) for k in range(60) if len(rows[k][1].split()) > 40]
     rows += [(300 + k, rows[k][1].upper() + "!") for k in range(20)] + [(400 + k, base) for k in range(30)]
     docs = docs_of(rows).union(odd)
@@ -115,10 +117,28 @@ def test_links_are_counted_once_when_blocks_are_empty(docs_of, monkeypatch):
 
 def test_runs_reach_the_recall():
     for recall in (0.5, 0.9, 0.99):
-        assert 1 - (1 - similarity.survival(similarity.DEEPEST)) ** similarity.runs_for(recall) >= recall
+        runs = similarity.runs_for(recall)
+        assert similarity.recall_of(runs) >= recall and (runs == 1 or similarity.recall_of(runs - 1) < recall)
     assert similarity.survival(3) == pytest.approx(0.6425, abs=1e-3)
 
 
+def test_recall_at_the_threshold_among_texts_with_much_in_common(docs_of, monkeypatch):
+    """Pairs at 0.80-0.82 between texts that all share a third of their words, so nodes hold more than a bucket."""
+    rng = random.Random(41)
+    shared, rows, pairs = prose(rng, 100), [], []
+    for k in range(160):
+        own = shared + " " + prose(rng, 180)
+        other = edited(rng, own, 6)
+        a, b = (set(similarity.shingle_set(t).tolist()) for t in (own, other))
+        rows += [(2 * k, own), (2 * k + 1, other)]
+        if 0.8 <= len(a & b) / len(a | b) <= 0.82:
+            pairs.append(2 * k)
+    assert len(pairs) >= 60
+    got = {r.doc_id: r.class_id for r in similarity.join_similar(docs_of(rows)).collect()}
+    assert sum(got[p] == got[p + 1] for p in pairs) >= 0.95 * len(pairs)
+    assert all(c in (i, i - i % 2) for i, c in got.items())
+
+
 # Repeated passages
 
 
