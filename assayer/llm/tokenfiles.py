@@ -31,8 +31,9 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayer.functions.columns import quoted
 from assayer.functions.cutting import checkpointed, shared_folder
-from assayer.llm.common import once, query, range_codes, table
+from assayer.llm.common import once, query, range_codes, stirred, table
 from assayer.llm.eliasfano import EliasFano
 
 END = 2
@@ -49,8 +50,8 @@ ROWS_A_RANGE = 16_384
 IDS_A_FILE = 1 << 25
 #: Bounds of what the driver holds of the keys: ranges, and sampled rows for each.
 MAX_RANGES, SAMPLE_A_RANGE = 65_536, 20
-#: Bounds of the cache of pieces: entries, and characters of a piece.
-CACHED, CACHED_LENGTH = 600_000, 64
+#: Pieces whose ids a worker keeps.
+CACHED = 3_000_000
 
 MAGIC = b"IDFILE01"
 _HEAD = struct.Struct("<8sQQQQqQQ")
@@ -107,6 +108,73 @@ def piece_starts(chars: np.ndarray, kinds: np.ndarray, first: np.ndarray) -> np.
     return np.flatnonzero(out)
 
 
+def _checks(chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of a mixed number for each character of a stretch: equal codes with unequal sums are different pieces."""
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(stirred(chars.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), out=sums[1:])
+    return sums[end] - sums[start]
+
+
+class Cache:
+    """Ids of pieces by two hashes of 64 bits, in sorted arrays: about 30 bytes a piece, at most ``CACHED`` of them.
+
+    New pieces collect in a small tier that is merged into the large one as it fills; pieces not used since the last trim go first.
+    """
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self._empty()
+
+    def _empty(self) -> None:
+        self.ids, self.held = np.zeros(1 << 16, self.dtype), 0
+        kinds = (np.uint64, np.uint64, np.int64, np.int32, bool)  # code, check, place, size, used
+        self.tiers = [[np.zeros(0, k) for k in kinds] for _ in range(2)]
+
+    def find(self, codes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, sizes); place -1 where a piece is not held."""
+        places, sizes = np.full(len(codes), -1, np.int64), np.zeros(len(codes), np.int64)
+        for known, check, place, size, used in self.tiers:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                hit = np.flatnonzero((known[at] == codes) & (check[at] == checks))
+                at = at[hit]
+                places[hit], sizes[hit], used[at] = place[at], size[at], True
+        return places, sizes
+
+    def add(self, codes: np.ndarray, checks: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Hold pieces of increasing ``codes`` with their ids one after the other; their places."""
+        while self.held + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.held : self.held + len(flat)] = flat
+        places = self.held + np.cumsum(sizes) - sizes
+        self.held += len(flat)
+        self.tiers[1] = self._merged(self.tiers[1], [codes, checks, places, sizes.astype(np.int32), np.ones(len(codes), bool)])
+        if len(self.tiers[1][0]) > max(1 << 16, len(self.tiers[0][0]) // 4):
+            self.tiers = [self._merged(*self.tiers), [c[:0] for c in self.tiers[1]]]
+        return places
+
+    @staticmethod
+    def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return [np.concatenate([x, y])[order] for x, y in zip(a, b)]
+
+    def trim(self) -> None:
+        """Above the bound, keep what was used since the last trim, if that is at most half of it."""
+        if sum(len(t[0]) for t in self.tiers) <= CACHED:
+            return
+        codes, checks, places, sizes, used = self._merged(*self.tiers)
+        ids = self.ids
+        self._empty()
+        kept = np.flatnonzero(used)
+        if len(kept) <= CACHED // 2:
+            count = sizes[kept].astype(np.int64)
+            upto = np.cumsum(count)
+            flat = ids[np.repeat(places[kept] - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)]
+            self.add(codes[kept], checks[kept], flat, count)
+            for tier in self.tiers:
+                tier[4][:] = False
+
+
 class Encoder:
     """Ids of texts as bytes of ``dtype``, one worker's own."""
 
@@ -118,24 +186,19 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.kinds = _classes() if piecewise else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # Pieces seen lately, and those seen before them; together at most CACHED.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encoded(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece."""
-        young, old = self.young, self.old
-        out = [young.get(p) or old.get(p) for p in pieces]
-        missed = [i for i, ids in enumerate(out) if ids is None]
-        found = self.tokenizer.encode_batch_fast([pieces[i] for i in missed], add_special_tokens=False)
-        for i, encoding in zip(missed, found):
-            out[i] = np.array(encoding.ids, self.dtype).tobytes()
-        for piece, ids in zip(pieces, out):
-            if len(piece) <= CACHED_LENGTH:
-                young[piece] = ids
-        if len(young) > CACHED // 2:
-            self.young, self.old = {}, young
-        return out
+        self.cache = Cache(self.dtype)
+
+    def encoded(self, codes: np.ndarray, checks: np.ndarray, piece: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the cache's ids, sizes) of the pieces with increasing ``codes``; ``piece`` gives their text."""
+        places, sizes = self.cache.find(codes, checks)
+        missed = np.flatnonzero(places < 0)
+        if len(missed):
+            found = self.tokenizer.encode_batch_fast([piece(i) for i in missed.tolist()], add_special_tokens=False)
+            ids = [e.ids for e in found]
+            sizes[missed] = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes[missed].sum()))
+            places[missed] = self.cache.add(codes[missed], checks[missed], flat, sizes[missed])
+        return places, sizes
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -178,14 +241,18 @@ class Encoder:
             return
         start = piece_starts(chars, kinds, first)
         end = np.append(start[1:], len(chars))
-        codes = range_codes(chars, start, end)
-        _, place, number = np.unique(codes, return_index=True, return_inverse=True)
-        known = self.encoded([joined[a:b] for a, b in zip(start[place].tolist(), end[place].tolist())])
-        ids = np.frombuffer(b"".join(known), self.dtype)
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        codes, checks = range_codes(chars, start, end), _checks(chars, start, end)
+        codes, place, number = np.unique(codes, return_index=True, return_inverse=True)
+        if (checks != checks[place][number]).any():  # two pieces with one code
+            for i, t in held:
+                out[i] += self.whole(t)
+            return
+        begin, stop = start[place].tolist(), end[place].tolist()
+        places, sizes = self.encoded(codes, checks[place], lambda i: joined[begin[i] : stop[i]])
         count = sizes[number]
         upto = np.cumsum(count)
-        made = ids[np.repeat((np.cumsum(sizes) - sizes)[number] - (upto - count), count) + np.arange(upto[-1])]
+        made = self.cache.ids[np.repeat(places[number] - (upto - count), count) + np.arange(upto[-1])]
+        self.cache.trim()
         at = np.append(0, upto)[np.append(np.searchsorted(start, first), len(start))].tolist()
         for (i, _), a, b in zip(held, at[:-1], at[1:]):
             out[i] += made[a:b].tobytes()
