@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.functions.cutting import shared_folder
+from assayer.functions.cutting import checkpointed, shared_folder
 from assayer.functions.shipping import ship
 from assayer.llm import decontamination, mixing, sharding, similarity, toxicity
 from assayer.llm.common import held_out, shielded, table
@@ -39,15 +39,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    first = similarity.join_similar(docs.select("doc_id", "text")).where("is_first").select(
-        F.col("doc_id").alias("__id"), F.col("__text").alias("__hash")
-    )
+    joined = similarity.join_similar(docs.select("doc_id", "text"))
     plain, name = shielded(docs)
     hashed = plain.withColumn("__own", F.xxhash64(name["text"]))
+    counted = checkpointed(
+        joined.groupBy(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash")).agg(F.max("is_first").alias("first"), F.count("*").alias("n"))
+    )
+    # Documents that go, and those that stand there more than once, are few: the rest never leave their tasks. Its hashes
+    # fall outside a broadcast table of at most NEAR_BUCKETS numbers; once that is full, the join decides about all.
+    touched = counted.where("not first or n > 1")
+    bucket = F.pmod(F.col("__hash"), F.lit(similarity.NEAR_BUCKETS))
+    near = F.broadcast(touched.select(bucket.alias("__bucket")).distinct())
+    inside = F.pmod(F.col("__own"), F.lit(similarity.NEAR_BUCKETS)) == F.col("__bucket")
     same = F.col(name["doc_id"]).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
-    kept = hashed.join(first, same, "left_semi")
-    # A representative may stand there several times with the same id; rows of one id already lie together.
-    return kept.dropDuplicates([name["doc_id"], "__own"]).select(*plain.columns).toDF(*docs.columns)
+    # A representative may stand there several times with the same id and text: one row stays.
+    decided = hashed.join(near, inside, "left_semi").join(counted.where("first").select("__id", "__hash"), same, "left_semi")
+    kept = hashed.join(near, inside, "left_anti").union(decided.dropDuplicates([name["doc_id"], "__own"]))
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
