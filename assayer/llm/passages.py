@@ -7,23 +7,29 @@ wherever it stands. Where ``PASSAGE`` words hold no such run, the least pair tha
 anchor too, so every passage of ``PASSAGE`` words or more holds a whole run. Of equal runs that follow each other in
 periodic text, one in about ``RUN`` words is taken. Verified runs are grown to where the words differ.
 
+0. *Copies.* Equal texts are folded: the document of the smallest id stands for all, and the others are spans from the first
+   word to the last. Texts that stand alone are not moved for it.
 1. *Bands.* A paragraph's shingle set gives ``bands`` keys of ``rows`` min-hash values each, tuned for the target
    recall at similarity 0.8; a run gives one key. Keys are counted over documents; those in one document alone end.
 2. *Collisions.* Documents are read again and only units with a colliding key leave the reader. It knows them by a
    bit map of fixed size (``BITS``); the join with the counted keys is what decides, so a full map costs time only.
 3. *Verification.* Paragraphs that share a band form candidate groups, in which every pair of different shingle sets
    is compared exactly (Jaccard of 0.8 or more, in tiles, see ``similarity``). Runs must agree in 128 bits of hashes
-   of all their words. Each is grown on both sides while its words agree with those around the run that is kept, by
-   at most ``FAR`` words: within PASSAGE equal words there is a run of their own, so no match reaches further.
+   of all their words.
 4. *Removals.* Components of the verified links are clusters; of each the unit of the smallest (id, text hash, place)
-   stays, and those in other documents go. Overlapping units of a document are merged into spans.
+   stays, and those in other documents go. Overlapping runs of a document make a stretch.
+5. *Growth.* A stretch grows on both sides while the words beside its outer run are also beside that run in another document,
+   whichever has most of them: a removed stretch in one of a smaller (id, text hash), a kept one in any. It grows by at
+   most ``FAR`` words, since within PASSAGE equal words there is a run of their own. Only the places of outer runs take
+   their words along. The places of one run are compared in one task up to ``TOGETHER`` of them; a run with more is
+   counted by every beginning of the words beside it, which splits over tasks.
 
 Copies of a unit are folded by grouped minima, never paired; a unit in a third of all documents is one key whose
 counts combine before the shuffle, and joins on it can be split.
 
 * null or empty text, and texts shorter than a unit: no units. Repeats within one document are left alone. Rows with
-  the same id and text count as one document, rows with the same id and other text as two; null ids are ids.
-* very long texts: memory in proportion to their words; empty table: no rows.
+  the same id and text count as one document, rows with the same id and other text as two; null ids are ids and come last.
+* very long texts: memory in proportion to their words; empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from assayer.functions.columns import quoted
 from assayer.functions.cutting import checkpointed
@@ -53,6 +59,9 @@ RECALL = 0.99
 ROWS = 2
 BITS = 2**26
 _BUCKET_BITS = 32_768
+#: Bound of the broadcast tables of hash buckets, and places of one run that are compared in one task.
+NEAR_BUCKETS = 2**20
+TOGETHER = 50_000
 
 #: Characters worked on at once; a longer text is worked on alone.
 AT_ONCE = 1_000_000
@@ -238,12 +247,51 @@ def colliding_units(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return checkpointed(docs.select("__key", "__text", "__body").mapInArrow(task, schema))
 
 
-def _removals(units: DataFrame, by: list[str], more: Sequence[str] = ()) -> DataFrame:
-    """(__key, __text, start, end, cluster, removed) of the ``units`` whose cluster spans documents; and, with ``more``
-    columns, ``by``, those columns and the kept unit's as head_.."""
-    place = F.struct(F.col("__key").isNull().alias("no"), "__key", "__text", "start", *more)
-    doc = F.struct(F.col("__key").isNull().alias("no"), "__key", "__text")
-    heads = units.groupBy(*by).agg(F.min(place).alias("head"), F.max(doc).alias("last")).where(
+def _within(rows: DataFrame, few: DataFrame, number: str) -> DataFrame:
+    """``rows`` whose ``number`` falls into a bucket of one in ``few`` (of), by a broadcast of at most NEAR_BUCKETS numbers."""
+    near = few.select(F.pmod(F.col("of"), F.lit(NEAR_BUCKETS)).alias("__near")).distinct()
+    return rows.join(F.broadcast(near), F.pmod(F.col(number), F.lit(NEAR_BUCKETS)) == F.col("__near"), "left_semi")
+
+
+def _doc() -> Column:
+    return F.struct(F.col("__key").isNull().alias("no"), "__key", "__text")
+
+
+def _folded(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents with different texts, (__key, __text, head): all documents of texts that several rows have)."""
+    same = df.groupBy("__text").agg(F.count("*").alias("rows"), F.min(_doc()).alias("head")).where("rows > 1")
+    same = checkpointed(same.select(F.col("__text").alias("of"), F.col("head.__key").alias("head")))
+    inside = _within(df, same, "__text").join(same, F.col("__text") == F.col("of"))
+    heads = inside.where(F.col("__key").eqNullSafe(F.col("head"))).dropDuplicates(["__text"]).select(*df.columns)
+    near = same.select(F.pmod(F.col("of"), F.lit(NEAR_BUCKETS)).alias("__near")).distinct()
+    outside = df.join(F.broadcast(near), F.pmod(F.col("__text"), F.lit(NEAR_BUCKETS)) == F.col("__near"), "left_anti")
+    alone = _within(df, same, "__text").join(same, F.col("__text") == F.col("of"), "left_anti").select(*df.columns)
+    copies = df.select("__key", "__text").join(same, F.col("__text") == F.col("of")).select("__key", "__text", "head").distinct()
+    return outside.union(alone).union(heads), copies
+
+
+def _whole(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """Spans over all words of ``copies``, if those make a unit."""
+    schema = T.StructType([docs.schema["__text"], T.StructField("end", T.LongType())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _portions(batches):
+            sizes = [len(coded_words((t or "").lower())[0]) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["__text", "end"])
+
+    texts = copies.groupBy("__text").agg(F.count("*").alias("ids")).where("ids > 1").select(F.col("__text").alias("of"))
+    sized = _within(docs.select("__text", "__body"), texts, "__text").mapInArrow(task, schema).where(F.col("end") >= MIN_WORDS)
+    named = sized.select(F.col("__text").alias("is"), "end").join(texts, F.col("is") == F.col("of"), "left_semi")
+    return copies.join(named, F.col("__text") == F.col("is")).select(
+        "__key", "__text", F.lit(0).cast("long").alias("start"), "end", F.col("head").alias("cluster"),
+        (~F.col("__key").eqNullSafe(F.col("head"))).alias("removed"),
+    )
+
+
+def _removals(units: DataFrame, by: list[str]) -> DataFrame:
+    """(__key, __text, start, end, cluster, removed, and ``by``) of the ``units`` whose cluster spans documents."""
+    place = F.struct(F.col("__key").isNull().alias("no"), "__key", "__text", "start")
+    heads = units.groupBy(*by).agg(F.min(place).alias("head"), F.max(_doc()).alias("last")).where(
         (F.col("head.no") != F.col("last.no")) | ~F.col("head.__key").eqNullSafe(F.col("last.__key"))
         | (F.col("head.__text") != F.col("last.__text"))
     )
@@ -251,52 +299,156 @@ def _removals(units: DataFrame, by: list[str], more: Sequence[str] = ()) -> Data
     on = [F.col(c) == F.col(f"{c}_h") for c in by]
     return units.join(named, on).select(
         "__key", "__text", "start", "end", F.col("head.__key").alias("cluster"),
-        (~F.col("__key").eqNullSafe(F.col("head.__key")) | (F.col("__text") != F.col("head.__text"))).alias("removed"),
-        *(by if more else []), *more, *(F.col(f"head.{c}").alias(f"head_{c}") for c in more),
+        (~F.col("__key").eqNullSafe(F.col("head.__key")) | (F.col("__text") != F.col("head.__text"))).alias("removed"), *by,
     )
 
 
-def _grown(runs: DataFrame) -> DataFrame:
-    """(__key, __text, start, end, cluster, removed) of removals of ``runs`` with their words around, grown to where those
-    differ from the kept run's; a run that stays grows as far as one of the removed ones."""
-    schema = T.StructType([
-        *(runs.schema[c] for c in runs.columns if c not in ("around", "head_around")),
-        T.StructField("left", T.LongType()), T.StructField("right", T.LongType()),
-    ])
+def _stretches(spans: DataFrame) -> DataFrame:
+    """``spans`` with the number, in their document, of the stretch of overlapping ones they belong to."""
+    order = Window.partitionBy("__key", "__text", "removed").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.coalesce(F.col("start") > reached, F.lit(True)), 1).otherwise(0)
+    return spans.withColumn("__new", fresh).withColumn(
+        "__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ).drop("__new")
+
+
+_FAR_FIELDS = [T.StructField(c, T.LongType()) for c in ("left", "right", "kept_left", "kept_right")]
+
+
+def _beside(words: np.ndarray, groups: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many ``words`` (places, FAR) each place has in common with a smaller document's, and with any other's, of its group."""
+    n = len(words)
+    smaller, other = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    name = stirred(groups.astype(np.uint64) + np.uint64(11))
+    live = np.arange(n)
+    for step in range(FAR):
+        live = live[words[live, step] != 0]
+        if not len(live):
+            break
+        name[live] = stirred(name[live] * np.uint64(0x9E3779B97F4A7C15) + words[live, step].astype(np.uint64))
+        _, at = np.unique(name[live], return_inverse=True)
+        least, most = np.full(at.max() + 1, n), np.zeros(at.max() + 1, np.int64)
+        np.minimum.at(least, at, docs[live])
+        np.maximum.at(most, at, docs[live])
+        less, any_other = least[at] < docs[live], least[at] != most[at]
+        smaller[live[less]] = step + 1
+        other[live[any_other]] = step + 1
+        live = live[any_other]
+    return smaller, other
+
+
+def _growth(places: DataFrame) -> DataFrame:
+    """``places`` (__key, __text, start, key, check, around) with the words that each side has in common with other documents."""
+    own = ["__key", "__text", "start"]
+    counted = places.groupBy("key", "check").count().where(F.col("count") > TOGETHER).select(F.col("key").alias("k"), F.col("check").alias("c"))
+    busy = (F.col("key") == F.col("k")) & (F.col("check") == F.col("c"))
+    small, large = places.join(counted, busy, "left_anti"), places.join(counted, busy, "left_semi")
+    schema = T.StructType([*(places.schema[c] for c in own), *_FAR_FIELDS])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by run, then document; whole runs are compared, many at a time.
+        held = None
+
+        def compared(table: pa.Table) -> pa.RecordBatch:
+            n = table.num_rows
+            cells = {c: table.column(c).combine_chunks() for c in table.column_names}
+            key, check, text = (cells[c].to_numpy() for c in ("key", "check", "__text"))
+            ids = np.unique([repr(k) for k in cells["__key"].to_pylist()], return_inverse=True)[1]
+            fresh = np.ones(n, bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+            other = fresh.copy()
+            other[1:] |= (ids[1:] != ids[:-1]) | (text[1:] != text[:-1])
+            words = np.frombuffer(b"".join(cells["around"].to_pylist()), np.uint32).reshape(n, 2, FAR)
+            sides = [_beside(words[:, side], np.cumsum(fresh), np.cumsum(other)) for side in (0, 1)]
+            made = [sides[0][0], sides[1][0], sides[0][1], sides[1][1]]
+            return pa.RecordBatch.from_arrays([*(cells[c] for c in own), *map(pa.array, made)], names=schema.names)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, head = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, 2, FAR)
-                for c in ("around", "head_around")
-            )
-            far = np.logical_and.accumulate((own == head) & (own != 0), axis=2).sum(axis=2, dtype=np.int64)
-            cells = [batch.column(c) for c in schema.names[:-2]]
-            yield pa.RecordBatch.from_arrays([*cells, pa.array(far[:, 0]), pa.array(far[:, 1])], names=schema.names)
-
-    measured = checkpointed(runs.mapInArrow(task, schema))
-    gone = measured.where("removed")
-    most = gone.groupBy(F.col("key").alias("k"), F.col("check").alias("c")).agg(
-        F.max("left").alias("most_left"), F.max("right").alias("most_right")
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            if held.num_rows < 20_000:
+                continue
+            key, check = held.column("key").to_numpy(), held.column("check").to_numpy()
+            last = np.flatnonzero((key[1:] != key[:-1]) | (check[1:] != check[:-1]))
+            if len(last):
+                yield compared(held.slice(0, int(last[-1]) + 1))
+                held = held.slice(int(last[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield compared(held)
+
+    order = ["key", "check", F.col("__key").isNull(), "__key", "__text", "start"]
+    near = small.repartition("key", "check").sortWithinPartitions(*order).mapInArrow(together, schema)
+
+    begun = T.StructType([
+        *(places.schema[c] for c in own), T.StructField("side", T.IntegerType()), T.StructField("step", T.LongType()), T.StructField("name", T.LongType()),
+    ])
+
+    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1024):
+                b = whole.slice(s, 1024)
+                words = np.frombuffer(b.column("around").to_pylist() and b"".join(b.column("around").to_pylist()), np.uint32).reshape(b.num_rows, 2, FAR)
+                run = stirred(b.column("key").to_numpy().view(np.uint64) ^ stirred(b.column("check").to_numpy().view(np.uint64)))
+                for side in (0, 1):
+                    name, live = stirred(run + np.uint64(side + 1)), np.arange(b.num_rows)
+                    for step in range(FAR):
+                        live = live[words[live, side, step] != 0]
+                        name[live] = stirred(name[live] * np.uint64(0x9E3779B97F4A7C15) + words[live, side, step].astype(np.uint64))
+                        at, m = pa.array(live), len(live)
+                        cells = [b.column(c).take(at) for c in own] + [
+                            pa.array(np.full(m, side, np.int32)), pa.array(np.full(m, step + 1)), pa.array(name[live].view(np.int64)),
+                        ]
+                        yield pa.RecordBatch.from_arrays(cells, names=begun.names)
+
+    rows = large.mapInArrow(beginnings, begun)
+    shared = rows.groupBy(F.col("name").alias("is")).agg(F.min(_doc()).alias("least"), F.max(_doc()).alias("most")).where("least != most")
+    met = rows.join(shared, F.col("name") == F.col("is")).withColumn("less", F.col("least") < _doc())
+    side = lambda s, *more: F.coalesce(F.max(F.when((F.col("side") == s) & F.expr(" and ".join(["true", *more])), F.col("step"))), F.lit(0))
+    far = met.groupBy(*own).agg(
+        side(0, "less").alias("left"), side(1, "less").alias("right"), side(0).alias("kept_left"), side(1).alias("kept_right")
+    )
+    return near.union(far)
+
+
+def _grown(runs: DataFrame, units: DataFrame) -> DataFrame:
+    """(__key, __text, start, end, cluster, removed): stretches of ``runs``, grown to where no other document goes on with them."""
+    runs = _stretches(runs)
+    stretches = checkpointed(
+        runs.groupBy("__key", "__text", "removed", "__run").agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.min("cluster").alias("cluster"),
+            F.min(F.struct("start", "key", "check")).alias("first"), F.max(F.struct("end", "start", "key", "check")).alias("last"),
+        )
+    )
+    outer = stretches.select("first.key", "first.check").union(stretches.select("last.key", "last.check")).distinct()
+    outer = checkpointed(outer.select(F.col("key").alias("of"), F.col("check").alias("c")))
+    places = _within(units.where("key is not null").select("__key", "__text", "start", "key", "check", "around"), outer, "key").join(
+        outer, (F.col("key") == F.col("of")) & (F.col("check") == F.col("c")), "left_semi"
     )
-    stay = measured.where("not removed").join(most, (F.col("key") == F.col("k")) & (F.col("check") == F.col("c")))
-    stay = stay.withColumn("left", F.least("left", "most_left")).withColumn("right", F.least("right", "most_right"))
-    return gone.unionByName(stay.select(*gone.columns)).select(
-        "__key", "__text", (F.col("start") - F.col("left")).alias("start"), (F.col("end") + F.col("right")).alias("end"),
-        "cluster", "removed",
+    growth = checkpointed(_growth(places)).select(F.col("__key").alias("k"), F.col("__text").alias("t"), F.col("start").alias("s"), *(f.name for f in _FAR_FIELDS))
+    doc = F.col("__key").eqNullSafe(F.col("k")) & (F.col("__text") == F.col("t"))
+    grown = stretches
+    for column, at, kept, gone in (("less", "first.start", "kept_left", "left"), ("more", "last.start", "kept_right", "right")):
+        far = growth.select("k", "t", "s", F.col(kept).alias("__kept"), F.col(gone).alias("__gone"))
+        grown = grown.join(far, doc & (F.col(at) == F.col("s")), "left").withColumn(
+            column, F.coalesce(F.when(F.col("removed"), F.col("__gone")).otherwise(F.col("__kept")), F.lit(0))
+        ).drop("k", "t", "s", "__kept", "__gone")
+    return grown.select(
+        "__key", "__text", (F.col("start") - F.col("less")).alias("start"), (F.col("end") + F.col("more")).alias("end"), "cluster", "removed"
     )
 
 
 def repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row a span: key, first_word, n_words, cluster (id of the document that keeps it), removed."""
-    docs = df.select(quoted(key).alias("__key"), F.xxhash64(quoted(text)).alias("__text"), quoted(text).alias("__body"))
+    every = df.select(quoted(key).alias("__key"), F.xxhash64(quoted(text)).alias("__text"), quoted(text).alias("__body"))
+    docs, copies = _folded(every)
     keys = colliding_keys(docs)
     units = colliding_units(docs, keys)
     own = keys.select(F.col("key").alias("known"))
     where = ["__key", "__text", "start", "end"]
 
-    runs = units.where("key is not null").select(*where, "key", "check", "around").join(own, F.col("key") == F.col("known"), "left_semi")
-    removed_runs = _grown(_removals(runs, ["key", "check"], ["around"]))
+    runs = units.where("key is not null").select(*where, "key", "check").join(own, F.col("key") == F.col("known"), "left_semi")
+    removed_runs = _grown(checkpointed(_removals(runs, ["key", "check"])), units)
 
     paragraphs = units.where("set is not null")
     sets = checkpointed(
@@ -316,16 +468,11 @@ def repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id") ->
     clustered = paragraphs.select(*where, "set").join(clusters, F.col("set") == F.col("node"), "left").select(
         *where, F.coalesce("component", "set").alias("of")
     )
-    removed_paragraphs = _removals(clustered, ["of"])
+    removed_paragraphs = _removals(clustered, ["of"]).drop("of")
 
-    both = removed_runs.union(removed_paragraphs)
-    order = Window.partitionBy("__key", "__text", "removed").orderBy("start", "end")
-    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.coalesce(F.col("start") > reached, F.lit(True)), 1).otherwise(0)
+    both = removed_runs.union(removed_paragraphs).union(_whole(docs, copies))
     return (
-        both.withColumn("__new", fresh)
-        .withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("__key", "__text", "removed", "__run")
+        _stretches(both).groupBy("__key", "__text", "removed", "__run")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("cluster").alias("cluster"))
         .select(
             F.col("__key").alias(key), F.col("start").alias("first_word"),

@@ -142,6 +142,30 @@ def test_recall_at_the_threshold_among_texts_with_much_in_common(docs_of, monkey
 # Repeated passages
 
 
+def windows(words, n):
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def covered(words, known, n):
+    """Places of ``words`` inside a window of ``n`` that is ``known``."""
+    return {k for i in range(len(words) - n + 1) if tuple(words[i : i + n]) in known for k in range(i, i + n)}
+
+
+def check_removed(rows, got):
+    """Brute force over ids and different texts: what is removed stands in a run of an earlier document, and all runs of
+    PASSAGE words that do are removed whole."""
+    places = collections.defaultdict(set)
+    for r in got:
+        if r.removed:
+            places[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    short, long = set(), set()
+    for i, text in sorted(rows):
+        words = words_of(text)
+        assert covered(words, long, passages.PASSAGE) <= places[i] <= covered(words, short, passages.RUN), i
+        short |= windows(words, passages.RUN)
+        long |= windows(words, passages.PASSAGE)
+
+
 def test_repeated_passages_are_found_and_nothing_else(docs_of, odd):
     rng = random.Random(6)
     shared, paragraph = prose(rng, 55), prose(rng, 70)
@@ -153,9 +177,8 @@ def test_repeated_passages_are_found_and_nothing_else(docs_of, odd):
     got = passages.repeated_passages(docs).collect()
     flagged = {r.doc_id for r in got}
     assert flagged == {*range(100, 125), *range(200, 220), 0, 302}
-    # Near a passage's ends anchors depend on what stands outside, so a document may keep a run there.
     spans = [r for r in got if 100 <= r.doc_id < 125]
-    assert all(50 <= r.first_word and r.first_word + r.n_words <= 105 for r in spans)
+    check_removed([r for r in rows if 100 <= r[0] < 125], spans)
     assert {r.doc_id for r in spans if r.removed and r.cluster == 100} == set(range(101, 125))
     assert not any(r.removed for r in spans if r.doc_id == 100)
     kept = [r for r in got if 200 <= r.doc_id < 220 and not r.removed]
@@ -201,6 +224,37 @@ def test_passages_are_found_from_end_to_end(docs_of):
     assert {(r.doc_id, r.first_word, r.n_words, r.cluster, r.removed) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("together", [passages.TOGETHER, 2])
+def test_spans_equal_brute_force_over_common_runs(docs_of, odd, monkeypatch, together):
+    """Three documents share a passage, and the later two some words more on either side; many share one; texts are copied."""
+    monkeypatch.setattr(passages, "TOGETHER", together)
+    rng = random.Random(23)
+    fresh = (f"n{i}" for i in range(10**6))
+
+    def unique(n):
+        return " ".join(next(fresh) for _ in range(n))
+
+    rows = []
+    for g in range(40):
+        middle, before, after = unique(rng.choice((50, 60, 90))), unique(rng.randint(0, 28)), unique(rng.randint(2, 28))
+        rows.append((10 * g, f"{unique(90)} {middle} {unique(95)}"))
+        rows.append((10 * g + 1, f"{unique(95)} {before} {middle} {after} {unique(90)}"))
+        rows.append((10 * g + 2, f"{unique(100)} {before} {middle} {after} {unique(85)}"))
+        rows.append((10 * g + 3, f"{unique(100)} {unique(3)} {middle} {unique(85)} {before} {middle}"))
+    hot = unique(55)
+    rows += [(1000 + k, f"{unique(rng.randint(60, 90))} {hot} {unique(80)}") for k in range(60)]
+    rows += [(2000 + k, rows[5][1]) for k in range(4)]
+    docs = docs_of(rows).union(odd)
+    got = passages.repeated_passages(docs.withColumn("start", F.lit("x")).withColumn("key", F.lit(1))).collect()
+    assert {r.doc_id for r in got} <= {i for i, _ in rows}
+    check_removed(rows, got)
+    copies = [r for r in got if r.doc_id >= 2000]
+    n = len(words_of(rows[5][1]))
+    assert sorted((r.doc_id, r.first_word, r.n_words, r.cluster, r.removed) for r in copies) == [(2000 + k, 0, n, rows[5][0], True) for k in range(4)]
+    kept = [r for r in got if 1000 <= r.doc_id < 1060 and not r.removed]
+    assert [(r.doc_id, r.n_words) for r in kept] == [(1000, 55)]
+
+
 def test_every_passage_holds_a_run_of_its_own():
     rng = random.Random(15)
     text = [f"w{rng.randrange(10**9)}" for _ in range(200_000)]
