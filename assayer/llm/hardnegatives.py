@@ -45,7 +45,7 @@ POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95
 FAN = 8
 #: Rows the tree is grown from, and of those the most in a leaf.
-SAMPLE, LEAF = 16_384, 64
+SAMPLE, LEAF = 16_384, 256
 DEEPEST = 12
 CHUNK = 8_192
 #: Needs that travel and are compared at once.
