@@ -6,8 +6,8 @@
    (1 / similarity on average), and the class goes on to the child named by each coordinate's value. Classes meet in
    a child only if they share the chosen token. Nodes with one class end; nodes with up to ``BUCKET`` classes are
    compared by brute force on the embedding; larger nodes are compared with up to ``HEADS`` of their classes and split
-   again. The runs go in portions, and each level counts on what came before: a class carries its candidate group, and a node whose
-   classes all lie in one group ends by an aggregate, before any join. A pair at the threshold survives to depth
+   again. The runs go in portions, and each counts on what came before: a class carries a hash of its candidate group, and a node
+   whose classes all lie in one group ends by an aggregate, before any join. A pair at the threshold survives to depth
    ``DEEPEST`` in a run with a probability that follows from the branching and from how many of the coordinates the pair
    happens to share; the runs are as many as the target recall needs. Nodes that are still large then are split on
    to ``LAST``, and joined whole if even that does not part them.
@@ -26,6 +26,7 @@ one task: equal sets are folded by grouped minima first, large groups go to as m
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -48,7 +49,7 @@ FIRST_DEPTH, DEEPEST, LAST = 3, 8, 12
 BUCKET = 64
 HEADS = 4
 #: Runs taken at once; the last portion goes on to the number that the recall needs.
-PORTIONS = (1, 1, 2, 4)
+PORTIONS = (1, 3)
 #: How far below the threshold an estimate from the embedding may lie: four standard errors.
 SLACK = 0.2
 BLOCK = 1024
@@ -138,7 +139,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 _PATHS = T.StructType([
-    T.StructField("set", T.BinaryType()), T.StructField("group", T.BinaryType()), T.StructField("node", T.LongType()),
+    T.StructField("set", T.BinaryType()), T.StructField("group", T.LongType()), T.StructField("node", T.LongType()),
 ])
 
 
@@ -241,25 +242,38 @@ def _grouped_with(edges: DataFrame, grouped: DataFrame | None) -> DataFrame | No
 
 
 def _labelled(rows: DataFrame, grouped: DataFrame | None) -> DataFrame:
-    """``rows`` with the candidate group of their ``set``; a class of no group is one of its own."""
+    """``rows`` with a number for the candidate group of their ``set``; a class of no group is one of its own."""
     if grouped is None:
-        return rows.withColumn("group", F.col("set"))
+        return rows.withColumn("group", F.xxhash64("set"))
     known = grouped.select(F.col("node").alias("is"), "component")
-    return rows.join(known, F.col("set") == F.col("is"), "left").withColumn("group", F.coalesce("component", "set")).drop("is", "component")
+    return rows.join(known, F.col("set") == F.col("is"), "left").withColumn("group", F.xxhash64(F.coalesce("component", "set"))).drop("is", "component")
+
+
+def _with_values(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the values of their ``set``. Classes outside the hash buckets of ``rows`` are not moved; the broadcast table
+    holds at most NEAR_BUCKETS numbers, and once it is full the join decides as before."""
+    bucket = F.pmod(F.xxhash64("set"), F.lit(NEAR_BUCKETS))
+    near = rows.select(bucket.alias("bucket")).distinct()
+    close = classes.select(F.col("set").alias("own"), "values", bucket.alias("__in")).join(
+        F.broadcast(near), F.col("__in") == F.col("bucket"), "left_semi"
+    )
+    return rows.join(close.drop("__in"), F.col("set") == F.col("own")).drop("own")
 
 
 def _follow(classes: DataFrame, runs: Sequence[int], grouped: DataFrame | None) -> DataFrame | None:
-    """The candidate groups after ``runs`` more runs."""
-    embedded = classes.select(F.col("set").alias("own"), "values")
+    """The candidate groups after ``runs`` more runs.
+
+    Groups are joined after the first level, where most pairs meet, and at the end; in between, nodes are judged by the groups
+    known so far.
+    """
     frontier = checkpointed(_paths(_labelled(classes.select("set", "values"), grouped), FIRST_DEPTH, runs))
+    later: list[DataFrame] = []
     for depth in range(FIRST_DEPTH, LAST + 1):
         sizes = frontier.groupBy("node").agg(
             F.count("*").alias("n"), F.min("set").alias("first"), F.min("group").alias("low"), F.max("group").alias("high")
         ).where("n > 1 and low != high").select(F.col("node").alias("at"), "n", "first")
-        met = checkpointed(
-            frontier.join(sizes, F.col("node") == F.col("at")).select("set", "node", "n", "first")
-            .join(embedded, F.col("set") == F.col("own")).drop("own")
-        )
+        found = checkpointed(frontier.join(sizes, F.col("node") == F.col("at")).select("set", "node", "n", "first"))
+        met = checkpointed(_with_values(found, classes))
         buckets = met.where(F.col("n") <= BUCKET).groupBy("node").agg(
             F.collect_list(F.struct("set", "values")).alias("members")
         )
@@ -270,21 +284,26 @@ def _follow(classes: DataFrame, runs: Sequence[int], grouped: DataFrame | None)
         )
         members = large.join(heads, F.col("node") == F.col("at")).select("set", "values", "heads")
         edges = _compare_buckets(buckets.select("members")).union(_match_heads(members))
-        grouped = _grouped_with(edges, grouped)
+        if depth == FIRST_DEPTH:
+            grouped = _grouped_with(edges, grouped)
+        else:
+            later.append(checkpointed(edges.distinct()))
+        if large.isEmpty():
+            break
         # A large node whose classes all lie in one group needs no splitting: its pairs will be compared exactly.
-        label = checkpointed(_labelled(large.select("set", "node", "first"), grouped))
+        label = checkpointed(_labelled(large.select("set", "values", "node", "first"), grouped))
         mixed = label.groupBy("node").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select(
             F.col("node").alias("at")
         )
-        rest = checkpointed(label.join(mixed, F.col("node") == F.col("at"), "left_semi"))
-        if rest.isEmpty():
-            break
+        rest = label.join(mixed, F.col("node") == F.col("at"), "left_semi")
         if depth == LAST:
-            whole = rest.where(F.col("set") != F.col("first")).select(F.col("set").alias("a"), F.col("first").alias("b"))
-            grouped = _grouped_with(whole, grouped)
+            later.append(rest.where(F.col("set") != F.col("first")).select(F.col("set").alias("a"), F.col("first").alias("b")))
+            break
+        frontier = checkpointed(_paths(rest.select("set", "group", "values", "node"), 1, None))
+        if frontier.isEmpty():
             break
-        again = rest.join(embedded, F.col("set") == F.col("own")).select("set", "group", "values", "node")
-        frontier = checkpointed(_paths(again, 1, None))
+    if later:
+        grouped = _grouped_with(functools.reduce(DataFrame.union, later), grouped)
     return grouped
 
 
