@@ -205,14 +205,16 @@ def bit_map(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the places of ``keys`` are set in a bit map."""
+    p = keys & np.uint64(BITS - 1)
+    return (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def colliding_units(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(key columns, start, end, key, check, around, set, bands, codes) of units that may hold one of ``keys``."""
     sent = docs.sparkSession.sparkContext.broadcast(bit_map(keys))
 
-    def marked(k: np.ndarray) -> np.ndarray:
-        p = k & np.uint64(BITS - 1)
-        return (sent.value[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
     schema = T.StructType([
         docs.schema["__key"], docs.schema["__text"], T.StructField("start", T.LongType()),
         T.StructField("end", T.LongType()), T.StructField("key", T.LongType()), T.StructField("check", T.LongType()),
@@ -223,8 +225,8 @@ def colliding_units(docs: DataFrame, keys: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _portions(batches):
             u = Units(batch.column(2).to_pylist())
-            hit = np.flatnonzero(marked(u.run_keys))
-            lines = np.flatnonzero(marked(u.band_keys.ravel()).reshape(u.band_keys.shape).any(axis=1))
+            hit = np.flatnonzero(_marked(sent.value, u.run_keys))
+            lines = np.flatnonzero(_marked(sent.value, u.band_keys.ravel()).reshape(u.band_keys.shape).any(axis=1))
             codes = [np.unique(u.shingles[u.starts[i] : u.stops[i] - WIDTH + 1]).tobytes() for i in lines.tolist()]
             text = np.concatenate([u.run_text[hit], u.line_text[lines]])
             start = np.concatenate([u.runs[hit], u.starts[lines]]) - u.first[text]
@@ -422,7 +424,15 @@ def _grown(runs: DataFrame, units: DataFrame) -> DataFrame:
     )
     outer = stretches.select("first.key", "first.check").union(stretches.select("last.key", "last.check")).distinct()
     outer = checkpointed(outer.select(F.col("key").alias("of"), F.col("check").alias("c")))
-    places = _within(units.where("key is not null").select("__key", "__text", "start", "key", "check", "around"), outer, "key").join(
+    # Words travel for places of outer runs alone: a bit map finds them where they lie, and the join decides.
+    sent = units.sparkSession.sparkContext.broadcast(bit_map(outer.select(F.col("of").alias("key"))))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_marked(sent.value, b.column("key").to_numpy().view(np.uint64))))
+
+    held = units.where("key is not null").select("__key", "__text", "start", "key", "check", "around")
+    places = held.mapInArrow(asked, held.schema).join(
         outer, (F.col("key") == F.col("of")) & (F.col("check") == F.col("c")), "left_semi"
     )
     growth = checkpointed(_growth(places)).select(F.col("__key").alias("k"), F.col("__text").alias("t"), F.col("start").alias("s"), *(f.name for f in _FAR_FIELDS))
