@@ -12,10 +12,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer.functions.columns import missing, number, numeric_columns, quoted
+from assayer.functions.distance import SLICES, ks_distances
 from assayer.functions.quantiles import exact_quantiles
 from assayer.functions.special import kolmogorov_p
 from assayer.settings import (
@@ -276,79 +276,18 @@ def psi_against(current: DataFrame, edges: Mapping, reference_shares: Mapping) -
 
 
 def ks_statistics(
-    current: DataFrame, reference: DataFrame, columns: Sequence[str], slices: int = 512
+    current: DataFrame, reference: DataFrame, columns: Sequence[str], slices: int = SLICES
 ) -> DataFrame:
-    """(column, n_reference, n_current, ks_d): two-sample Kolmogorov-Smirnov distance per column.
+    """(column, n_reference, n_current, ks_d, ks_p_value) per column with values on both sides.
 
-    Equal values are counted first. Running sums are taken inside value slices cut at sketch
-    quantiles; what lies below each slice comes from a table of slice totals, so no task sees a
-    whole column.
+    The distance is exact; only rows that may decide it are listed, and no task sees a whole column.
     """
-    def side(df, mark):
-        return df.select(F.lit(mark).alias("side"), *(number(df, c).alias(c) for c in columns))
-
-    wide = side(reference, 0).unionByName(side(current, 1))
-    marks = [i / slices for i in range(1, slices)]
-    sketch = wide.agg(  # columns x slices numbers
-        *(F.percentile_approx(quoted(c), marks, 10_000).alias(f"q{i}") for i, c in enumerate(columns))
-    ).first()
-    cuts = {c: sorted(set(sketch[f"q{i}"] or [])) for i, c in enumerate(columns)}
-    columns = [c for c in columns if cuts[c]]
-    if not columns:
-        return wide.sparkSession.createDataFrame(
-            [], "column string, n_reference bigint, n_current bigint, ks_d double"
-        )
-    sliced = Bucketizer(
-        splitsArray=[[-math.inf, *cuts[c], math.inf] for c in columns],
-        inputCols=list(columns),
-        outputCols=[f"_slice{i}" for i in range(len(columns))],
-        handleInvalid="keep",
-    ).transform(wide)
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(c).alias("column"),
-                quoted(c).alias("value"),
-                F.col(f"_slice{i}").cast("int").alias("slice"),
-            )
-            for i, c in enumerate(columns)
-        )
-    )
-    placed = (
-        sliced.select("side", F.inline(cells))
-        .where("value IS NOT NULL")
-        .groupBy("column", "slice", "value")
-        .agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
-    )
-    totals = placed.groupBy("column", "slice").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    below = Window.partitionBy("column").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("column")
-    totals = totals.select(  # at most ``slices`` rows per column
-        F.col("column").alias("t_column"),
-        F.col("slice").alias("t_slice"),
-        F.coalesce(F.sum("r").over(below), F.lit(0)).alias("r0"),
-        F.coalesce(F.sum("c").over(below), F.lit(0)).alias("c0"),
-        F.sum("r").over(whole).alias("n_reference"),
-        F.sum("c").over(whole).alias("n_current"),
-    )
-    run = Window.partitionBy("column", "slice").orderBy("value")
-    gap = F.abs(
-        (F.col("r0") + F.sum("r").over(run)) / F.col("n_reference")
-        - (F.col("c0") + F.sum("c").over(run)) / F.col("n_current")
-    )
-    return (
-        placed.join(
-            totals,
-            (F.col("column") == F.col("t_column")) & (F.col("slice") == F.col("t_slice")),
-        )
-        .where("n_reference > 0 AND n_current > 0")
-        .withColumn("gap", gap)
-        .groupBy("column")
-        .agg(
-            F.first("n_reference").alias("n_reference"),
-            F.first("n_current").alias("n_current"),
-            F.max("gap").alias("ks_d"),
-        )
+    rows = [
+        (c, n, m, d, kolmogorov_p(d, n, m))
+        for c, n, m, d in ks_distances(reference, current, list(columns), slices)
+    ]
+    return current.sparkSession.createDataFrame(
+        rows, "column string, n_reference bigint, n_current bigint, ks_d double, ks_p_value double"
     )
 
 
@@ -372,8 +311,7 @@ class DriftGate:
         else:
             per_column = {}
             for r in ks_statistics(df, reference, shared).collect():  # one row per column
-                p = kolmogorov_p(r["ks_d"], r["n_reference"], r["n_current"])
-                per_column[r["column"]] = {"ks_p_value": p, "ks_d": r["ks_d"]}
+                per_column[r["column"]] = {"ks_p_value": r["ks_p_value"], "ks_d": r["ks_d"]}
             drifted = [
                 c
                 for c in shared

@@ -140,7 +140,9 @@ def psi(spark, sf):
 
 def _ks_sql(name: str, ref: str, cur: str) -> str:
     return f"""SELECT '{name}' AS comparison, max(nr)::BIGINT AS n_reference, max(nc)::BIGINT AS n_current,
-      round(max(abs(fr / nr - fc / nc)), 6) AS ks_d FROM (
+      round(max(abs(fr / nr - fc / nc)), 6) AS ks_d,
+      round(least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: (2 * (k % 2) - 1)
+        * exp(-2 * k * k * max(nr) * max(nc) / (max(nr) + max(nc)) * max(abs(fr / nr - fc / nc)) ** 2))))), 6) AS ks_p_value FROM (
       SELECT sum(r) OVER w AS fr, sum(c) OVER w AS fc, sum(r) OVER () AS nr, sum(c) OVER () AS nc FROM (
         SELECT v, sum(r) AS r, sum(c) AS c FROM (
           SELECT value AS v, 1 AS r, 0 AS c FROM {ref} UNION ALL SELECT value, 0, 1 FROM {cur}) GROUP BY v)
@@ -153,7 +155,7 @@ def ks_two_sample(spark, sf):
     scaled = late.withColumn("value", F.col("value") * 3 + 50)
     parts = [
         gates.ks_statistics(df, early, ["value"]).select(
-            F.lit(name).alias("comparison"), "n_reference", "n_current", r6("ks_d").alias("ks_d")
+            F.lit(name).alias("comparison"), "n_reference", "n_current", r6("ks_d").alias("ks_d"), r6("ks_p_value").alias("ks_p_value")
         )
         for name, df in (("later", late), ("scaled", scaled))
     ]

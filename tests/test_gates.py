@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from assayer.functions.distance import Grid, ks_distances
 from assayer.operators import gates
 from assayer.settings import DriftGateSettings, NullGateSettings, SchemaGateSettings, Settings
 
@@ -97,16 +98,39 @@ def test_drift_ks(spark):
     assert ks.evaluate(base, reference=base).passed
 
 
-@pytest.mark.parametrize("slices", [2, 512])
-def test_ks_distance_equals_direct_count(spark, slices):
-    rng = np.random.default_rng(8)
-    r, c = rng.integers(0, 50, 400).astype(float), rng.normal(25, 20, 300)
+def ks_by_hand(r, c):
     points = np.union1d(r, c)
-    want = max(abs((r <= p).mean() - (c <= p).mean()) for p in points)
-    frames = [spark.createDataFrame(pd.DataFrame({"a": v})) for v in (c, r)]
-    row = gates.ks_statistics(*frames, ["a"], slices).first()
-    assert row["ks_d"] == pytest.approx(want, rel=1e-12)
-    assert (row["n_reference"], row["n_current"]) == (400, 300)
+    return np.abs(np.searchsorted(np.sort(r), points, "right") / len(r) - np.searchsorted(np.sort(c), points, "right") / len(c)).max()
+
+
+@pytest.mark.parametrize("slices, listed", [(8, 60), (512, 100_000)])
+def test_ks_distance_equals_direct_count(spark, slices, listed):
+    rng = np.random.default_rng(8)
+    cases = [
+        (rng.integers(0, 50, 400).astype(float), rng.normal(25, 20, 300)),
+        (rng.normal(0, 1, 900), rng.normal(0, 1, 800)),
+        (np.repeat(5.0, 300), np.concatenate([np.repeat(5.0, 280), rng.normal(5, 1, 30)])),
+        (np.array([1.0, np.inf, -np.inf, 3.0]), np.array([2.0, np.inf, 2.5])),
+    ]
+    for r, c in cases if slices > 8 else cases[1:3]:
+        frames = [spark.createDataFrame(pd.DataFrame({"a": v, "b": 1.0})) for v in (r, c)]
+        rows = {x[0]: x[1:] for x in ks_distances(*frames, ["a", "b"], slices, listed)}
+        assert rows["a"] == (len(r), len(c), pytest.approx(ks_by_hand(r, c), rel=1e-12))
+        assert rows["b"] == (len(r), len(c), 0.0)
+    none = spark.createDataFrame([(None, 1.0)], "a double, b double")
+    assert [x[0] for x in ks_distances(none, frames[0], ["a", "b"], slices, listed)] == ["b"]
+
+
+def test_grid_bounds_hold_the_distance(spark):
+    rng = np.random.default_rng(9)
+    for slices in (4, 200):
+        r, c = rng.normal(0, 1, 2000), rng.normal(0.1, 1, 1500)
+        first, second = (spark.createDataFrame(pd.DataFrame({"a": v})) for v in (r, c))
+        grid = Grid.of(first, ["a"], slices)
+        n, m, low, high = grid.bounds(grid.count(second))["a"]
+        assert (n, m) == (2000, 1500) and low <= ks_by_hand(r, c) <= high <= low + 4 / slices
+        halves = [grid.count(second.where(w)) for w in ("a > 0", "a <= 0")]
+        assert np.add(halves[0]["a"], halves[1]["a"]).tolist() == grid.count(second)["a"]
 
 
 def test_drift_gate_refusals(spark):
