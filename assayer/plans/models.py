@@ -12,7 +12,7 @@ from assayer.operators import adapt, modelling, policy
 from assayer.plans.quality import EARLY, HOLED_EVENTS, EVENTS, halves
 from assayer.plans.registry import psi_sql, query, r6, table
 from assayer.settings import AdaptSettings, MaskSearchSettings, SearchSettings
-from assayer.streaming import jobs
+from assayer.streaming import jobs, keyed
 
 # A narrow range of tree counts keeps registered searches short; the library's ranges are wider.
 QUICK = {"n_estimators": (5, 10), "max_depth": (2, 5), "num_leaves": (8, 16)}
@@ -289,11 +289,16 @@ def _holed_stream(spark, sf) -> DataFrame:
     SELECT s AS window_start, s + INTERVAL 1 DAY AS window_end, count(*) AS n_rows, round((count(*) - count(value)) / count(*), 6) AS missingness_rate,
     count(DISTINCT event_type) AS n_categories, round(avg(value), 6) AS value_mean,
     round(skewness(value) * (count(value) - 2) / sqrt(count(value) * (count(value) - 1)), 6) AS value_skew
-    FROM w GROUP BY s HAVING s + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM h)""",
+    FROM w GROUP BY s""",
 )
 def stream_window_profile(spark, sf):
+    from assayer.plans.quality import holed_events
+
     out, check = _folder(spark, "window_profile")
-    jobs.to_table(jobs.window_profile(_holed_stream(spark, sf), "ts", ["value"], "event_type"), out, check).awaitTermination()
+    events = holed_events(spark, sf)
+    keyed.stage(events, "ts", f"{out}-in")
+    stream = jobs.table_stream(spark, f"{out}-in", "*.parquet", events.schema, files_per_batch=1)
+    jobs.to_table(jobs.window_profile(stream, "ts", ["value"], "event_type"), out, check).awaitTermination()
     done = spark.read.parquet(out)
     return done.select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"),
@@ -324,13 +329,49 @@ def stream_drift_gate(spark, sf):
     return spark.read.parquet(out).select("column", r6("psi").alias("psi"), "drifted")
 
 
-@query("stream_adaptive_step")
+# Two named streams of the same events, one of them scaled threefold every ten days.
+_NAMED = """SELECT k.key, ts::DATE AS batch, event_id % 100 / 100.0::DOUBLE AS x,
+    value / 100 * CASE k.key WHEN 'moved' THEN 3.0 ** (date_diff('day', DATE '2024-01-01', ts::DATE) // 10) ELSE 1 END AS v
+    FROM events, (VALUES ('moved'), ('steady')) k(key)"""
+
+
+@query(
+    "stream_adaptive_step",
+    f"""WITH RECURSIVE s AS ({_NAMED}), o AS (SELECT DISTINCT key, batch, dense_rank() OVER (PARTITION BY key ORDER BY batch) AS day FROM s),
+    d AS (SELECT s.key, o.day, c.c, CASE c.c WHEN 'x' THEN x ELSE v END AS v FROM s JOIN o USING (key, batch), (VALUES ('x'), ('v')) c(c)),
+    n AS (SELECT key, day, c, count(*)::DOUBLE AS n FROM d GROUP BY ALL),
+    e AS (SELECT key, r, c, e, row_number() OVER (PARTITION BY key, r, c ORDER BY e) AS i FROM
+      (SELECT DISTINCT key, r, c, e FROM (SELECT key, day AS r, c, unnest(quantile_cont(v, [{_MARKS}])) AS e FROM d GROUP BY key, day, c))),
+    b AS (SELECT * FROM (SELECT key, r, c, i, e AS lo, lead(e) OVER w AS hi, i = max(i) OVER (PARTITION BY key, r, c) - 1 AS last FROM e
+      WINDOW w AS (PARTITION BY key, r, c ORDER BY i)) WHERE hi IS NOT NULL),
+    t AS (SELECT b.key, b.r, n.day, b.c, b.i, greatest(count(d.v) / max(n.n), 1e-6) AS s FROM b JOIN n ON n.key = b.key AND n.c = b.c AND n.day >= b.r
+      LEFT JOIN d ON d.key = n.key AND d.c = n.c AND d.day = n.day AND {_IN} GROUP BY b.key, b.r, n.day, b.c, b.i),
+    p AS (SELECT key, r, day, max(psi) AS psi FROM (SELECT t.key, t.r, t.day, t.c, sum((t.s - f.s) * ln(t.s / f.s)) AS psi
+      FROM t JOIN t f ON f.key = t.key AND f.c = t.c AND f.r = t.r AND f.i = t.i AND f.day = f.r WHERE t.day > t.r GROUP BY ALL) GROUP BY key, r, day),
+    w AS (SELECT key, 1::BIGINT AS day, true AS drifted, 1::BIGINT AS cur, 1 AS adaptations FROM (SELECT DISTINCT key FROM s)
+      UNION ALL SELECT w.key, p.day, p.psi > 0.25, CASE WHEN p.psi > 0.25 THEN p.day ELSE w.cur END, w.adaptations + (p.psi > 0.25)::INT
+      FROM w JOIN p ON p.key = w.key AND p.r = w.cur AND p.day = w.day + 1)
+    SELECT w.key, o.batch, (SELECT count(*) FROM s WHERE s.key = w.key AND s.batch = o.batch) AS n_rows, drifted AS drift_detected,
+    adaptations AS n_adaptations, w.day::INT AS n_batches_seen FROM w JOIN o ON o.key = w.key AND o.day = w.day""",
+)
 def stream_adaptive_step(spark, sf):
-    stream = _events_stream(spark, sf).select(
-        (F.col("event_id") % 100 / 100.0).alias("x"), (F.col("value") / 100).alias("v"), (F.col("user_id") / 150.0).alias("y")
-    )
+    out = adaptive_days(spark, sf)
+    return out.select("key", F.to_date("batch").alias("batch"), "n_rows", "drift_detected", "n_adaptations", "n_batches_seen")
+
+
+def adaptive_days(spark, sf, **settings) -> DataFrame:
+    """What the keyed adaptation emits over ``events`` in twelve micro-batches and more."""
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
     out, check = _folder(spark, "adaptive_step")
-    start = adapt.start_head(2, 42)
-    first = adapt.AdaptState([True, True], [float(x) for x in start], None)
-    jobs.per_batch(stream, jobs.adaptive_job(out, ["x", "v"], "y", start, first, seed=42), check).awaitTermination()
-    return spark.read.parquet(out).select("batch", "drift_detected", "n_adaptations", "n_batches_seen", "mask", "fitness")
+    keyed.stage(events, "ts", f"{out}-in")
+    stream = jobs.table_stream(spark, f"{out}-in", "*.parquet", events.schema, files_per_batch=1)
+    days = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01")) / 10)
+    scale = F.when(F.col("key") == "moved", F.pow(F.lit(3.0), days)).otherwise(1.0)
+    named = stream.select("*", F.explode(F.array(F.lit("moved"), F.lit("steady"))).alias("key"))
+    rows = named.select(
+        "key", "ts", (F.col("event_id") % 100 / 100.0).alias("x"), (F.col("value") / 100 * scale).alias("v"), (F.col("user_id") / 150.0).alias("y")
+    )
+    with keyed.keyed_state(spark):
+        made = keyed.adaptive_stream(rows, "ts", "key", ["x", "v"], "y", adapt.start_head(2, 42), seed=42, **settings)
+        jobs.to_table(made, out, check).awaitTermination()
+    return spark.read.parquet(out)

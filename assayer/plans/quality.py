@@ -34,6 +34,13 @@ EVENTS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 EVENT_HOLES = [("value", 0.15, 7), ("props", 0.3, 8)]
 HOLED_EVENTS = holed_sql("events", "event_id", EVENT_HOLES, EVENTS)
 MIDDLE = "2024-01-16"
+
+
+def holed_events(spark, sf) -> DataFrame:
+    masks = {c: evaluate.mcar_mask(F.col("event_id"), rate, seed) for c, rate, seed in EVENT_HOLES}
+    return table(spark, sf, "events").select(*(F.when(~masks[c], F.col(c)).alias(c) if c in masks else F.col(c) for c in EVENTS))
+
+
 EARLY = f"(SELECT * FROM events WHERE ts < TIMESTAMP '{MIDDLE}')"
 LATE = f"(SELECT * FROM events WHERE ts >= TIMESTAMP '{MIDDLE}')"
 SCALED = f"(SELECT event_id, value * 3 + 50 AS value FROM events WHERE ts >= TIMESTAMP '{MIDDLE}')"

@@ -1,4 +1,4 @@
-"""The same checks on a stream: windows, per-batch gates, and drift-triggered adaptation.
+"""The same checks on a stream: windows and per-batch gates; see ``keyed`` for drift-triggered adaptation.
 
 Per-batch results are written to a folder named after the batch id, with overwrite. A batch that is
 replayed after a failure writes the same folder again, so every batch counts once.
@@ -6,17 +6,15 @@ replayed after a failure writes the same folder again, so every batch counts onc
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from assayer.functions.columns import missing
-from assayer.operators.adapt import AdaptState, Reference, adaptive_step
+from assayer.functions.columns import missing, quoted
+from assayer.operators.adapt import Reference
 from assayer.operators.gates import null_rates
-from assayer.settings import AdaptSettings, DriftGateSettings, MaskSearchSettings
+from assayer.settings import DriftGateSettings
 
 
 def table_stream(
@@ -43,24 +41,34 @@ def window_profile(
 ) -> DataFrame:
     """Per tumbling window: rows, missing share, mean and skew of each column, distinct categories.
 
-    State is one row per window and ends when the watermark passes it.
+    A first aggregate keeps a row for each window and category, so the categories are counted exactly and no state row
+    grows; a second one adds up the power sums of a window once the watermark has passed it. Null is no category.
     """
-    gone = sum((F.count_if(missing(stream, c)) for c in columns), F.lit(0))
-    pieces = [
-        F.count("*").alias("n_rows"),
-        (gone / (F.count("*") * len(columns))).alias("missingness_rate"),
-        F.approx_count_distinct(category).alias("n_categories"),
-    ]
-    for c in columns:
-        pieces += [F.avg(c).alias(f"{c}_mean"), F.skewness(c).alias(f"{c}_skew")]
-    timed = stream.withColumn("_ts", event_time(F.col(ts))).withWatermark("_ts", lateness)
-    return (
-        timed.groupBy(F.window("_ts", width))
-        .agg(*pieces)
-        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[
-            "n_rows", "missingness_rate", "n_categories", *(f"{c}_{k}" for c in columns for k in ("mean", "skew"))
-        ])
+    cells = [F.when(~missing(stream, c), quoted(c).cast("double")) for c in columns]
+    timed = stream.select(
+        event_time(quoted(ts)).alias("_ts"), quoted(category).alias("_category"), *(v.alias(f"_c{i}") for i, v in enumerate(cells))
+    ).withWatermark("_ts", lateness)
+    powers = [F.sum(F.pow(f"_c{i}", F.lit(p))).alias(f"_s{i}_{p}") for i in range(len(columns)) for p in (1, 2, 3)]
+    first = timed.groupBy(F.window("_ts", width), "_category").agg(
+        F.count("*").alias("_rows"), *(F.count(f"_c{i}").alias(f"_n{i}") for i in range(len(columns))), *powers
     )
+    summed = [f"_n{i}" for i in range(len(columns))] + [f"_s{i}_{p}" for i in range(len(columns)) for p in (1, 2, 3)]
+    whole = first.groupBy("window").agg(
+        F.sum("_rows").alias("n_rows"), F.count("_category").alias("n_categories"), *(F.sum(c).alias(c) for c in summed)
+    )
+    there = sum((F.col(f"_n{i}") for i in range(len(columns))), F.lit(0))
+    out = [
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n_rows",
+        (1 - there / (F.col("n_rows") * len(columns))).alias("missingness_rate"), "n_categories",
+    ]
+    for i, c in enumerate(columns):
+        n = F.col(f"_n{i}")
+        mean, square, cube = (F.col(f"_s{i}_{p}") / n for p in (1, 2, 3))
+        spread = square - mean * mean
+        # far below what rounding leaves of the squares, all values count as equal
+        skew = F.when(spread > 1e-13 * square, (cube - 3 * mean * square + 2 * mean * mean * mean) / F.pow(spread, F.lit(1.5)))
+        out += [mean.alias(f"{c}_mean"), skew.alias(f"{c}_skew")]
+    return whole.select(*out)
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -105,68 +113,3 @@ def drift_gate_job(
         _put(made.coalesce(1), path, batch_id)
 
     return work
-
-
-# ---- adaptation state
-
-STATE_SCHEMA = (
-    "mask array<boolean>, head array<double>, reference string, n_adaptations int, "
-    "n_batches_seen int, drift_detected boolean, fitness double"
-)
-
-
-def state_row(state: AdaptState, drifted: bool, fitness: float | None) -> tuple:
-    ref = state.reference
-    text = json.dumps({"edges": ref.edges, "shares": ref.shares}) if ref else None
-    return (
-        list(state.mask), [float(x) for x in state.head], text, state.n_adaptations,
-        state.n_batches_seen, drifted, fitness,
-    )
-
-
-def state_from(row) -> AdaptState:
-    ref = json.loads(row["reference"]) if row["reference"] else None
-    return AdaptState(
-        list(row["mask"]), list(row["head"]), Reference(**ref) if ref else None,
-        row["n_adaptations"], row["n_batches_seen"],
-    )
-
-
-def _folder_exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
-def adaptive_job(
-    path: str,
-    features: Sequence[str],
-    target: str,
-    start: np.ndarray,
-    first: AdaptState,
-    drift: DriftGateSettings | None = None,
-    masks: MaskSearchSettings | None = None,
-    adapt: AdaptSettings | None = None,
-    seed: int = 0,
-) -> Callable[[DataFrame, int], None]:
-    """Adaptive step per batch; the state before a batch is the one stored for an earlier batch.
-
-    A replayed batch id starts from the same earlier state and rewrites its own folder, so it
-    neither adapts nor counts twice. The state's size does not depend on the rows seen.
-    """
-
-    def work(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch.isEmpty():
-            return
-        before = None
-        if _folder_exists(spark, path):
-            stored = spark.read.schema(STATE_SCHEMA + ", batch bigint").parquet(path)
-            before = stored.where(F.col("batch") < batch_id).orderBy(F.col("batch").desc()).first()
-        state = state_from(before) if before else first
-        done = adaptive_step(
-            batch, features, target, state, start, drift=drift, masks=masks, adapt=adapt, seed=seed
-        )
-        row = state_row(done.state, done.drift_detected, done.fitness)
-        _put(spark.createDataFrame([row], STATE_SCHEMA).coalesce(1), path, batch_id)
-
-    return work
