@@ -49,7 +49,7 @@ FIRST_DEPTH, DEEPEST, LAST = 3, 8, 12
 BUCKET = 64
 HEADS = 4
 #: Runs taken at once; the last portion goes on to the number that the recall needs.
-PORTIONS = (1, 3)
+PORTIONS = (1,)
 #: How far below the threshold an estimate from the embedding may lie: four standard errors.
 SLACK = 0.2
 BLOCK = 1024
