@@ -55,7 +55,8 @@ def prepare(
         "dataset_id string, content_hash string, config_hash string, git_sha string",
     )
     run_id = store.get_or_create_run(asked).first()["id"]
-    store.record_gate_chain(chain.as_df(spark).withColumn("run_id", F.lit(run_id)))
+    # One event name for a run: preparing the same table again writes the same rows, as a retry does.
+    store.record_gate_chain(chain.as_df(spark).withColumn("run_id", F.lit(run_id)), event=f"prepare:{run_id}")
     if not chain.passed:
         return Prepared(None, chain, run_id, {})
     filled = impute.impute(df, s.imputation, seed=seed, id_column=id_column)
@@ -72,7 +73,8 @@ def prepare(
             rows,
             "run_id string, step_seq int, step_type string, input_hash string, output_hash string, "
             "params_json string, seed bigint, transform_code_hash string, description string",
-        )
+        ),
+        event=f"prepare:{run_id}",
     )
     return Prepared(scored.df, chain, run_id, {**filled.diagnostics, "outliers": scored.diagnostics})
 

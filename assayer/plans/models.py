@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayer.functions.cutting import shared_folder
 from assayer.operators import adapt, modelling, policy
-from assayer.plans.quality import EARLY, HOLED_EVENTS, EVENTS, halves
+from assayer.plans.quality import EARLY, HOLED_EVENTS, EVENTS, LATE, halves
 from assayer.plans.registry import psi_sql, query, r6, table
-from assayer.settings import AdaptSettings, MaskSearchSettings, SearchSettings
+from assayer.settings import AdaptSettings, DriftGateSettings, MaskSearchSettings, SearchSettings
 from assayer.streaming import jobs, keyed
 
 # A narrow range of tree counts keeps registered searches short; the library's ranges are wider.
@@ -237,6 +237,49 @@ def adaptive_step(spark, sf):
     )
 
 
+_X, _V = "event_id % 100 / 100.0::DOUBLE AS x", "value / 100 AS v"
+_FIRST, _CALM = f"(SELECT {_X}, {_V} FROM {EARLY})", f"(SELECT {_X}, {_V} FROM {LATE})"
+_MOVED = f"(SELECT {_X}, value / 100 * 3 + 0.5 AS v FROM {LATE})"
+
+
+def _ks_p_sql(reference: str, current: str, column: str) -> str:
+    """SELECT p of one column; both arguments are table expressions."""
+    return f"""SELECT CASE WHEN s * d * d < 0.01 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: (2 * (k % 2) - 1) * exp(-2 * k * k * s * d * d)))) END AS p
+      FROM (SELECT max(nr) * max(nc) / (max(nr) + max(nc)) AS s, max(abs(fr / nr - fc / nc)) AS d FROM (
+        SELECT sum(r) OVER w AS fr, sum(c) OVER w AS fc, sum(r) OVER () AS nr, sum(c) OVER () AS nc FROM (
+          SELECT v, sum(r) AS r, sum(c) AS c FROM (SELECT {column} AS v, 1 AS r, 0 AS c FROM {reference} UNION ALL SELECT {column}, 0, 1 FROM {current})
+          GROUP BY v) WINDOW w AS (ORDER BY v)))"""
+
+
+def _moved_sql(method: str, reference: str, current: str) -> str:
+    if method == "psi":
+        return f"(SELECT max(psi) > 0.25 FROM ({psi_sql(reference, current, ['x', 'v'])}))"
+    return "(SELECT min(p) < 0.05 FROM (" + " UNION ALL ".join(_ks_p_sql(reference, current, c) for c in "xv") + "))"
+
+
+@query(
+    "adaptive_step_counters",
+    " UNION ALL ".join(
+        f"""SELECT '{m}' AS method, batch, drift_detected, (sum(drift_detected::INT) OVER (ORDER BY n_batches_seen))::INT AS n_adaptations, n_batches_seen FROM (
+      SELECT 'calm' AS batch, {_moved_sql(m, _FIRST, _CALM)} AS drift_detected, 1 AS n_batches_seen
+      UNION ALL SELECT 'moved', CASE WHEN {_moved_sql(m, _FIRST, _CALM)} THEN {_moved_sql(m, _CALM, _MOVED)} ELSE {_moved_sql(m, _FIRST, _MOVED)} END, 2
+      UNION ALL SELECT 'moved_again', {_moved_sql(m, _MOVED, _MOVED)}, 3)"""
+        for m in ("psi", "ks")
+    ),
+)
+def adaptive_step_counters(spark, sf):
+    first, calm, moved = _batches(spark, sf)
+    names, start, rows = ["x", "v"], adapt.start_head(2, 42), []
+    for method in ("psi", "ks"):
+        drift = DriftGateSettings(method=method)
+        state = adapt.AdaptState([True, True], [float(x) for x in start], adapt.Reference.of(first, names, method=method))
+        for name, batch in (("calm", calm), ("moved", moved), ("moved_again", moved)):
+            done = adapt.adaptive_step(batch, names, "y", state, start, drift=drift, seed=42)
+            state = done.state
+            rows.append((method, name, done.drift_detected, state.n_adaptations, state.n_batches_seen))
+    return spark.createDataFrame(rows, "method string, batch string, drift_detected boolean, n_adaptations int, n_batches_seen int")
+
+
 _IN = "d.v >= b.lo AND (d.v < b.hi OR (b.last AND d.v = b.hi))"
 _MARKS = ", ".join(str(i / 10) for i in range(11))
 

@@ -232,11 +232,11 @@ class LineageStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Appends exactly the table's columns; rows whose id is stored already are left out."""
+    def append(self, table: str, rows: DataFrame, known: bool = True) -> None:
+        """Appends exactly the table's columns; rows whose id is stored already are left out, unless none can be ``known``."""
         shape = self.spark.createDataFrame([], TABLES[table]).schema
         rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in shape))
-        if "id" in shape.fieldNames():
+        if known and "id" in shape.fieldNames():
             rows = rows.join(self.read(table).select("id"), "id", "left_anti").select(
                 *shape.fieldNames()
             )
@@ -278,23 +278,23 @@ class LineageStore:
 
     def record_gate_chain(self, results: DataFrame, event: str | None = None) -> None:
         for table, rows in gate_chain_rows(results, event or uuid.uuid4().hex).items():
-            self.append(table, rows)
+            self.append(table, rows, event is not None)
 
     def record_step(self, steps: DataFrame, event: str | None = None) -> None:
         for table, rows in step_rows(steps, event or uuid.uuid4().hex).items():
-            self.append(table, rows)
+            self.append(table, rows, event is not None)
 
     def record_trials(self, trials: DataFrame, event: str | None = None) -> None:
-        self.append("hyperparameters", trial_rows(trials, event or uuid.uuid4().hex))
+        self.append("hyperparameters", trial_rows(trials, event or uuid.uuid4().hex), event is not None)
 
     def record_metric(self, metrics: DataFrame, event: str | None = None) -> None:
-        self.append("metrics", metric_rows(metrics, event or uuid.uuid4().hex))
+        self.append("metrics", metric_rows(metrics, event or uuid.uuid4().hex), event is not None)
 
     def record_artifact(self, artifacts: DataFrame) -> None:
         self.append("artifacts", artifact_rows(artifacts))
 
     def record_episode(self, episodes: DataFrame, state, action, event: str | None = None) -> None:
-        self.append("rl_episodes", episode_rows(episodes, state, action, event or uuid.uuid4().hex))
+        self.append("rl_episodes", episode_rows(episodes, state, action, event or uuid.uuid4().hex), event is not None)
 
     def status(self) -> DataFrame:
         return current_status(self.read("run_status"))

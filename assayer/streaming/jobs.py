@@ -104,12 +104,14 @@ def null_gate_job(path: str, threshold: float = 0.4) -> Callable[[DataFrame, int
 def drift_gate_job(
     path: str, reference: Reference, settings: DriftGateSettings | None = None
 ) -> Callable[[DataFrame, int], None]:
-    """Stability index of every batch against stored reference edges and counts."""
+    """PSI, or the p-value of KS, of every batch against what is stored of the reference."""
     s = settings or DriftGateSettings()
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        rows = [(c, float(v), v > s.psi_threshold) for c, v in reference.scores(batch).items()]
-        made = batch.sparkSession.createDataFrame(rows, "column string, psi double, drifted boolean")
+        scores, moved = reference.verdict(batch, s)
+        rows = [(c, float(v), c in moved) for c, v in scores.items()]
+        score = "psi" if s.method == "psi" else "ks_p_value"
+        made = batch.sparkSession.createDataFrame(rows, f"column string, {score} double, drifted boolean")
         _put(made.coalesce(1), path, batch_id)
 
     return work

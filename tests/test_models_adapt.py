@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions.ranking import mixed_row_number
+from assayer.functions.special import kolmogorov_p
 from assayer.operators import adapt, evaluate, modelling
-from assayer.settings import AdaptSettings, MaskSearchSettings, SearchSettings
+from assayer.settings import AdaptSettings, DriftGateSettings, MaskSearchSettings, SearchSettings
 
 QUICK = {"n_estimators": (5, 8), "max_depth": (2, 4), "num_leaves": (8, 12)}
 
@@ -293,3 +294,40 @@ def test_mask_rate(spark):
     out = evaluate.inject_mcar(df, F.col("id"), ["x"], 0.2, 5, marks=True)
     assert abs(out.where("x IS NULL").count() / 1e5 - 0.2) < 0.005
     assert out.where("(x IS NULL) <> x_masked").isEmpty()
+
+
+def test_ks_is_honoured_by_step_and_sequence(spark):
+    start = adapt.start_head(2, 0)
+    ks = DriftGateSettings(method="ks", ks_p_value_threshold=1e-4)
+    masks = MaskSearchSettings(population_size=4, n_generations=2)
+    state = adapt.AdaptState([True, True], list(start), adapt.Reference.of(batch(spark, 0, 0), ["a", "b"], method="ks"))
+    calm = adapt.adaptive_step(batch(spark, 0, 1), ["a", "b"], "y", state, start, drift=ks, masks=masks)
+    moved = adapt.adaptive_step(batch(spark, 3, 2), ["a", "b"], "y", calm.state, start, drift=ks, masks=masks)
+    assert not calm.drift_detected and moved.drift_detected and moved.state.reference.grid is not None
+    rng = np.random.default_rng(0)
+    pdf = pd.concat([pd.DataFrame({"d": i, "v": rng.normal(m, 1, 300)}) for i, m in enumerate([0, 0, 4, 4])])
+    got = adapt.batch_drift_sequence(spark.createDataFrame(pdf), "d", ["v"], ks).orderBy("batch").collect()
+    assert [r["drifted"] for r in got] == [True, False, True, False] and got[2]["min_p_value"] < 1e-4
+
+
+def test_open_verdicts_ask_for_the_exact_distance():
+    asked = []
+
+    def exact(columns):
+        asked.extend(columns)
+        return [(c, 100, 100, 0.5) for c in columns]
+
+    bounds = {"sure": (100, 100, 0.6, 0.7), "calm": (100, 100, 0.0, 0.01), "open": (100, 100, 0.1, 0.6)}
+    scores, moved = adapt.ks_verdict(bounds, 0.05, exact)
+    assert asked == ["open"] and sorted(moved) == ["open", "sure"] and scores["open"] == kolmogorov_p(0.5, 100, 100)
+
+
+def test_step_with_two_classes_is_judged_by_accuracy(spark):
+    start = adapt.start_classes(2, 0)
+    masks = MaskSearchSettings(population_size=4, n_generations=2)
+    first = batch(spark, 0, 0)
+    done = adapt.adaptive_step(first, ["a", "b"], "y", adapt.AdaptState([True, True], start.ravel().tolist(), None), start, masks=masks)
+    head = np.array(done.state.head).reshape(2, 3)
+    z = np.column_stack([np.ones(200), *(np.array([r[c] for r in first.collect()]) * m for c, m in zip("ab", done.state.mask))])
+    y = np.array([r["y"] for r in first.collect()])
+    assert 0 <= done.fitness <= 1 and np.mean((z @ (head[1] - head[0]) > 0) == (y > 0.5)) == pytest.approx(done.fitness)
