@@ -43,9 +43,9 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> bytes:
-    """Lower-case words with a blank before and after each; empty if there is no letter."""
+    """Lower-case words with a blank before and after each; empty if there is no letter (Unicode category L)."""
     words = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
-    return f" {words} ".encode("utf-8", "surrogatepass") if words else b""
+    return f" {words} ".encode("utf-8", "surrogatepass") if any(map(str.isalpha, words)) else b""
 
 
 def learn(

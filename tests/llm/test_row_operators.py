@@ -228,3 +228,10 @@ def test_licenses_equal_a_scan_by_hand(docs_of, odd):
     assert per[105].score > 0.9 > 0.2 > per[106].score
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in rows)
     assert licenses.scan(odd.limit(0)).count() == 0
+
+
+def test_texts_without_a_letter_have_no_language(docs_of):
+    rows = [(1, "²"), (2, "12 ½"), (3, "① ⅷ ٣"), (4, "___ 9"), (5, "é"), (6, "中文")]
+    learned = [("en", b" the and of to in is that it was for " * 20), ("de", b" der die das und nicht ist ein eine zu " * 20)]
+    got = {r.doc_id: r.lang_pred for r in langid.classify(docs_of(rows), learned).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == ["und"] * 4 and "und" not in (got[5], got[6])
