@@ -12,9 +12,11 @@ together they add less than half the threshold to any item; a passage can only r
 that item's set-aside sum do. The passages that can are queried one by one with block-max WAND: term bounds choose
 the pivot, block bounds skip, and only the rest is scored in full.
 
-Retrieved pairs are verified word by word: the share of the item's five-word shingles in the passage must reach
-``OVERLAP``; shares of its question and its answer are given beside it. Without columns of their own, an item's last
-sentence counts as its answer and the rest as its question.
+Retrieved pairs are verified word by word. An item is found if the share of its five-word shingles in the passage reaches
+``OVERLAP``, or if that of its question alone does and the question has ``LEAST_QUESTION`` words: such questions stand
+in the index once more by themselves, so that they are retrieved whatever the answer weighs. The shares of question and answer are
+given beside it; an answer of less than five words must stand there as a whole. Without columns of
+their own, an item's last sentence counts as its answer and the rest as its question.
 
 The index is broadcast. Benchmarks are small by nature; ``MAX_ITEMS`` items and ``MAX_WORDS`` words are checked, and
 more raise an error. Documents are handled row by row without a shuffle.
@@ -45,6 +47,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
 WIDTH = 5
+#: Words a question needs to give an item away without the answer.
+LEAST_QUESTION = 20
 BLOCK = 64
 #: Words of the longest items in the first length class; each further class holds items of up to twice as many.
 LONGEST = 512
@@ -71,29 +75,31 @@ class Item:
     question: list[int]
     answer: list[int]
     width: int
+    answer_width: int
+    alone: bool
 
 
 class Part:
     """Impact-normalised postings in blocks of the items of one length class, and what verification needs of each."""
 
     def __init__(
-        self, rows: Sequence[tuple[int, int | None, list[str], list[str]]], idf: dict[str, float], mean: float, threshold: float
+        self, rows: Sequence[tuple[int, object, list[str], list[str], bool]], idf: dict[str, float], mean: float, threshold: float
     ):
-        """``rows``: (place among all items, key, words of the question, words of the answer)."""
+        """``rows``: (place among all items, key, words of the question, words of the answer, whether the question stands alone)."""
         self.threshold = threshold
         self.items: list[Item] = []
         bags = []
-        for place, key, q, a in rows:
+        for place, key, q, a, alone in rows:
             both = CODES.of(q + a)
-            width = min(WIDTH, len(both))
+            width, answer_width = min(WIDTH, len(both)), min(WIDTH, len(a))
             self.items.append(
                 Item(
                     place, key, np.unique(shingles(both, width)).tolist(),
                     np.unique(shingles(CODES.of(q), width)).tolist() if len(q) >= width else [],
-                    np.unique(shingles(CODES.of(a), width)).tolist() if len(a) >= width else [], width,
+                    np.unique(shingles(CODES.of(a), answer_width)).tolist() if a else [], width, answer_width, alone,
                 )
             )
-            bags.append(Counter(q + a))
+            bags.append(Counter(q if alone else q + a))
         n = len(bags)
         self.stride = max([32, *(sum(b.values()) for b in bags)])
         found = Counter(t for b in bags for t in b)
@@ -216,24 +222,29 @@ class Part:
         it = self.items[item]
         if len(words) < it.width:
             return
-        there = set(shingles(CODES.of(words), it.width).tolist())
+        codes = CODES.of(words)
+        there = set(shingles(codes, it.width).tolist())
 
-        def share(codes: list[int]) -> float | None:
-            return sum(c in there for c in codes) / len(codes) if codes else None
+        def share(wanted: list[int], among: set[int] = there) -> float | None:
+            return sum(c in among for c in wanted) / len(wanted) if wanted else None
 
-        whole = share(it.codes)
-        if whole >= overlap and (it.place not in hits or hits[it.place]["overlap"] < whole):
+        whole, asked = share(it.codes), share(it.question)
+        reached = asked if it.alone else whole
+        best = max(whole, asked or 0.0) if len(it.question) + it.width > LEAST_QUESTION else whole
+        if reached is not None and reached >= overlap and (it.place not in hits or hits[it.place]["best"] < best):
+            known = there if it.answer_width == it.width else set(shingles(codes, it.answer_width).tolist()) if it.answer else set()
             hits[it.place] = {
-                "item_id": it.key, "score": score, "overlap": whole, "question_overlap": share(it.question),
-                "answer_overlap": share(it.answer), "first_word": start,
+                "item_id": it.key, "score": score, "overlap": whole, "question_overlap": asked,
+                "answer_overlap": share(it.answer, known), "first_word": start, "best": best,
             }
 
 
 class Index(Part):
     """The part of the items of up to LONGEST words, with the parts of ``longer`` ones; terms are weighed over all."""
 
-    def __init__(self, rows: Sequence[tuple], threshold: float = THRESHOLD):
-        """``rows``: (key, question, answer)."""
+    def __init__(self, rows: Sequence[tuple], threshold: float = THRESHOLD, kind: T.DataType | None = None):
+        """``rows``: (key, question, answer), keys of Spark's type ``kind``."""
+        self.kind = kind or T.LongType()
         classes: dict[int, list[tuple]] = {0: []}
         found: Counter = Counter()
         n = total = 0
@@ -241,7 +252,10 @@ class Index(Part):
             q, a = words_of(question), words_of(answer)
             if not q + a:
                 continue
-            classes.setdefault(length_class(len(q) + len(a)), []).append((n, key, q, a))
+            part = classes.setdefault(length_class(len(q) + len(a)), [])
+            part.append((n, key, q, a, False))
+            if a and len(q) >= LEAST_QUESTION:
+                part.append((n, key, q, a, True))
             found.update(set(q + a))
             n, total = n + 1, total + len(q) + len(a)
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in found.items()}
@@ -255,7 +269,7 @@ class Index(Part):
         words = [words_of(t) for t in texts]
         for part in (self, *self.longer):
             part.collect(words, hits, overlap)
-        return [[h[i] for i in sorted(h)] for h in hits]
+        return [[{k: v for k, v in h[i].items() if k != "best"} for i in sorted(h)] for h in hits]
 
 
 def build_index(
@@ -270,14 +284,17 @@ def build_index(
         rows = [(r[0], *question_and_answer(r[1])) for r in items.select(quoted(key), quoted(text)).take(MAX_ITEMS + 1)]
     if len(rows) > MAX_ITEMS or sum(len(q or "") + len(a or "") for _, q, a in rows) > 8 * MAX_WORDS:
         raise ValueError(f"the benchmark has more than {MAX_ITEMS} items or {MAX_WORDS} words; split it")
-    return Index(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or "")), threshold)
+    kind = items.select(quoted(key)).schema[0].dataType
+    ranked = sorted(rows, key=lambda r: (r[0] is None, "" if r[0] is None else str(r[0]), r[1] or "", r[2] or ""))
+    return Index(ranked, threshold, kind)
 
 
-HIT = T.StructType([
-    T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
-    T.StructField("overlap", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()),
-    T.StructField("answer_overlap", T.DoubleType()), T.StructField("first_word", T.LongType()),
-])
+def hit(kind: T.DataType) -> T.StructType:
+    return T.StructType([
+        T.StructField("item_id", kind), T.StructField("score", T.DoubleType()),
+        T.StructField("overlap", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()),
+        T.StructField("answer_overlap", T.DoubleType()), T.StructField("first_word", T.LongType()),
+    ])
 
 
 def find_items(
@@ -290,7 +307,7 @@ def find_items(
     def run(texts: list[str | None]):
         return (ready().scan(texts, overlap),)
 
-    return map_texts(docs, run, [T.StructField("items", T.ArrayType(HIT))], keep, text)
+    return map_texts(docs, run, [T.StructField("items", T.ArrayType(hit(index.kind)))], keep, text)
 
 
 @query("op9_benchmark_overlap")

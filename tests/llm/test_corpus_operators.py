@@ -283,19 +283,40 @@ def test_word_codes_follow_the_words():
 
 
 def found_by_hand(docs, items, overlap=decontamination.OVERLAP):
+    """Items of which the whole, or a question of enough words, is there to the share asked for."""
+
+    def share(w, k, words):
+        grams = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+        there = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)}
+        return len(grams & there) / len(grams) if grams else 0
+
     out = set()
     for i, text in docs:
         words = words_of(text)
         for key, item in items:
-            w = words_of(item)
-            k = min(5, len(w))
-            grams = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
-            there = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)}
-            if grams and len(grams & there) >= overlap * len(grams):
+            q, a = map(words_of, decontamination.question_and_answer(item))
+            w = q + a
+            if w and (share(w, min(5, len(w)), words) >= overlap or (len(q) >= decontamination.LEAST_QUESTION and share(q, 5, words) >= overlap)):
                 out.add((i, key))
     return out
 
 
+def test_questions_alone_and_short_answers(spark, docs_of):
+    rng = random.Random(31)
+    long, short = prose(rng, 40), prose(rng, 12)
+    items = [("a-1", f"{long}? {prose(rng, 30)}"), ("b", f"{short}? {prose(rng, 12)}"), ("c", f"{prose(rng, 30)}? forty two"), (None, f"{prose(rng, 25)}? yes")]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    docs = [
+        (1, prose(rng, 300) + " " + long + " " + prose(rng, 300)), (2, prose(rng, 80) + " " + short), (3, items[2][1].replace("forty two", "forty")),
+        (4, items[2][1]), (5, items[3][1]), (6, edited(rng, long, 1)), (7, edited(rng, long, 6)),
+    ]
+    rows = decontamination.find_items(docs_of(docs), decontamination.build_index(table)).collect()
+    got = {(r.doc_id, i["item_id"]) for r in rows for i in r["items"]}
+    assert got == found_by_hand(docs, items) and {(1, "a-1"), (3, "c"), (4, "c"), (5, None), (6, "a-1")} <= got and 2 not in {d for d, _ in got}
+    answers = {(r.doc_id, i["item_id"]): i["answer_overlap"] for r in rows for i in r["items"]}
+    assert answers[4, "c"] == 1 and answers[3, "c"] == 0 and answers[5, None] == 1
+
+
 def test_benchmark_overlap_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
@@ -448,6 +469,6 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
 
 def test_stages_take_odd_rows(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd.withColumn("__own", F.lit(1)) if name != "near_duplicates" else odd, "/root/testdata/sf0.001").count() <= odd.count()
+        assert stage(spark, odd.withColumn("__own", F.lit(1)).withColumn("first", F.lit(2)), "/root/testdata/sf0.001").count() <= odd.count()
     kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, odd, "").collect()
     assert len(kept) == odd.count() - 1
