@@ -222,13 +222,11 @@ def learn(
         totals = first.where(~F.col("feature").contains("*")).agg(F.sum("toxic"), F.sum("clean")).first()
         if not totals[0] or not totals[1]:
             return Model()
-        # The features whose shares differ most; the rest cannot become significant.
-        shift = F.abs(F.log((F.col("toxic") + 0.5) / totals[0]) - F.log((F.col("clean") + 0.5) / totals[1]))
-        rough = shift / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-        chosen = (
-            first.where(F.col("toxic") + F.col("clean") >= MIN_COUNT)
-            .orderBy(rough.desc(), "feature").limit(MAX_FEATURES).collect()
-        )
+        # The test that decides on a feature, run where the counts are: no other feature can get a score.
+        sure = _root_column(F.col("toxic"), F.col("clean"), totals[0], totals[1]) >= Z_SCORE * (1 - 1e-9)
+        chosen = first.where(F.col("toxic") + F.col("clean") >= MIN_COUNT).where(sure).take(MAX_FEATURES + 1)
+        if len(chosen) > MAX_FEATURES:
+            raise ValueError(f"more than {MAX_FEATURES} significant features: the model is broadcast")
         first.unpersist()
         counts = {r["feature"]: (r["toxic"], r["clean"]) for r in chosen}
         corpus = docs.select(F.lit(0).alias("kind"), quoted(text).alias("text"))
@@ -278,6 +276,13 @@ def _root(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
     return math.sqrt(max(0.0, 2 * g))
 
 
+def _root_column(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """``_root`` of two columns of counts."""
+    both = (toxic + clean) / F.lit(float(n_toxic + n_clean))
+    part = lambda k, n: F.when(k > 0, k * F.log(k / (F.lit(float(n)) * both))).otherwise(F.lit(0.0))
+    return F.sqrt(F.greatest(F.lit(0.0), 2 * (part(toxic, n_toxic) + part(clean, n_clean))))
+
+
 def _calibrate(model: Model, sample: DataFrame, chance: dict[int, float]) -> None:
     """Fits the location of the chance law and the logistic curve on at most 2 * MAX_LABELLED small rows."""
     raw = _passages(sample, model, ["kind"]).select("kind", "__best", "__total").collect()
