@@ -30,6 +30,8 @@ MARGINS = ("source", "lang", "topic")
 TEMPER = 0.7
 ROUNDS = 8
 KEEP_SHARE = 0.6
+#: Cells that are broadcast to the documents; more are joined.
+MAX_CELLS = 100_000
 SEED = "mix"
 #: Fills for cells that c alone would lift above one.
 CALIBRATIONS = 12
@@ -120,8 +122,11 @@ def mix(
     chances = probabilities(rake(cells, names, renamed, temper, rounds), names, budget_share)
     chances = chances.toDF(*(f"{n}c" for n in names), "weight", "probability")
     clash = [c for c in df.columns if c.lower() in ("weight", "probability", "chosen")]
+    # Few cells go to the documents, so that no document moves and no busy cell meets in one task; many are joined.
+    chances = checkpointed(chances)
+    few = len(chances.take(MAX_CELLS + 1)) <= MAX_CELLS
     joined = marked.drop(*clash).join(
-        chances, [F.col(n).eqNullSafe(F.col(f"{n}c")) for n in names]
+        F.broadcast(chances) if few else chances, [F.col(n).eqNullSafe(F.col(f"{n}c")) for n in names]
     )
     return joined.drop(*(f"{n}c" for n in names)).withColumn(
         "chosen", uniform(quoted(key), seed) < F.col("probability")
