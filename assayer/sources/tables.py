@@ -7,9 +7,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from assayer.functions.columns import is_numeric, missing, nan_to_null, number, present, quoted
+from assayer.functions.ranking import sorted_codes
 from assayer.operators.impute import Imputed, impute_mice, impute_mode, missing_counts
 from assayer.operators.profile import infer_task_type
 from assayer.settings import ImputeSettings
@@ -102,15 +105,17 @@ def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
 def encode_label(df: DataFrame, target: str, name: str) -> DataFrame:
     """Adds the code of the label in sorted order, from 0; -1 for a missing label.
 
-    Labels are the classes of a target; their number has the limit of ``levels_of``.
+    Up to ``IN_PLACE`` labels are looked up in the row. More are numbered by a distributed rank and joined; the table of codes
+    is broadcast only while it is small, and nothing of it comes to the driver.
     """
-    listed = levels_of(df, [target])[target]
-    if len(listed) <= 64:
-        return df.withColumn(name, _code(quoted(target), listed))
-    kind = df.schema[target].dataType.simpleString()
-    codes = df.sparkSession.createDataFrame(list(zip(listed, range(len(listed)))), f"_l {kind}, _c int")
-    joined = df.join(F.broadcast(codes), quoted(target) == F.col("_l"), "left")  # MAX_LEVELS rows
-    return joined.withColumn(name, F.coalesce("_c", F.lit(-1))).drop("_l", "_c")
+    there = df.where(present(df, target)).select(quoted(target).alias("_l")).distinct()
+    first = [r["_l"] for r in there.take(IN_PLACE + 1)]
+    if len(first) <= IN_PLACE:
+        return df.withColumn(name, _code(quoted(target), sorted(first)))
+    codes = sorted_codes(there, "_l", "_c")
+    codes = F.broadcast(codes) if len(codes.take(MAX_LEVELS + 1)) <= MAX_LEVELS else codes
+    joined = df.join(codes, quoted(target) == F.col("_l"), "left")
+    return joined.withColumn(name, F.coalesce("_c", F.lit(-1)).cast("int")).drop("_l", "_c")
 
 
 def _code(col: Column, listed: Sequence) -> Column:
@@ -120,6 +125,8 @@ def _code(col: Column, listed: Sequence) -> Column:
     return F.coalesce(F.array_position(array, col) - 1, F.lit(-1)).cast("int")
 
 
+IN_PLACE = 64
+#: Levels that are broadcast, and the most columns that one-hot coding may add for one column.
 MAX_LEVELS = 10_000
 
 
@@ -132,7 +139,7 @@ def levels_of(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
             .limit(MAX_LEVELS + 1).collect()
         )
         if len(rows) > MAX_LEVELS:
-            raise ValueError(f"column {c!r} has more than {MAX_LEVELS} levels; too many to one-hot")
+            raise ValueError(f"column {c!r} has more than {MAX_LEVELS} levels; too many columns; see one_hot_vector")
         out[c] = [r["v"] for r in rows]
     return out
 
@@ -149,6 +156,19 @@ def one_hot_drop_first(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*rest, *coded)
 
 
+def one_hot_vector(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the 0/1 coding of ``column`` as a sparse vector, for any number of levels; the first level and missing cells are
+    all zero. With n levels after the first, position p stands for level n - p of the sorted order."""
+    coded = encode_label(df, column, "_code")
+    n = max(0, coded.agg(F.max("_code")).first()[0] or 0)
+    if n == 0:
+        return coded.withColumn(name, array_to_vector(F.array(F.lit(0.0)))).drop("_code")
+    # The encoder leaves the last index out: that is where the first level and missing cells go.
+    index = coded.withColumn("_index", F.when(F.col("_code") < 1, F.lit(n)).otherwise(n - F.col("_code")).cast("double"))
+    model = OneHotEncoder(inputCol="_index", outputCol=name).fit(index.select("_index").union(df.sparkSession.createDataFrame([(float(n),)], "_index double")))
+    return model.transform(index).drop("_code", "_index")
+
+
 def _resolve(df: DataFrame, target: str | None, path: str) -> str:
     name = target or df.columns[-1]
     if name not in df.columns:

@@ -9,7 +9,7 @@ from assayer.functions import hashing
 from assayer.functions.columns import melt, missing, mix, nan_to_null, split_columns
 from assayer.functions.gram import gram_by, unpack
 from assayer.functions.quantiles import exact_quantiles
-from assayer.functions.ranking import mixed_row_number
+from assayer.functions.ranking import mixed_row_number, running_max, sorted_codes
 from assayer.functions.special import incomplete_beta, kolmogorov_p, student_t_p
 
 MARKS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0]
@@ -110,3 +110,14 @@ def test_frame_hash(spark):
     swapped = spark.createDataFrame([(None, 1)], "a int, b int"), spark.createDataFrame([(1, None)], "a int, b int")
     assert hashing.content_hash(swapped[0]) != hashing.content_hash(swapped[1])
     assert hashing.hash_source(mix) == hashing.hash_source(mix) != hashing.hash_source(melt)
+
+
+def test_running_max_and_codes_over_many_parts(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=700)
+    df = spark.createDataFrame([(int(i), float(x)) for i, x in enumerate(v)], "i int, v double").repartition(7)
+    got = {r["i"]: r["m"] for r in running_max(df, "i", "v", "m").collect()}
+    assert [got[i] for i in range(700)] == np.maximum.accumulate(v).tolist()
+    codes = {r["v"]: r["c"] for r in sorted_codes(df.union(df), "v", "c").collect()}
+    assert [codes[x] for x in sorted(v.tolist())] == list(range(700))
+    assert running_max(df.limit(0), "i", "v", "m").count() == sorted_codes(df.limit(0), "v", "c").count() == 0

@@ -272,3 +272,17 @@ def test_command_line(spark, tmp_path, capsys):
     report = json.loads(capsys.readouterr().out)
     assert report["features"] == ["a", "b_v"] and report["best_family"] == "linear"
     assert main(["replay", str(tmp_path / "none"), "x"]) == 1
+
+
+def test_labels_of_any_number_are_coded_in_order(spark):
+    n = 100_000
+    many = spark.range(n).select(F.concat(F.lit("l"), F.lpad((F.col("id") * 7919 % n).cast("string"), 6, "0")).alias("y"), F.col("id").alias("i"))
+    many = many.union(spark.createDataFrame([(None, n)], "y string, i long"))
+    wrong = tables.encode_label(many, "y", "k").where("k != coalesce(cast(substr(y, 2) AS int), -1)").count()
+    assert wrong == 0
+    vectors = tables.one_hot_vector(many, "y", "v").where("i < 3 or i = 100000").collect()
+    for r in vectors:
+        level = int(r["y"][1:]) if r["y"] else 0
+        assert r["v"].size == n - 1 and r["v"].indices.tolist() == ([n - 1 - level] if level else [])
+    one = tables.one_hot_vector(spark.createDataFrame([("a",), (None,)], "y string"), "y", "v").collect()
+    assert [r["v"].toArray().tolist() for r in one] == [[0.0], [0.0]]
