@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -24,3 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def swept(spark: SparkSession) -> None:
+    """Let go of the shuffles and checkpoints of earlier rounds of a loop.
+
+    Spark deletes them once their tables are garbage, which on the driver of a long loop is collected late; until then
+    every round leaves its files.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
