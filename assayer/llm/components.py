@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.functions.cutting import checkpointed
+from assayer.functions.cutting import checkpointed, swept
 
 MAX_ROUNDS = 100
 
@@ -42,6 +42,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         now = checkpointed(small)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        del both, least, large, low, small
+        swept(now.sparkSession)
         if tuple(seen) == mark:
             break
         mark = tuple(seen)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayer.functions.columns import quoted
-from assayer.functions.cutting import checkpointed
+from assayer.functions.cutting import checkpointed, swept
 from assayer.llm.common import coded_words, map_texts, query, shingles, stirred, table
 from assayer.llm.components import components
 
@@ -290,6 +290,7 @@ def _follow(classes: DataFrame, runs: Sequence[int], grouped: DataFrame | None)
             later.append(checkpointed(edges.distinct()))
         if large.isEmpty():
             break
+        swept(classes.sparkSession)
         # A large node whose classes all lie in one group needs no splitting: its pairs will be compared exactly.
         label = checkpointed(_labelled(large.select("set", "values", "node", "first"), grouped))
         mixed = label.groupBy("node").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select(
@@ -314,6 +315,7 @@ def candidate_groups(classes: DataFrame, recall: float = RECALL) -> DataFrame:
         now, left = left[:size], left[size:]
         if now:
             grouped = _follow(classes, now, grouped)
+            swept(classes.sparkSession)
     if grouped is None:
         return classes.select(F.col("set").alias("node"), F.col("set").alias("component")).where("false")
     return grouped
