@@ -44,6 +44,8 @@ PRIOR_SHARE = 0.05
 DRIFT = 0.25
 E_VALUE = 0.05
 CUT = 0.3
+#: Stands for all words where features are counted; no word is empty.
+ALL = ""
 
 
 @dataclass
@@ -135,7 +137,7 @@ class Scorer(dict):
 
 def count_features(df: DataFrame, wanted: Sequence[str] | None = None, kinds: int = 1) -> DataFrame:
     """(feature, kind, texts that hold it) over ``df`` (kind, text), summed within tasks first; ``wanted`` limits the
-    features. A beginning counts once for every different word that has it."""
+    features, and adds a row ``ALL`` for all words. A beginning counts once for every different word that has it."""
     sent = None if wanted is None else df.sparkSession.sparkContext.broadcast(frozenset(wanted))
     schema = "feature string, kind int, n long"
 
@@ -155,6 +157,8 @@ def count_features(df: DataFrame, wanted: Sequence[str] | None = None, kinds: in
         def spread() -> None:
             for k in range(kinds):
                 into = counts[k]
+                if only is not None:
+                    into[ALL] += sum(words[k].values())
                 for w, n in words[k].items():
                     for f in features(w):
                         if only is None or f in only:
@@ -241,7 +245,7 @@ def learn(
 def _weigh(
     counts: dict[str, tuple[int, int]], everywhere: dict[str, int], n_toxic: int, n_clean: int
 ) -> Model:
-    corpus = max(1, sum(n for f, n in everywhere.items() if "*" not in f))
+    corpus = max(1, everywhere.get(ALL, 0))
     scores, weight = {}, PRIOR_SHARE * (n_toxic + n_clean)
     for f, (toxic, clean) in counts.items():
         prior = weight * (everywhere.get(f, 0) + 0.5) / corpus
