@@ -38,7 +38,7 @@ def r6(col: Column | str, digits: int = 6) -> Column:
 
 
 def mix_sql(key: str, seed: int = 0) -> str:
-    return f"('0x' || substr(md5(({key})::VARCHAR || ':{seed}'), 1, {MIX_DIGITS}))::BIGINT"
+    return f"('0x' || substr(md5(({key})::VARCHAR || ':{seed // 3}'), {1 + seed % 3 * MIX_DIGITS}, {MIX_DIGITS}))::BIGINT"
 
 
 def holed_sql(source: str, key: str, rates: Sequence[tuple[str, float, int]], columns: Sequence[str]) -> str:
