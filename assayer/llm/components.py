@@ -32,7 +32,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         large = (
             both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("w"))
-            .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+            .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         )
         low = large.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("w"), "m")
         small = (
@@ -42,13 +42,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         now = checkpointed(small)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        del both, least, large, low, small
-        swept(now.sparkSession)
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
+    del both, least, large, low, small
+    swept(now.sparkSession)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
         now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     )
