@@ -263,8 +263,11 @@ def _folded(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with different texts, (__key, __text, head): all documents of texts that several rows have)."""
     same = df.groupBy("__text").agg(F.count("*").alias("rows"), F.min(_doc()).alias("head")).where("rows > 1")
     same = checkpointed(same.select(F.col("__text").alias("of"), F.col("head.__key").alias("head")))
-    inside = _within(df, same, "__text").join(same, F.col("__text") == F.col("of"))
-    heads = inside.where(F.col("__key").eqNullSafe(F.col("head"))).dropDuplicates(["__text"]).select(*df.columns)
+    # Of the copies, only rows whose hash of text and key falls to a head's move.
+    both = df.withColumn("__both", F.xxhash64("__text", "__key"))
+    likely = _within(_within(both, same, "__text"), same.select(F.xxhash64("of", "head").alias("of")), "__both")
+    heads = likely.join(same, (F.col("__text") == F.col("of")) & F.col("__key").eqNullSafe(F.col("head")), "left_semi")
+    heads = heads.dropDuplicates(["__text"]).select(*df.columns)
     near = same.select(F.pmod(F.col("of"), F.lit(NEAR_BUCKETS)).alias("__near")).distinct()
     outside = df.join(F.broadcast(near), F.pmod(F.col("__text"), F.lit(NEAR_BUCKETS)) == F.col("__near"), "left_anti")
     alone = _within(df, same, "__text").join(same, F.col("__text") == F.col("of"), "left_anti").select(*df.columns)
