@@ -454,7 +454,9 @@ def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", recall:
 
     fields = [T.StructField("set", T.BinaryType()), T.StructField("codes", T.BinaryType())]
     sets = map_texts(bodies, run, fields, [], "__body").dropDuplicates(["set"])
+    swept(df.sparkSession)
     links = checkpointed(verified(groups.drop("key", "text"), sets))
+    swept(df.sparkSession)
     counted = links.groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
     joined = components(links)
     per = (
