@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from assayer.functions.blocks import combined
 from assayer.functions.columns import missing, number, present, quoted, split_columns
+from assayer.functions.cutting import checkpointed
 from assayer.functions.gram import gram_by, unpack
 from assayer.functions.spreading import spread
 from assayer.operators.neighbors import distinct_points, nearest
@@ -408,7 +409,7 @@ def impute_knn(
     )
     if not targets:
         return Imputed(plain, {"columns": columns}, info)
-    donors = distinct_points(df, id_column, columns, k)
+    donors = checkpointed(distinct_points(spread(df.select(quoted(id_column), *map(quoted, columns)), at.rows), id_column, columns, k))
     lacking = reduce(lambda a, b: a | b, (F.isnan(F.get("point", F.lit(t))) for t in targets))
     receivers = donors.where(F.col("id") == F.col("rep")).where(lacking).select("id", "point")
     means = (
@@ -420,6 +421,7 @@ def impute_knn(
     points = receivers.join(means, receivers["id"] == means["rid"]).select(
         "point", *(f"_k{t}" for t in targets)
     )
+    points = checkpointed(points)  # the search is not made again by every reader of the result
     own = F.array(*(F.coalesce(quoted(c), F.lit(float("nan"))) for c in columns))
     gaps = reduce(lambda a, b: a | b, (quoted(columns[t]).isNull() for t in targets))
     # only rows with a gap are joined; the others are not shuffled

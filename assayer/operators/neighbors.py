@@ -36,6 +36,8 @@ SAMPLE_PER_LEAF = 8  # with MAX_LEAVES bounds the sample the driver holds
 BLOCK_DONORS = 4_096
 BLOCK_RECEIVERS = 2_048
 CELLS = 4_000_000  # receivers x leaves looked at in one piece
+GROUP = 256  # receivers whose leaves are chosen together
+CHOSEN = 20_000  # visits in one frame
 NEAR_LEAVES = 32
 
 
@@ -142,10 +144,8 @@ def distinct_points(df: DataFrame, id_column: str, coords: Sequence[str], keep:
 
 
 def leaf_count(n_donors: int, leaf_rows: int | None = None) -> int:
-    """Leaves of LEAF_ROWS, fewer where they would be more than about the square root of the rows: a receiver's work,
-    leaves looked at plus rows of a few leaves, is least when both grow alike."""
-    by_size = math.ceil(n_donors / (leaf_rows or LEAF_ROWS))
-    return max(1, min(by_size, math.ceil(2 * math.sqrt(n_donors)), MAX_LEAVES))
+    """Leaves of LEAF_ROWS. Receivers look at all boxes a piece at a time, so their number hardly adds to a receiver's work."""
+    return max(1, min(math.ceil(n_donors / (leaf_rows or LEAF_ROWS)), MAX_LEAVES))
 
 
 @dataclass(frozen=True)
@@ -184,43 +184,72 @@ class _Boxes:
             have == size[:, None],
         )
 
-    def bounds(self, points: np.ndarray) -> np.ndarray:
-        """Squared lower bound of the distance from each point to the rows of each leaf."""
+    def bounds(self, points: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Squared lower bound of the distance from each point to the rows of each leaf, or of the leaves ``at``.
+
+        Infinite where no row of the leaf has a coordinate that the point has.
+        """
+        at = slice(None) if at is None else at
+        low, high, always, have = self.low[at], self.high[at], self.always[at], self.have[at]
         width = points.shape[1]
         own = ~np.isnan(points)
-        out = np.zeros((len(points), len(self.size)))
+        out = np.zeros((len(points), len(low)))
         for d in range(width):
             x = np.nan_to_num(points[:, d])[:, None]
-            gap = np.maximum(np.maximum(self.low[None, :, d] - x, x - self.high[None, :, d]), 0.0)
+            gap = np.maximum(np.maximum(low[None, :, d] - x, x - high[None, :, d]), 0.0)
             gap *= gap
-            gap *= self.always[None, :, d]
+            gap *= always[None, :, d]
             gap *= own[:, d][:, None]
             out += gap
         # the scale of a distance is at least width / (coordinates the receiver has)
-        return out * (width / np.maximum(own.sum(axis=1), 1))[:, None]
+        out *= (width / np.maximum(own.sum(axis=1), 1))[:, None]
+        out[own.astype(float) @ (have > 0).T.astype(float) == 0] = np.inf
+        return out
+
+    def box_bounds(self, points: np.ndarray) -> np.ndarray:
+        """A lower bound of ``bounds`` for all of ``points``, which lack the same coordinates: a number a leaf."""
+        own = np.flatnonzero(~np.isnan(points[0]))
+        low, high = points[:, own].min(axis=0), points[:, own].max(axis=0)
+        gap = np.maximum(np.maximum(self.low[:, own] - high, low - self.high[:, own]), 0.0) * self.always[:, own]
+        out = (gap * gap).sum(axis=1) * (points.shape[1] / max(len(own), 1))
+        out[~(self.have[:, own] > 0).any(axis=1)] = np.inf
+        return out
+
 
-    def pieces(self, n: int):
-        step = max(1, CELLS // max(len(self.size), 1))
-        return (slice(i, min(i + step, n)) for i in range(0, n, step))
+def _pieces(places: np.ndarray, block: np.ndarray, apart: np.ndarray | None = None):
+    """Row numbers of points that lie in the same leaf of the tree and lack the same coordinates, at most GROUP at a time.
+
+    They share most of the leaves that matter to them, so all leaves are looked at once for a piece. ``apart`` is a
+    further flag that a piece does not mix.
+    """
+    keys = [places, *np.isnan(block).T, *([] if apart is None else [apart])]
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), dtype=bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    for rows in np.split(order, np.flatnonzero(new)):
+        yield from (rows[i : i + GROUP] for i in range(0, len(rows), GROUP))
 
 
 def _first_leaves(near: np.ndarray, usable: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf position) of the nearest leaves up to the one that completes k usable donors."""
     total = min(near.shape[1], NEAR_LEAVES)
-    while True:
-        if total < near.shape[1]:
-            part = np.argpartition(near, total - 1, axis=1)[:, :total]
+    left, found = np.arange(len(near)), []
+    while len(left):
+        here = near[left]
+        if total < here.shape[1]:
+            part = np.argpartition(here, total - 1, axis=1)[:, :total]
         else:
-            part = np.tile(np.arange(near.shape[1]), (len(near), 1))
-        inner = np.argsort(np.take_along_axis(near, part, axis=1), axis=1, kind="stable")
+            part = np.tile(np.arange(here.shape[1]), (len(here), 1))
+        inner = np.argsort(np.take_along_axis(here, part, axis=1), axis=1, kind="stable")
         order = np.take_along_axis(part, inner, axis=1)
-        count = usable[order]
+        count = np.where(np.isfinite(np.take_along_axis(here, order, axis=1)), usable[order], 0)
         got = np.cumsum(count, axis=1)
-        if total == near.shape[1] or (got[:, -1] >= k).all():
-            take = (got - count < k) & (count > 0)
-            r, c = np.nonzero(take)
-            return r, order[r, c]
-        total = min(near.shape[1], total * 8)
+        done = (got[:, -1] >= k) | (total == here.shape[1])
+        r, c = np.nonzero((got - count < k) & (count > 0) & done[:, None])
+        found.append((left[r], order[r, c]))
+        left, total = left[~done], min(near.shape[1], total * 8)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
 
 
 def nearest(
@@ -300,47 +329,76 @@ def nearest(
 
     visit_schema = f"rid {id_sql}, target int, point array<double>, leaf int, bound double"
 
-    def visits_frame(ids, target, points, at, bound):
-        return pd.DataFrame(
-            {"rid": ids, "target": np.asarray(target, dtype=np.int32), "point": points,
-             "leaf": boxes.label[at], "bound": bound}
-        )
+    def framed(choose):
+        """Frames of the visits that ``choose`` yields piece by piece, some CHOSEN rows in one."""
+
+        def frame(parts):
+            ids, target, points, at, bound = (np.concatenate(x) for x in zip(*parts))
+            return pd.DataFrame(
+                {"rid": ids, "target": target.astype(np.int32), "point": points, "leaf": boxes.label[at], "bound": bound}
+            )
+
+        def run(batches):
+            parts, held = [], 0
+            for part in choose(batches):
+                parts.append(part)
+                held += len(part[0])
+                if held >= CHOSEN:
+                    yield frame(parts)
+                    parts, held = [], 0
+            if parts:
+                yield frame(parts)
+
+        return run
 
     def first_visits(batches):
         for batch in batches:
             points, ids = batch["point"].to_numpy(), batch["id"].to_numpy()
             block = _matrix(batch["point"], width)
-            for piece in boxes.pieces(len(batch)):
-                near = boxes.bounds(block[piece])
+            for piece in _pieces(batch["place"].to_numpy(), block):
+                far = boxes.box_bounds(block[piece])
+                reach = np.flatnonzero(np.isfinite(far))
                 for t in (-1,) if targets is None else targets:
-                    rows = np.arange(len(near)) if t < 0 else np.flatnonzero(np.isnan(block[piece, t]))
-                    if not len(rows):
+                    if t >= 0 and not np.isnan(block[piece[0], t]):
                         continue
                     usable = boxes.size if t < 0 else boxes.have[:, t]
-                    r, at = _first_leaves(near[rows], usable, k)
-                    r = rows[r] + piece.start
-                    yield visits_frame(ids[r], np.full(len(r), t), points[r], at, np.full(len(r), np.inf))
+                    # any leaves give a bound: those nearest to the piece that hold enough of its donors many times over
+                    asked = reach[usable[reach] > 0]
+                    if len(asked) > NEAR_LEAVES:
+                        asked = asked[np.argsort(far[asked], kind="stable")]
+                        enough = int(np.searchsorted(np.cumsum(usable[asked]), 4 * k)) + 1
+                        asked = asked[: max(NEAR_LEAVES, enough)]
+                    if not len(asked):
+                        continue
+                    r, at = _first_leaves(boxes.bounds(block[piece], asked), usable[asked], k)
+                    r = piece[r]
+                    yield ids[r], np.full(len(r), t), points[r], asked[at], np.full(len(r), np.inf)
 
     def second_visits(batches):
         for batch in batches:
             points, ids = batch["point"].to_numpy(), batch["rid"].to_numpy()
             block = _matrix(batch["point"], width)
-            limit = batch["bound"].to_numpy(dtype=float) ** 2
-            limit = limit * (1 + 1e-9) + 1e-300  # room for rounding, never excludes a tie
+            bound = batch["bound"].to_numpy(dtype=float)
+            limit = bound**2 * (1 + 1e-9) + 1e-300  # room for rounding, never excludes a tie
             target = batch["target"].to_numpy()
             seen = batch["seen"].to_numpy()
-            for piece in boxes.pieces(len(batch)):
-                near = boxes.bounds(block[piece])
-                t = target[piece]
-                open_ = near <= limit[piece][:, None]
-                if targets is not None:
-                    open_ &= boxes.have.T[t] > 0
-                for i, leaves_seen in enumerate(seen[piece]):
-                    open_[i, np.searchsorted(boxes.label, leaves_seen)] = False
-                r, at = np.nonzero(open_)
-                yield visits_frame(
-                    ids[piece][r], t[r], points[piece][r], at, batch["bound"].to_numpy(dtype=float)[piece][r]
-                )
+            for piece in _pieces(batch["place"].to_numpy(), block, np.isinf(limit)):
+                far = boxes.box_bounds(block[piece])
+                asked = np.flatnonzero(np.isfinite(far) & (far <= limit[piece].max() * (1 + 1e-9)))
+                known = np.searchsorted(boxes.label, np.concatenate(seen[piece]))
+                who = np.repeat(np.arange(len(piece)), [len(x) for x in seen[piece]])
+                for step in range(0, len(asked), max(1, CELLS // len(piece))):
+                    some = asked[step : step + max(1, CELLS // len(piece))]
+                    near = boxes.bounds(block[piece], some)
+                    t = target[piece]
+                    open_ = (near <= limit[piece][:, None]) & np.isfinite(near)
+                    if targets is not None:
+                        open_ &= boxes.have.T[t][:, some] > 0
+                    was = np.searchsorted(some, known)
+                    again = some[np.minimum(was, len(some) - 1)] == known
+                    open_[who[again], was[again]] = False
+                    r, at = np.nonzero(open_)
+                    yield ids[piece][r], t[r], points[piece][r], some[at], bound[piece][r]
 
     chunks = np.maximum(1, np.ceil(boxes.size / BLOCK_DONORS)).astype(int)
 
@@ -355,8 +413,12 @@ def nearest(
         plan = F.broadcast(plan)  # one row per leaf
         return meet(visits.join(plan, "leaf"), placed.join(plan, "leaf"), int(np.dot(chunks, copies)))
 
-    receivers = receivers.repartition(tasks, "id")
-    first = checkpointed(planned(receivers.mapInPandas(first_visits, visit_schema)))
+    def gathered(rows: DataFrame) -> DataFrame:
+        """Points of the same leaf of the tree side by side."""
+        return rows.withColumn("place", leaf_of("point")).repartition(tasks, "place").sortWithinPartitions("place")
+
+    receivers = gathered(receivers)
+    first = checkpointed(planned(receivers.mapInPandas(framed(first_visits), visit_schema)))
     ranked = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # a search has at least one first visit, and few of them
     bounds = ranked.groupBy("rid", "target").agg(
@@ -364,8 +426,8 @@ def nearest(
         F.first("point").alias("point"),
     )
     visited = first.groupBy("rid", "target").agg(F.collect_set("leaf").alias("seen"))
-    searches = bounds.join(visited, ["rid", "target"]).repartition(tasks, "rid")
-    both = first.unionByName(planned(searches.mapInPandas(second_visits, visit_schema)))
+    searches = gathered(bounds.join(visited, ["rid", "target"]))
+    both = first.unionByName(planned(searches.mapInPandas(framed(second_visits), visit_schema)))
     ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.where("did IS NOT NULL").drop("point", "leaf")
 

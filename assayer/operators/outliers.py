@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from assayer.functions.columns import missing, number, numeric_columns
+from assayer.functions.columns import missing, number, numeric_columns, quoted
 from assayer.functions.cutting import checkpointed
 from assayer.functions.quantiles import exact_quantiles
 from assayer.functions.spreading import spread
@@ -243,7 +243,7 @@ def lof_scores(
     k = min(k, n - 1)
     if k < 1:
         raise ValueError("the local outlier factor needs at least two rows")
-    donors = distinct_points(df, id_column, columns, k + 1)
+    donors = checkpointed(distinct_points(spread(df.select(quoted(id_column), *map(quoted, columns)), n), id_column, columns, k + 1))
     receivers = donors.where(F.col("id") == F.col("rep")).select("id", "point")
     # the point itself has the smallest id at distance zero: rank 1
     pairs = checkpointed(

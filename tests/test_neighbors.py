@@ -78,3 +78,19 @@ def test_blocks_split_on_both_sides(spark, monkeypatch):
 
 def test_fewer_donors_than_k(spark):
     check(spark, np.array([[0.0], [1.0], [5.0]]), 10, 10)
+
+
+def test_a_leaf_that_shares_no_coordinate_is_not_visited():
+    from assayer.operators.neighbors import _Boxes, _first_leaves
+
+    have = np.array([[0.0, 9.0], [9.0, 7.0], [9.0, 9.0]])
+    boxes = _Boxes(
+        np.arange(3, dtype=np.int32), np.full(3, 9.0), np.array([[0.0, 0.0], [4.0, 0.0], [7.0, 0.0]]),
+        np.array([[0.0, 9.0], [6.0, 9.0], [8.0, 9.0]]), have, have == 9,
+    )
+    points = np.array([[5.0, np.nan], [9.0, np.nan]])
+    near = boxes.bounds(points)
+    assert np.isinf(near[:, 0]).all() and np.isfinite(near[:, 1:]).all()
+    assert (boxes.box_bounds(points) <= near.min(axis=0)).all()
+    row, leaf = _first_leaves(near, have[:, 1], 5)
+    assert list(zip(row.tolist(), leaf.tolist())) == [(0, 1), (1, 2)]
