@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from assayer.functions.spreading import spread
 from assayer.settings import ClaimSettings
 
 # Fixed value: one fenced block around the whole text, with an optional json tag.
@@ -53,6 +54,8 @@ def parse_drafts(drafts: DataFrame, response: str = "response") -> DataFrame:
 
     A response is taken whole or not at all: one bad element rejects it, and the error says why.
     """
+    if not drafts.isStreaming:
+        drafts = spread(drafts, drafts.count())  # parsing is heavy row work, and short texts come in few splits
     text = F.trim(F.regexp_replace(F.col(response), r"^\s+|\s+$", ""))
     inner = F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text)
     # each stage is a column of its own, so that the text is parsed once per form
@@ -106,9 +109,9 @@ def _as_number(text: Column) -> Column:
 
 def drafted_claims(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """One row per claim with its position; rejected responses have none."""
-    return parsed.select(*keep, F.posexplode("claims").alias("position", "_c")).select(
-        *keep, "position", "_c.*"
-    )
+    # the outer form, since the inner one has the optimizer infer a filter on the claims, which parses every response again
+    listed = parsed.select(*keep, F.posexplode_outer("claims").alias("position", "_c")).where("position IS NOT NULL")
+    return listed.select(*keep, "position", "_c.*")
 
 
 def last_by_name(stats: DataFrame, order: str) -> DataFrame:

@@ -286,3 +286,13 @@ def test_labels_of_any_number_are_coded_in_order(spark):
         assert r["v"].size == n - 1 and r["v"].indices.tolist() == ([n - 1 - level] if level else [])
     one = tables.one_hot_vector(spark.createDataFrame([("a",), (None,)], "y string"), "y", "v").collect()
     assert [r["v"].toArray().tolist() for r in one] == [[0.0], [0.0]]
+
+
+def test_drafts_of_one_split_are_parsed_once_in_many_tasks(spark, capsys):
+    claim = F.lit('[{"metric_name":"m","stated_value":1,"statement":"s"}]')
+    drafts = spark.range(0, 20_000, 1, 1).select("id", F.when(F.col("id") % 2 == 0, claim).otherwise("[]").alias("response"))
+    rows = claims.drafted_claims(claims.parse_drafts(drafts), ["id"])
+    rows.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "RoundRobinPartitioning" in plan and plan.count("parseJson") <= 2
+    assert rows.count() == 10_000
