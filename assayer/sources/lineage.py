@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayer.functions.hashing import run_key
+from assayer.functions.hashing import PREFIX, run_key
 
 # The tables and their columns.
 TABLES = {
@@ -197,20 +197,51 @@ def episode_rows(
     )
 
 
+def _packed(text: Column) -> Column:
+    """The text as bytes that ``_unpacked`` turns back: a mark, then the bytes that lower-case hexadecimal digits stand for.
+
+    Hashes and ids take half the room in a shuffle. Any other text follows its mark as it is.
+    """
+    plain = F.concat(F.lit(b"\x00"), text.cast("binary"))
+    rest = F.substring(text, len(PREFIX) + 1, 64)
+
+    def digits(part: Column) -> Column:
+        return F.coalesce(F.lower(F.hex(F.unhex(part))) == part, F.lit(False))
+
+    return (
+        F.when((F.length(text) == len(PREFIX) + 64) & text.startswith(PREFIX) & digits(rest), F.concat(F.lit(b"\x02"), F.unhex(rest)))
+        .when(F.length(text).isin(32, 64) & digits(text), F.concat(F.lit(b"\x01"), F.unhex(text)))
+        .otherwise(plain)
+    )
+
+
+def _unpacked(data: Column) -> Column:
+    mark, rest = F.hex(F.substring(data, 1, 1)), F.substring(data, 2, 2**31 - 1)
+    digits = F.lower(F.hex(rest))
+    return (
+        F.when(mark == "02", F.concat(F.lit(PREFIX), digits)).when(mark == "01", digits).otherwise(rest.cast("string"))
+    )
+
+
 def replay(runs: DataFrame, steps: DataFrame) -> DataFrame:
     """One row per run and step in recorded order; a run without steps keeps one row."""
-    s = steps.select(
-        F.col("run_id").alias("_run"), F.col("id").alias("step_id"), "step_seq", "step_type",
-        "input_hash", "output_hash", "params_json", "seed",
-    )
     head = ["dataset_id", "git_sha", "config_hash", "run_key"]
     tail = ["step_id", "step_seq", "step_type", "input_hash", "output_hash", "params_json", "seed"]
-    named = runs.withColumnRenamed("id", "run_id").select("run_id", *head)
+    hashes = ["config_hash", "run_key", "step_id", "input_hash", "output_hash"]
+
+    def moved(names: Sequence[str]) -> list[Column]:
+        return [(_packed(F.col(c)) if c in hashes else F.col(c)).alias(c) for c in names]
+
+    s = steps.withColumn("step_id", F.col("id")).select(F.col("run_id").alias("_run"), *moved(tail))
+    named = runs.withColumnRenamed("id", "run_id").select("run_id", *moved(head))
     # an inner join, which can be split when one run holds a large share of the steps; the runs
     # without steps are few rows of their own
-    done = named.join(s, F.col("run_id") == F.col("_run")).select("run_id", *head, *tail)
-    idle = named.join(s.select("_run").distinct(), F.col("run_id") == F.col("_run"), "left_anti")
-    return done.unionByName(idle, allowMissingColumns=True)
+    known = named.where("run_id IS NOT NULL")  # the same on both sides, so that the runs are shuffled once
+    done = known.join(s, F.col("run_id") == F.col("_run")).select("run_id", *head, *tail)
+    idle = known.join(s.select("_run").distinct(), F.col("run_id") == F.col("_run"), "left_anti")
+    idle = idle.unionByName(named.where("run_id IS NULL"))
+    both = done.unionByName(idle, allowMissingColumns=True)
+    return both.select("run_id", *((_unpacked(F.col(c)) if c in hashes else F.col(c)).alias(c) for c in [*head, *tail]))
 
 
 # ---- the store

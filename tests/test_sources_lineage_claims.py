@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.functions.hashing import sha_text
 from assayer.operators import claims
 from assayer.plans.flagship import prepare
 from assayer.settings import ClaimSettings, Settings
@@ -296,3 +297,13 @@ def test_drafts_of_one_split_are_parsed_once_in_many_tasks(spark, capsys):
     plan = capsys.readouterr().out
     assert "RoundRobinPartitioning" in plan and plan.count("parseJson") <= 2
     assert rows.count() == 10_000
+
+
+def test_packed_hashes_come_back_as_they_were(spark):
+    digest = sha_text("x")
+    texts = [digest, digest[7:], digest.upper(), digest[:-1], digest + "\n", "0g", "abc", "", "é\u0000", "00", "sha256:", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", lineage._packed(F.col("t")).alias("p")).select("t", lineage._unpacked(F.col("p")).alias("u"), F.length("p").alias("n"))
+    got = rows.collect()
+    assert [r["u"] for r in got] == texts
+    assert got[0]["n"] == 33 and got[1]["n"] == 33 and got[-1]["n"] is None
