@@ -3,44 +3,48 @@
 A large star links every larger neighbour of a node to the node's smallest one; a small star links smaller ones to
 it. Both keep the components and make every tree a star after few rounds. A round is two grouped minima, which
 combine before their shuffle, and two joins, whose busy sides the runtime can split, so a hub needs no task of its
-own; each round is checkpointed, so no lineage grows and a lost executor repeats one round at most.
+own; each round is checkpointed, so no lineage grows and a lost executor repeats one round at most. Edges lie in partitions
+that follow their number, so a round over few of them shuffles nothing.
 
 Loops and repeated edges are ignored; null ends are dropped; without edges the result is empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from assayer.functions.cutting import checkpointed, swept
+from assayer.functions.cutting import narrowed, swept, together
 
 MAX_ROUNDS = 100
 
 
+def _pair(x: str, y: str, first: str, second: str) -> Column:
+    return F.struct(F.col(x).alias(first), F.col(y).alias(second))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of an edge with the smallest node of its component."""
     x, y = F.col(a), F.col(b)
-    now = checkpointed(
+    now = narrowed(
         edges.where(x.isNotNull() & y.isNotNull() & (x != y))
         .select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct()
     )
     mark = None
     for _ in range(MAX_ROUNDS):
-        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
+        both = now.select(F.inline(F.array(_pair("hi", "lo", "u", "v"), _pair("lo", "hi", "u", "v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(
             F.col("u").alias("w"), F.least("u", "m").alias("m")
         )
-        large = (
+        large = together(
             both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("w"))
-            .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+            .select(F.col("v").alias("hi"), F.col("m").alias("lo")), now
         )
         low = large.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("w"), "m")
-        small = (
-            large.join(low, F.col("hi") == F.col("w")).where(F.col("lo") != F.col("m"))
-            .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-            .union(low.select(F.col("w").alias("hi"), F.col("m").alias("lo"))).distinct()
+        small = together(
+            large.join(low, F.col("hi") == F.col("w"))
+            .select(F.inline(F.array(_pair("lo", "m", "hi", "lo"), _pair("hi", "m", "hi", "lo")))).where("hi != lo"), now
         )
-        now = checkpointed(small)
+        now = narrowed(small.distinct())
         swept(now.sparkSession)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
@@ -48,8 +52,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = tuple(seen)
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
-    del both, least, large, low, small
-    swept(now.sparkSession)
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
-        now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    )
+    named = now.select(F.inline(F.array(_pair("hi", "lo", "node", "component"), _pair("lo", "lo", "node", "component"))))
+    named = narrowed(named.distinct())
+    del both, least, large, low, small, now
+    swept(named.sparkSession)
+    return named

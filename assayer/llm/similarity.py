@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayer.functions.columns import quoted
-from assayer.functions.cutting import checkpointed, swept
+from assayer.functions.cutting import checkpointed, narrowed, swept, together
 from assayer.llm.common import coded_words, map_texts, query, shingles, stirred, table
 from assayer.llm.components import components
 
@@ -233,11 +233,11 @@ def _match_heads(members: DataFrame) -> DataFrame:
 
 def _grouped_with(edges: DataFrame, grouped: DataFrame | None) -> DataFrame | None:
     """``grouped`` (node, component) after ``edges`` have joined groups; as it is if there are none."""
-    edges = checkpointed(edges.distinct())
+    edges = narrowed(edges.distinct())
     if edges.isEmpty():
         return grouped
     if grouped is not None:
-        edges = edges.union(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        edges = together(edges.union(grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))), edges, grouped)
     return components(edges)
 
 
@@ -266,14 +266,18 @@ def _follow(classes: DataFrame, runs: Sequence[int], grouped: DataFrame | None)
     Groups are joined after the first level, where most pairs meet, and at the end; in between, nodes are judged by the groups
     known so far.
     """
-    frontier = checkpointed(_paths(_labelled(classes.select("set", "values"), grouped), FIRST_DEPTH, runs))
+    frontier = narrowed(_paths(_labelled(classes.select("set", "values"), grouped), FIRST_DEPTH, runs))
     later: list[DataFrame] = []
     for depth in range(FIRST_DEPTH, LAST + 1):
         sizes = frontier.groupBy("node").agg(
             F.count("*").alias("n"), F.min("set").alias("first"), F.min("group").alias("low"), F.max("group").alias("high")
         ).where("n > 1 and low != high").select(F.col("node").alias("at"), "n", "first")
-        found = checkpointed(frontier.join(sizes, F.col("node") == F.col("at")).select("set", "node", "n", "first"))
-        met = checkpointed(_with_values(found, classes))
+        found = narrowed(frontier.join(sizes, F.col("node") == F.col("at")).select("set", "node", "n", "first"))
+        # Files of tables that are no longer needed go before the next ones are written.
+        del frontier, sizes
+        swept(classes.sparkSession)
+        met = narrowed(_with_values(found, classes))
+        del found
         buckets = met.where(F.col("n") <= BUCKET).groupBy("node").agg(
             F.collect_list(F.struct("set", "values")).alias("members")
         )
@@ -283,16 +287,18 @@ def _follow(classes: DataFrame, runs: Sequence[int], grouped: DataFrame | None)
             .groupBy(F.col("node").alias("at")).agg(F.collect_list("head").alias("heads"))
         )
         members = large.join(heads, F.col("node") == F.col("at")).select("set", "values", "heads")
-        edges = _compare_buckets(buckets.select("members")).union(_match_heads(members))
+        edges = together(_compare_buckets(buckets.select("members")).union(_match_heads(members)), met)
         if depth == FIRST_DEPTH:
             grouped = _grouped_with(edges, grouped)
         else:
-            later.append(checkpointed(edges.distinct()))
+            later.append(narrowed(edges.distinct()))
+        del met, buckets, heads, members, edges
         if large.isEmpty():
             break
         swept(classes.sparkSession)
         # A large node whose classes all lie in one group needs no splitting: its pairs will be compared exactly.
-        label = checkpointed(_labelled(large.select("set", "values", "node", "first"), grouped))
+        label = narrowed(_labelled(large.select("set", "values", "node", "first"), grouped))
+        del large
         mixed = label.groupBy("node").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select(
             F.col("node").alias("at")
         )
@@ -300,7 +306,8 @@ def _follow(classes: DataFrame, runs: Sequence[int], grouped: DataFrame | None)
         if depth == LAST:
             later.append(rest.where(F.col("set") != F.col("first")).select(F.col("set").alias("a"), F.col("first").alias("b")))
             break
-        frontier = checkpointed(_paths(rest.select("set", "group", "values", "node"), 1, None))
+        frontier = narrowed(_paths(rest.select("set", "group", "values", "node"), 1, None))
+        del label, mixed, rest
         if frontier.isEmpty():
             break
     if later:
@@ -429,14 +436,14 @@ def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", recall:
     texts = sketched.where("__set is not null").groupBy("__set", "__text").agg(
         F.min("__key").alias("key"), F.min("__size").alias("size"), F.min("__values").alias("values")
     )
-    classes = checkpointed(
+    classes = narrowed(
         texts.groupBy(F.col("__set").alias("set")).agg(
             F.count("*").alias("texts"), F.min(F.struct(F.col("key").isNull().alias("no"), "key", "__text")).alias("first"),
             F.min("size").alias("size"), F.min("values").alias("values"),
         ).select("set", "texts", "size", "values", F.col("first.key").alias("key"), F.col("first.__text").alias("text"))
     )
     grouped = candidate_groups(classes, recall)
-    groups = checkpointed(
+    groups = narrowed(
         grouped.join(classes.drop("values"), F.col("node") == F.col("set"))
         .select("set", F.col("component").alias("group"), "size", "texts", "key", "text")
     )
@@ -455,7 +462,7 @@ def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", recall:
     fields = [T.StructField("set", T.BinaryType()), T.StructField("codes", T.BinaryType())]
     sets = map_texts(bodies, run, fields, [], "__body").dropDuplicates(["set"])
     swept(df.sparkSession)
-    links = checkpointed(verified(groups.drop("key", "text"), sets))
+    links = narrowed(verified(groups.drop("key", "text"), sets))
     swept(df.sparkSession)
     counted = links.groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
     joined = components(links)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from assayer.functions import cutting
 from assayer.llm import decontamination, mixing, passages, quality, similarity
 from assayer.llm.common import coded_words, words_of
 from assayer.llm.components import components
@@ -31,6 +32,20 @@ def edited(rng, text, n):
 # Components
 
 
+def test_few_rows_are_kept_in_one_partition(spark, monkeypatch):
+    pairs = [(i + 1, i) for i in range(0, 400) if i % 20]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    found = components(edges)
+    assert found.rdd.getNumPartitions() == 1
+    assert "Exchange" not in found.groupBy("component").count()._jdf.queryExecution().toString()
+    want = {x: x - (x - 1) % 20 for pair in pairs for x in pair}
+    assert {r["node"]: r["component"] for r in found.collect()} == want
+    monkeypatch.setattr(cutting, "TASK_ROWS", 100)
+    wide = cutting.narrowed(edges)
+    assert 1 < wide.rdd.getNumPartitions() <= 7 and sorted(map(tuple, wide.collect())) == sorted(pairs)
+    assert {r["node"]: r["component"] for r in components(edges).collect()} == want
+
+
 def test_components_of_random_edges(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, k) for k in range(1001, 1200)]
