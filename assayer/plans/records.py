@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -130,8 +131,7 @@ def current_run_status(spark, sf):
     return lineage.current_status(events)
 
 
-def line_steps(spark, sf) -> DataFrame:
-    line = table(spark, sf, "lineitem")
+def line_steps(line: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return line.select(
         F.col("l_orderkey").cast("string").alias("run_id"),
         F.col("l_linenumber").alias("step_seq"),
@@ -142,6 +142,7 @@ def line_steps(spark, sf) -> DataFrame:
         F.col("l_suppkey").alias("seed"),
         hashing.sha_column(F.col("l_linestatus")).alias("transform_code_hash"),
         F.concat(F.lit("line "), "l_linenumber").alias("description"),
+        *keep,
     )
 
 
@@ -156,7 +157,7 @@ _OUT = f"CASE WHEN l_returnflag <> 'N' THEN {sha('l_suppkey::VARCHAR')} END"
     {sha('l_partkey::VARCHAR')} AS input_hash, {_OUT} AS output_hash, '{{"part":' || l_partkey || '}}' AS params_json, l_suppkey AS seed FROM lineitem""",
 )
 def record_run_step(spark, sf):
-    return lineage.step_rows(line_steps(spark, sf))["pipeline_steps"].drop("created_at")
+    return lineage.step_rows(line_steps(table(spark, sf, "lineitem")))["pipeline_steps"].drop("created_at")
 
 
 @query(
@@ -165,7 +166,7 @@ def record_run_step(spark, sf):
     'line ' || l_linenumber AS description FROM lineitem""",
 )
 def record_transformation(spark, sf):
-    return lineage.step_rows(line_steps(spark, sf))["transformations"]
+    return lineage.step_rows(line_steps(table(spark, sf, "lineitem")))["transformations"]
 
 
 @query(
@@ -253,15 +254,23 @@ def record_episode(spark, sf):
     ),
 )
 def replay_run(spark, sf):
-    orders = table(spark, sf, "orders")
-    content = hashing.sha_column(F.concat_ws("|", F.lit("customer"), F.col("o_custkey").cast("string")))
-    config = hashing.sha_column(F.concat_ws("|", F.lit("priority"), "o_orderpriority"))
-    runs = orders.select(
-        F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("dataset_id"),
-        F.col("o_orderstatus").alias("git_sha"), config.alias("config_hash"),
-        hashing.run_key(content, config, F.col("o_orderstatus")).alias("run_key"),
-    )
-    return lineage.replay(runs, lineage.step_rows(line_steps(spark, sf))["pipeline_steps"])
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey", "l_linestatus")
+
+    def run_of(df: DataFrame) -> DataFrame:
+        content = hashing.sha_column(F.concat_ws("|", F.lit("customer"), F.col("o_custkey").cast("string")))
+        config = hashing.sha_column(F.concat_ws("|", F.lit("priority"), "o_orderpriority"))
+        return df.withColumns({
+            "run_id": F.col("o_orderkey").cast("string"), "dataset_id": F.col("o_custkey").cast("string"),
+            "git_sha": F.col("o_orderstatus"), "config_hash": config,
+            "run_key": hashing.run_key(content, config, F.col("o_orderstatus")),
+        })
+
+    def step_of(df: DataFrame) -> DataFrame:
+        rows = lineage.step_rows(line_steps(df, orders.columns), keep=orders.columns)["pipeline_steps"]
+        return rows.withColumnRenamed("id", "step_id")
+
+    return lineage.replay(orders, lines, ("o_orderkey", "l_orderkey"), run_of, step_of)
 
 
 @query(

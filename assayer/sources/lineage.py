@@ -8,7 +8,7 @@ without a transaction log this expects one writer per table.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -138,18 +138,18 @@ def current_status(events: DataFrame, by: str = "run_id") -> DataFrame:
     return events.groupBy(by).agg(last.alias("_l")).select(by, "_l.status", "_l.updated_at")
 
 
-def step_rows(steps: DataFrame, event: str = "") -> dict[str, DataFrame]:
+def step_rows(steps: DataFrame, event: str = "", keep: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Step and transformation rows sharing the step id.
 
     From (run_id, step_seq, step_type, input_hash, output_hash, params_json, seed,
-    transform_code_hash, description).
+    transform_code_hash, description). Step rows also get the columns to ``keep``.
     """
     step_id = keyed_id(F.lit("step"), F.col("run_id"), F.col("step_seq"), F.col("step_type"), event=event)
     named = steps.withColumn("id", step_id)
     return {
         "pipeline_steps": named.select(
             "id", "run_id", "step_seq", "step_type", "input_hash", "output_hash", "params_json",
-            "seed", F.current_timestamp().alias("created_at"),
+            "seed", F.current_timestamp().alias("created_at"), *keep,
         ),
         "transformations": named.select(
             keyed_id(F.lit("transformation"), F.col("id")).alias("id"),
@@ -223,25 +223,41 @@ def _unpacked(data: Column) -> Column:
     )
 
 
-def replay(runs: DataFrame, steps: DataFrame) -> DataFrame:
-    """One row per run and step in recorded order; a run without steps keeps one row."""
-    head = ["dataset_id", "git_sha", "config_hash", "run_key"]
-    tail = ["step_id", "step_seq", "step_type", "input_hash", "output_hash", "params_json", "seed"]
-    hashes = ["config_hash", "run_key", "step_id", "input_hash", "output_hash"]
+RUN = ("dataset_id", "git_sha", "config_hash", "run_key")
+STEP = ("step_id", "step_seq", "step_type", "input_hash", "output_hash", "params_json", "seed")
 
-    def moved(names: Sequence[str]) -> list[Column]:
-        return [(_packed(F.col(c)) if c in hashes else F.col(c)).alias(c) for c in names]
 
-    s = steps.withColumn("step_id", F.col("id")).select(F.col("run_id").alias("_run"), *moved(tail))
-    named = runs.withColumnRenamed("id", "run_id").select("run_id", *moved(head))
+def replay(
+    runs: DataFrame, steps: DataFrame, keys: tuple[str, str] | None = None,
+    run_of: Callable[[DataFrame], DataFrame] | None = None, step_of: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """One row per run and step in recorded order; a run without steps keeps one row.
+
+    Without ``keys`` both are recorded rows. With them the rows still lack their columns, which ``run_of`` (run_id, RUN) and
+    ``step_of`` (STEP) add to the rows of both sides joined: a hash takes more room in a shuffle than what it is made of.
+    ``keys`` name a column of either side; these are equal just when the run ids are. All other names differ.
+    """
+    if keys is None:
+        hashes = ["config_hash", "run_key", "step_id", "input_hash", "output_hash"]
+
+        def moved(names: Sequence[str]) -> list[Column]:
+            return [(_packed(F.col(c)) if c in hashes else F.col(c)).alias(c) for c in names]
+
+        def unpacking(names: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+            return lambda df: df.withColumns({c: _unpacked(F.col(c)) for c in names if c in hashes})
+
+        runs = runs.withColumnRenamed("id", "run_id").select("run_id", *moved(RUN))
+        steps = steps.withColumn("step_id", F.col("id")).select(F.col("run_id").alias("_run"), *moved(STEP))
+        keys, run_of, step_of = ("run_id", "_run"), unpacking(RUN), unpacking(STEP)
+    mine, theirs = map(F.col, keys)
     # an inner join, which can be split when one run holds a large share of the steps; the runs
     # without steps are few rows of their own
-    known = named.where("run_id IS NOT NULL")  # the same on both sides, so that the runs are shuffled once
-    done = known.join(s, F.col("run_id") == F.col("_run")).select("run_id", *head, *tail)
-    idle = known.join(s.select("_run").distinct(), F.col("run_id") == F.col("_run"), "left_anti")
-    idle = idle.unionByName(named.where("run_id IS NULL"))
-    both = done.unionByName(idle, allowMissingColumns=True)
-    return both.select("run_id", *((_unpacked(F.col(c)) if c in hashes else F.col(c)).alias(c) for c in [*head, *tail]))
+    known = runs.where(mine.isNotNull())  # the same on both sides, so that the runs are shuffled once
+    done = step_of(known.join(steps, mine == theirs))
+    idle = known.join(steps.select(theirs).distinct(), mine == theirs, "left_anti")
+    idle = idle.unionByName(runs.where(mine.isNull()))
+    rows = run_of(done).select("run_id", *RUN, *STEP)
+    return rows.unionByName(run_of(idle).select("run_id", *RUN), allowMissingColumns=True)
 
 
 # ---- the store

@@ -1,10 +1,13 @@
+import hashlib
+import itertools
 import json
 
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
+from assayer import plans
 from assayer.functions.hashing import sha_text
 from assayer.operators import claims
 from assayer.plans.flagship import prepare
@@ -307,3 +310,41 @@ def test_packed_hashes_come_back_as_they_were(spark):
     got = rows.collect()
     assert [r["u"] for r in got] == texts
     assert got[0]["n"] == 33 and got[1]["n"] == 33 and got[-1]["n"] is None
+
+
+def test_replay_makes_hashes_after_its_shuffle(spark, tmp_path):
+    orders = [(1, 10, "F", "1-URGENT"), (2, 10, None, "5-LOW"), (2, 11, "O", None), (3, 12, "P", "5-LOW"), (None, 13, "O", "5-LOW")]
+    lines = [(1, 7, 70, 1, "N", "O"), (1, 7, 70, 1, "N", "O"), (1, None, 71, 2, "A", "F"), (2, 8, None, 1, None, None), (9, 8, 72, 1, "R", "F"), (None, 8, 73, 1, "R", "F")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = plans.QUERIES["replay_run"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [i for i, x in enumerate(plan) if "Join " in x]
+    assert len(joins) == 2 and any("sha2(" in x for x in plan)
+    for i in joins:  # what a join reads stands below it, further in
+        depth = len(plan[i]) - len(plan[i].lstrip(" :+-"))
+        below = itertools.takewhile(lambda x: len(x) - len(x.lstrip(" :+-")) > depth, plan[i + 1 :])
+        assert not any("sha2(" in x for x in below)
+
+    def text(*parts):
+        return "|".join(str(p) for p in parts if p is not None)
+
+    def sha(x):
+        return sha_text(x) if x is not None else None
+
+    want = []
+    for key, customer, status, priority in orders:
+        config, run = sha(text("priority", priority)), str(key) if key is not None else None
+        head = (run, str(customer), status, config, sha(text(sha(text("customer", customer)), config, status)))
+        own = [x for x in lines if key is not None and x[0] == key]
+        for _, part, supplier, number, flag, _ in own:
+            kind = f"step_{flag}" if flag else None
+            made = hashlib.sha256("\u001f".join(["step", run, str(number), kind or ""]).encode()).hexdigest()[:32]
+            result = sha(str(supplier)) if flag not in (None, "N") else None
+            params = f'{{"part":{part}}}' if part is not None else None
+            want.append((*head, made, number, kind, sha(str(part)) if part is not None else None, result, params, supplier))
+        if not own:
+            want.append((*head, *[None] * 7))
+    assert sorted(map(repr, out.collect())) == sorted(repr(Row(**dict(zip(out.columns, w)))) for w in want)
