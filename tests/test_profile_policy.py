@@ -1,3 +1,4 @@
+import inspect
 import math
 
 import numpy as np
@@ -5,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from assayer import plans
 from assayer.operators import outliers, policy, profile
 from assayer.settings import PolicySettings
 
@@ -126,6 +128,41 @@ def test_apply_action_drops_flagged_rows_only(spark):
     assert policy.apply_action(df, ["x", "z"], "id", (0, "mice", "none", 0, None)).count() == 120
 
 
+def test_actions_share_fills_and_scores(spark):
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"id": np.arange(150), "x": rng.normal(size=150), "z": rng.normal(size=150), "y": 1.0})
+    pdf.loc[::8, "x"] = np.nan
+    df = spark.createDataFrame(pdf)
+    chosen = [a for a in policy.actions() if a[1] == "knn" and a[3] in (0, 3)]
+    assert {a[2] for a in chosen} == {"isolation_forest", "lof", "none"}
+    for action, rows in zip(chosen, policy.apply_actions(df, ["x", "z"], "id", chosen, 5)):
+        alone = policy.apply_action(df, ["x", "z"], "id", action, 5)
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_all_actions_are_measured_on_all_rows(spark, tmp_path, monkeypatch):
+    from assayer.operators import modelling
+
+    rows = [(i, f"part {i}", f"Brand#{i % 5}", "SMALL", i * 7 % 50, None if i == 3 else 900 + i / 10) for i in range(80)]
+    spark.createDataFrame(
+        rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    full, asked = modelling.reward_surrogate, []
+
+    def cheap(*args, **settings):
+        asked.append(inspect.signature(full).bind(*args, **settings).arguments)
+        return lambda df, features, target, task, id_column: float(df.count())
+
+    monkeypatch.setattr(modelling, "reward_surrogate", cheap)
+    got = plans.QUERIES["measure_actions"](spark, str(tmp_path)).orderBy("action").collect()
+    assert [tuple(r)[:4] for r in got] == [a[:4] for a in policy.actions()]
+    assert asked == [{}]  # all folds and trees
+    # only the row that has no price is left out
+    assert all(r["rows_total"] == r["baseline_score"] == 79 and r["score"] == r["rows_kept"] for r in got)
+    assert {r["rows_kept"] for r in got if r["outlier_method"] == "none"} == {79}
+    assert all(r["rows_kept"] < 79 for r in got if r["outlier_method"] != "none")
+
+
 def test_reward_is_gain_minus_cost(spark):
     scores = spark.createDataFrame([("d", 0, "mice", "none", 0.9)], "ds string, action int, imputer string, outlier_method string, score double")
     base = spark.createDataFrame([("d", 0.8)], "ds string, baseline_score double")
