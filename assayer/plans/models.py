@@ -343,9 +343,10 @@ def stream_window_profile(spark, sf):
     stream = jobs.table_stream(spark, f"{out}-in", "*.parquet", events.schema, files_per_batch=1)
     jobs.to_table(jobs.window_profile(stream, "ts", ["value"], "event_type"), out, check).awaitTermination()
     done = spark.read.parquet(out)
+    mean = r6(r6("value_mean", 12))  # what the order of adding leaves in the last digits does not decide a tie
     return done.select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"),
-        "n_rows", r6("missingness_rate").alias("missingness_rate"), "n_categories", r6("value_mean").alias("value_mean"), r6("value_skew").alias("value_skew"),
+        "n_rows", r6("missingness_rate").alias("missingness_rate"), "n_categories", mean.alias("value_mean"), r6("value_skew").alias("value_skew"),
     )
 
 
